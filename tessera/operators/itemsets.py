@@ -47,14 +47,25 @@ def baskets(df: DataFrame, basket: str, item: str) -> DataFrame:
             .agg(F.array_sort(F.collect_set("item")).alias("items")))
 
 
+def containing_baskets(tx: DataFrame, cands: DataFrame, k: int | None = None) -> DataFrame:
+    """``(items, basket[, unit])`` for every basket that holds all items of a
+    candidate: exploded candidates joined to the rows on the item, groups
+    kept when every item matched (candidates may differ in size)."""
+    exploded = cands.select("items", F.explode("items").alias("item"))
+    keys = ["items", "basket"] + (["unit"] if "unit" in tx.columns else [])
+    return (tx.join(broadcast_if_bounded(exploded, CANDIDATE_BROADCAST_ROWS), "item")
+            .groupBy(*keys).agg(F.count(F.lit(1)).alias("m"))
+            .where(F.col("m") == F.size("items")).drop("m"))
+
+
 def count_support(tx: DataFrame, cands: DataFrame, k: int) -> DataFrame:
     """``(items, support_count)`` for each candidate ``items`` of size ``k``
-    (zero-support candidates included)."""
-    exploded = cands.select("items", F.explode("items").alias("item"))
-    hits = (tx.join(broadcast_if_bounded(exploded, CANDIDATE_BROADCAST_ROWS), "item")
-            .groupBy("items", "basket").agg(F.count(F.lit(1)).alias("m"))
-            .where(F.col("m") == k)
-            .groupBy("items").agg(F.count(F.lit(1)).alias("support_count")))
+    (zero-support candidates included).  With a ``unit`` column in ``tx``
+    support counts distinct units (e.g. sequences) instead of baskets."""
+    hits = containing_baskets(tx, cands, k)
+    if "unit" in tx.columns:
+        hits = hits.select("items", "unit").distinct()
+    hits = hits.groupBy("items").agg(F.count(F.lit(1)).alias("support_count"))
     return (cands.join(hits, "items", "left")
             .select("items", F.coalesce("support_count", F.lit(0)).cast("long").alias("support_count")))
 
@@ -88,7 +99,9 @@ def _extend_candidates(freq: DataFrame, singles: DataFrame) -> DataFrame:
 
 def mine(tx: DataFrame, min_support: float | None = None, min_count: int | None = None,
          candidate_rule: str = "prefix", max_level: int | None = None) -> Mined:
-    """Level-wise frequent itemset mining over distinct ``(basket, item)`` rows.
+    """Level-wise frequent itemset mining over distinct ``(basket, item)`` rows
+    (optionally ``unit``: support then counts distinct units, e.g. the
+    sequences the baskets belong to).
 
     Frequent iff ``count / n_baskets >= min_support`` (relative) or
     ``count >= min_count`` (absolute).  ``candidate_rule`` is ``prefix``
@@ -96,7 +109,8 @@ def mine(tx: DataFrame, min_support: float | None = None, min_count: int | None
     item; lists every such candidate, also the infrequent ones)."""
     if (min_support is None) == (min_count is None):
         raise ValueError("give exactly one of min_support / min_count")
-    n = tx.select("basket").distinct().count()
+    unit = "unit" if "unit" in tx.columns else "basket"
+    n = tx.select(unit).distinct().count()
     spark = tx.sparkSession
     empty_schema = "level int, items array<string>, support_count long, support double, frequent boolean"
     if n == 0:
@@ -111,7 +125,8 @@ def mine(tx: DataFrame, min_support: float | None = None, min_count: int | None
                              sup.alias("support"), ok.alias("frequent"))
 
     tx = cut_lineage(tx)
-    level1 = tx.groupBy("item").agg(F.count(F.lit(1)).alias("support_count")) \
+    level1 = tx.select("item", unit).distinct() \
+        .groupBy("item").agg(F.count(F.lit(1)).alias("support_count")) \
         .select(F.array("item").alias("items"), F.col("support_count").cast("long").alias("support_count"))
     cur = cut_lineage(label(level1, 1))
     levels = [cur]
