@@ -198,3 +198,28 @@ def series_change(df: DataFrame, series: list[str], time_col: str, value: str) -
                     (F.col("last_value") - F.col("first_value")).alias("delta"),
                     (F.try_divide(F.col("last_value") - F.col("first_value"), F.col("first_value"))
                      * 100).alias("pct_change"))
+
+
+def series_prefix_sum(df: DataFrame, series: list[str], order: list[str], value: Column,
+                      num_partitions: int | None = None) -> DataFrame:
+    """Add ``_cum``: the running (inclusive) sum of ``value`` inside each
+    series by ``order``.  Range-partitioned like :func:`series_positions`:
+    partial sums per (partition, series) get prefix offsets from a tiny
+    table, and the local running sum is a window over one partition's slice
+    of a series, so no series is ever a single task."""
+    spark = df.sparkSession
+    parts = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    keep = F.lit(True)
+    for s in series:
+        keep = keep & F.col(s).isNotNull()
+    ranged = (df.where(keep).withColumn("_v", value)
+              .repartitionByRange(parts, *series, *order)
+              .withColumn("_pid", F.spark_partition_id()))
+    ranged = cut_lineage(ranged)
+    sums = ranged.groupBy("_pid", *series).agg(F.sum("_v").alias("_s"))
+    before = Window.partitionBy(*series).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select("_pid", *series, F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_off"))
+    local = Window.partitionBy("_pid", *series).orderBy(*order) \
+        .rowsBetween(Window.unboundedPreceding, 0)
+    joined = ranged.join(broadcast_if_bounded(offsets), on=["_pid", *series])
+    return joined.select(*df.columns, (F.col("_off") + F.sum("_v").over(local)).alias("_cum"))
