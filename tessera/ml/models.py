@@ -78,7 +78,9 @@ def adaboost_r2(train: DataFrame, test: DataFrame, features: list[str], label: s
     """AdaBoost.R2 with linear loss; returns ``test`` with ``prediction``."""
     from pyspark.ml.regression import DecisionTreeRegressor
 
-    tr = _assemble(train, features).withColumn("_w", F.lit(1.0) / F.lit(train.count()))
+    # weights are kept at mean 1 (sum n): tree split checks read weighted counts
+    n = train.count()
+    tr = _assemble(train, features).withColumn("_w", F.lit(1.0))
     tr = cut_lineage(tr)
     te = _assemble(test, features)
     models, weights = [], []
@@ -93,7 +95,7 @@ def adaboost_r2(train: DataFrame, test: DataFrame, features: list[str], label: s
             weights.append(1.0)
             break
         scored = scored.withColumn("_e", F.col("_e") / F.lit(emax))
-        err = scored.agg(F.sum(F.col("_w") * F.col("_e"))).first()[0]
+        err = scored.agg(F.sum(F.col("_w") * F.col("_e")) / F.sum("_w")).first()[0]
         if err >= 0.5:
             if not models:
                 models.append(m)
@@ -106,7 +108,7 @@ def adaboost_r2(train: DataFrame, test: DataFrame, features: list[str], label: s
             break
         upd = scored.withColumn("_w", F.col("_w") * F.pow(F.lit(beta), (1 - F.col("_e")) * learning_rate))
         total = upd.agg(F.sum("_w")).first()[0]
-        tr = cut_lineage(upd.withColumn("_w", F.col("_w") / F.lit(total)).drop("_p", "_e"))
+        tr = cut_lineage(upd.withColumn("_w", F.col("_w") * F.lit(n / total)).drop("_p", "_e"))
     preds = te
     for i, m in enumerate(models):
         preds = m.setPredictionCol(f"_p{i}").transform(preds)

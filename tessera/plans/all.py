@@ -1,4 +1,4 @@
 """Import every plan module so that the registry is filled."""
 
-from tessera.plans import events, functions, mining, ml, olap, prep, sequences, windows  # noqa: F401
+from tessera.plans import clustering, events, functions, mining, ml, olap, prep, sequences, windows  # noqa: F401
 from tessera.plans.registry import ORACLE, QUERIES  # noqa: F401
