@@ -20,6 +20,25 @@ def edge_label(src: str | Column, dst: str | Column) -> Column:
     return F.concat(F.lit("("), s, F.lit(", "), d, F.lit(")"))
 
 
+def transitions(df: DataFrame, graph: list[str], order: list[str], label: str) -> DataFrame:
+    """``(graph..., src, dst, order...)``: one row per pair of consecutive
+    rows of a graph (``src`` = previous label, order columns of the later row)."""
+    def compute(d, w):
+        return d.select("*", F.lag(label, 1).over(w).alias("_prev"))
+
+    out = stencil(df, graph, order, 1, 0, compute).where(F.col("_prev").isNotNull())
+    return out.select(*graph, F.col("_prev").alias("src"), F.col(label).alias("dst"), *order)
+
+
+def adjacency(trans: DataFrame, graph: list[str], order: list[str]) -> DataFrame:
+    """Adjacency rows ``(graph..., src, pos, dst)``: the distinct successors of
+    each vertex in order of their first transition (``pos`` from 0)."""
+    from pyspark.sql import Window
+    first = trans.groupBy(*graph, "src", "dst").agg(F.min(F.struct(*order)).alias("_first"))
+    w = Window.partitionBy(*graph, "src").orderBy("_first")
+    return first.select(*graph, "src", (F.row_number().over(w) - 1).cast("int").alias("pos"), "dst")
+
+
 def consecutive_edges(df: DataFrame, graph: list[str], order: list[str], label: str,
                       directed: bool = False) -> DataFrame:
     """Edges between the labels of consecutive rows of each graph (rows

@@ -10,8 +10,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.operators import itemsets
-from tessera.operators.graphs import consecutive_edges, edge_label
+from tessera.operators import gspan, itemsets
+from tessera.operators.graphs import adjacency, consecutive_edges, edge_label, transitions
 from tessera.plans.registry import register
 from tessera.sources.tables import load_table
 
@@ -218,3 +218,42 @@ def graph_presence(spark, sf):
     return m.candidates.select("level", F.array_join("items", " ").alias("edge_set"),
                                F.col("support_count").alias("support"),
                                F.when(F.col("frequent"), "Y").otherwise("N").alias("qualify"))
+
+
+# ------------------------------------------------------------------ gSpan (directed)
+GSPAN_MIN_SUPPORT = 50
+
+
+def session_adjacency(spark, sf):
+    """Directed transition graphs of (user, day) sessions as adjacency rows."""
+    e = load_table(spark, sf, "events").select(
+        "event_id", "ts", "event_type",
+        F.concat_ws(":", F.col("user_id").cast("string"), F.to_date("ts").cast("string")).alias("graph"))
+    return adjacency(transitions(e, ["graph"], ["ts", "event_id"], "event_type"), ["graph"], ["ts", "event_id"])
+
+
+@register("graph_adjacency", """
+WITH s AS (SELECT user_id || ':' || CAST(CAST(ts AS DATE) AS VARCHAR) AS graph, ts, event_id, event_type,
+                  LAG(event_type) OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, event_id) AS prev
+           FROM events),
+t AS (SELECT graph, prev AS src, event_type AS dst, MIN((ts, event_id)) AS first FROM s
+      WHERE prev IS NOT NULL GROUP BY graph, prev, event_type)
+SELECT graph, src, CAST(ROW_NUMBER() OVER (PARTITION BY graph, src ORDER BY first) - 1 AS INTEGER) AS pos, dst
+FROM t""")
+def graph_adjacency(spark, sf):
+    return session_adjacency(spark, sf)
+
+
+@register("graph_dfs_codes")
+def graph_dfs_codes(spark, sf):
+    """DFS code of every session graph from its smallest vertex."""
+    return gspan.dfs_codes(session_adjacency(spark, sf))
+
+
+@register("graph_gspan")
+def graph_gspan(spark, sf):
+    """Frequent connected edge sets of the session graphs (absolute support)."""
+    codes = gspan.dfs_codes(session_adjacency(spark, sf))
+    fs = gspan.frequent_subgraphs(codes, GSPAN_MIN_SUPPORT)
+    return fs.select("size", gspan.render_edges(F.col("edges")).alias("edge_set"),
+                     F.array_join("edges", " ").alias("edge_keys"), "support")
