@@ -223,3 +223,72 @@ def series_prefix_sum(df: DataFrame, series: list[str], order: list[str], value:
         .rowsBetween(Window.unboundedPreceding, 0)
     joined = ranged.join(broadcast_if_bounded(offsets), on=["_pid", *series])
     return joined.select(*df.columns, (F.col("_off") + F.sum("_v").over(local)).alias("_cum"))
+
+
+def _loess_fit(vals: Column, wts: Column, rn: Column, n: Column, k: int) -> Column:
+    """Local linear fit at position ``rn`` (1-based) over the window of ``k``
+    consecutive positions nearest to it (left-preferring on ties, clamped to
+    the series), tricube distance weights times robustness weights.
+    ``vals``/``wts``: arrays of the frame rows ``rn - k .. rn + k``."""
+    first = F.greatest(rn - k, F.lit(1))
+    left = F.least(F.greatest(rn - (k // 2), F.lit(1)), F.greatest(n - k + 1, F.lit(1)))
+    right = F.least(left + k - 1, n)
+    radius = F.greatest(rn - left, right - rn).cast("double")
+    idx = F.sequence(left, right)
+
+    def w_at(j):
+        d = F.abs(j - rn).cast("double")
+        tri = F.when(d < radius, F.pow(1 - F.pow(d / radius, 3), 3)).otherwise(F.lit(0.0))
+        return tri * F.element_at(wts, (j - first + 1).cast("int"))
+
+    terms = F.transform(idx, lambda j: F.struct(j.cast("double").alias("x"),
+                                                F.element_at(vals, (j - first + 1).cast("int")).alias("y"),
+                                                w_at(j).alias("w")))
+    zero = F.struct(*[F.lit(0.0).alias(c) for c in ("sw", "sx", "sy", "sxx", "sxy")])
+    acc = F.aggregate(terms, zero, lambda a, t: F.struct(
+        (a["sw"] + t["w"]).alias("sw"), (a["sx"] + t["w"] * t["x"]).alias("sx"),
+        (a["sy"] + t["w"] * t["y"]).alias("sy"), (a["sxx"] + t["w"] * t["x"] * t["x"]).alias("sxx"),
+        (a["sxy"] + t["w"] * t["x"] * t["y"]).alias("sxy")))
+    sw, sx, sy, sxx, sxy = acc["sw"], acc["sx"], acc["sy"], acc["sxx"], acc["sxy"]
+    xbar = sx / sw
+    var = sxx / sw - xbar * xbar
+    slope = F.when(var > 1e-12, (sxy / sw - xbar * (sy / sw)) / var).otherwise(F.lit(0.0))
+    fit = sy / sw + slope * (rn.cast("double") - xbar)
+    own = F.element_at(vals, (rn - first + 1).cast("int"))
+    return F.when(sw > 0, fit).otherwise(own)
+
+
+def loess(df: DataFrame, series: list[str], order: list[str], column: str, window: int = 5,
+          iterations: int = 3, block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
+    """LOWESS of ``column`` against its position (frac = window / n, i.e. the
+    ``window`` nearest positions), ``iterations`` bisquare robustness passes
+    with the per-series median absolute residual.  Adds
+    ``<column>_smoothed``."""
+    k = max(int(window), 2)
+    pos = cut_lineage(series_positions(df, series, order).withColumn("_rw", F.lit(1.0)))
+    fitted = None
+    for it in range(iterations + 1):
+        blocked = with_blocks(pos, k, k, block_rows)
+        w = Window.partitionBy(*series, "_blk").orderBy("_rn").rowsBetween(-k, k)
+        vals = F.collect_list(F.col(column).cast("double")).over(w)
+        wts = F.collect_list(F.col("_rw")).over(w)
+        fitted = (blocked.select("*", _loess_fit(vals, wts, F.col("_rn"), F.col("_n"), k).alias("_fit"))
+                  .where("_home").drop("_blk", "_home"))
+        fitted = cut_lineage(fitted)
+        if it == iterations:
+            break
+        res = fitted.select(*series, F.col("_rn").alias("_pos"),
+                            F.abs(F.col(column) - F.col("_fit")).alias("_ares"))
+        ranked = series_positions(res, series, ["_ares", "_pos"]).withColumnRenamed("_rn", "_rk")
+        # median of |residual| per series: mean of the middle one or two ranks
+        mid = ranked.where((F.col("_rk") == F.floor((F.col("_n") + 1) / 2))
+                           | (F.col("_rk") == F.ceil((F.col("_n") + 1) / 2)))
+        med = mid.groupBy(*series).agg(F.avg("_ares").alias("_med"))
+        u = F.col("_res") / (6.0 * F.col("_med"))
+        pos = cut_lineage(
+            fitted.join(broadcast_if_bounded(med), series)
+            .withColumn("_res", F.col(column) - F.col("_fit"))
+            .withColumn("_rw", F.when(F.col("_med") <= 0, F.when(F.col("_res") == 0, 1.0).otherwise(0.0))
+                        .when(F.abs(u) < 1, F.pow(1 - u * u, 2)).otherwise(0.0))
+            .drop("_fit", "_res", "_med"))
+    return fitted.select(*df.columns, F.col("_fit").alias(f"{column}_smoothed"))

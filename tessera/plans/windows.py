@@ -93,3 +93,32 @@ def series_change(spark, sf):
     out = smoothing.series_change(_events(spark, sf), SERIES, "ts", "value")
     return out.select("user_id", "first_value", "last_value", F.round("delta", 6).alias("delta"),
                       F.round("pct_change", 6).alias("pct_change"))
+
+
+_LOESS_K = WINDOW
+
+
+@register("smooth_loess_pass1", _RN_SQL + f"""
+, b AS (SELECT e.*, least(greatest(rn - {_LOESS_K // 2}, 1), greatest(n - {_LOESS_K} + 1, 1)) AS lft FROM e),
+w AS (SELECT a.event_id, a.user_id, a.value, a.rn, y.rn AS xj, y.value AS yj,
+             CAST(greatest(a.rn - a.lft, least(a.lft + {_LOESS_K} - 1, a.n) - a.rn) AS DOUBLE) AS radius
+      FROM b a JOIN e y ON y.user_id = a.user_id AND y.rn BETWEEN a.lft AND least(a.lft + {_LOESS_K} - 1, a.n)),
+t AS (SELECT *, CASE WHEN abs(xj - rn) < radius THEN pow(1 - pow(abs(xj - rn) / radius, 3), 3) ELSE 0 END AS wt
+      FROM w),
+s AS (SELECT event_id, user_id, value, rn, SUM(wt) AS sw, SUM(wt * xj) AS sx, SUM(wt * yj) AS sy,
+             SUM(wt * xj * xj) AS sxx, SUM(wt * xj * yj) AS sxy FROM t GROUP BY event_id, user_id, value, rn),
+f AS (SELECT *, sx / sw AS xbar, sxx / sw - (sx / sw) * (sx / sw) AS var FROM s)
+SELECT event_id, user_id, value,
+       ROUND(CASE WHEN sw > 0 THEN sy / sw + (CASE WHEN var > 1e-12 THEN (sxy / sw - xbar * (sy / sw)) / var
+                                                   ELSE 0 END) * (rn - xbar)
+                  ELSE value END, 6) AS value_smoothed
+FROM f""")
+def smooth_loess_pass1(spark, sf):
+    """First (non-robust) LOWESS pass over the 5 nearest positions."""
+    return _out(smoothing.loess(_events(spark, sf), SERIES, ORDER, "value", WINDOW, iterations=0))
+
+
+@register("smooth_loess")
+def smooth_loess(spark, sf):
+    """LOWESS with 3 bisquare robustness passes."""
+    return _out(smoothing.loess(_events(spark, sf), SERIES, ORDER, "value", WINDOW, iterations=3))
