@@ -220,6 +220,21 @@ def graph_presence(spark, sf):
                                F.when(F.col("frequent"), "Y").otherwise("N").alias("qualify"))
 
 
+@register("graph_presence_pairs", _graph_levels_sql() + """
+, cand AS (SELECT level, items FROM allc),
+hit AS (SELECT c.level, c.items, t.basket FROM cand c JOIN tx t ON list_contains(c.items, t.item)
+        GROUP BY c.level, c.items, t.basket HAVING COUNT(*) = len(c.items))
+SELECT level, array_to_string(items, ' ') AS edge_set, basket AS graph FROM hit""")
+def graph_presence_pairs(spark, sf):
+    """Sparse presence table: every (candidate edge set, graph) where the graph
+    holds all edges of the candidate (the Y cells of the presence table)."""
+    m = itemsets.mine(graph_tx(spark, sf), min_count=GRAPH_MIN_COUNT, candidate_rule="extend")
+    hits = itemsets.containing_baskets(graph_tx(spark, sf), m.candidates.select("items"))
+    lv = m.candidates.select("items", "level")
+    return hits.join(lv, "items").select("level", F.array_join("items", " ").alias("edge_set"),
+                                         F.col("basket").alias("graph"))
+
+
 # ------------------------------------------------------------------ gSpan (directed)
 GSPAN_MIN_SUPPORT = 50
 
