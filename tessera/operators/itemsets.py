@@ -21,6 +21,7 @@ from tessera.functions.joins import broadcast_if_bounded
 from tessera.session import cut_lineage
 
 CANDIDATE_BROADCAST_ROWS = 500_000
+SMALL_BASKET = 64  # baskets up to this many items extend their own frequent sets
 
 
 @dataclass
@@ -50,12 +51,27 @@ def baskets(df: DataFrame, basket: str, item: str) -> DataFrame:
 def containing_baskets(tx: DataFrame, cands: DataFrame, k: int | None = None) -> DataFrame:
     """``(items, basket[, unit])`` for every basket that holds all items of a
     candidate: exploded candidates joined to the rows on the item, groups
-    kept when every item matched (candidates may differ in size)."""
-    exploded = cands.select("items", F.explode("items").alias("item"))
-    keys = ["items", "basket"] + (["unit"] if "unit" in tx.columns else [])
-    return (tx.join(broadcast_if_bounded(exploded, CANDIDATE_BROADCAST_ROWS), "item")
-            .groupBy(*keys).agg(F.count(F.lit(1)).alias("m"))
-            .where(F.col("m") == F.size("items")).drop("m"))
+    kept when every item matched (candidates may differ in size).
+
+    The hot aggregation is keyed by an integer candidate id, and baskets
+    holding fewer candidate items than the smallest candidate are dropped
+    before the join."""
+    ids = cut_lineage(cands.select("items").distinct()
+                      .select("items", F.monotonically_increasing_id().alias("cid"),
+                              F.size("items").alias("m")))
+    exploded = ids.select("cid", "m", F.explode("items").alias("item"))
+    cand_items = exploded.select("item").distinct()
+    rows = tx.join(broadcast_if_bounded(cand_items, CANDIDATE_BROADCAST_ROWS), "item", "left_semi")
+    k_min = ids.agg(F.min("m")).first()[0] or 0
+    if k_min > 1:
+        big = rows.groupBy("basket").agg(F.count(F.lit(1)).alias("_nb")).where(F.col("_nb") >= k_min)
+        rows = rows.join(big.select("basket"), "basket", "left_semi")
+    keys = ["cid", "m", "basket"] + (["unit"] if "unit" in tx.columns else [])
+    hits = (rows.join(broadcast_if_bounded(exploded, CANDIDATE_BROADCAST_ROWS), "item")
+            .groupBy(*keys).agg(F.count(F.lit(1)).alias("hit"))
+            .where(F.col("hit") == F.col("m")).drop("hit", "m"))
+    out = hits.join(broadcast_if_bounded(ids.select("cid", "items"), CANDIDATE_BROADCAST_ROWS), "cid")
+    return out.select("items", *[c for c in keys if c not in ("cid", "m")])
 
 
 def count_support(tx: DataFrame, cands: DataFrame, k: int) -> DataFrame:
@@ -132,6 +148,18 @@ def mine(tx: DataFrame, min_support: float | None = None, min_count: int | None
     levels = [cur]
     freq = cur.where("frequent").select("items")
     singles = freq
+    extra = ["unit"] if "unit" in tx.columns else []
+    if candidate_rule == "prefix":
+        # Hybrid exact counting: baskets of at most SMALL_BASKET items extend
+        # their own frequent-set occurrences (bounded work per basket); larger
+        # baskets go through the candidate join, so no big basket is expanded.
+        sizes = tx.groupBy("basket").agg(F.count(F.lit(1)).alias("_sz"))
+        small = sizes.where(F.col("_sz") <= SMALL_BASKET).select("basket")
+        tx_small = cut_lineage(tx.join(small, "basket", "left_semi"))
+        tx_big = cut_lineage(tx.join(small, "basket", "left_anti"))
+        has_big = tx_big.limit(1).count() > 0
+        hits = cut_lineage(tx_small.join(freq.select(F.element_at("items", 1).alias("item")), "item")
+                           .select(F.array("item").alias("items"), "basket", *extra))
     k = 1
     while (max_level is None or k < max_level) and freq.limit(1).count() > 0:
         if candidate_rule == "prefix":
@@ -144,9 +172,27 @@ def mine(tx: DataFrame, min_support: float | None = None, min_count: int | None
         if cands.limit(1).count() == 0:
             break
         k += 1
-        cur = cut_lineage(label(count_support(tx, cands, k), k))
+        if candidate_rule == "prefix":
+            nxt = tx_small.select("basket", F.col("item").alias("_nx"))
+            ext = (hits.join(nxt, "basket").where(F.col("_nx") > F.element_at("items", -1))
+                   .select(F.concat("items", F.array("_nx")).alias("items"), "basket", *extra)
+                   .join(broadcast_if_bounded(cands, CANDIDATE_BROADCAST_ROWS), "items", "left_semi"))
+            ext = cut_lineage(ext)
+            found = ext
+            if has_big:
+                found = found.unionByName(containing_baskets(tx_big, cands))
+            if extra:
+                found = found.select("items", "unit").distinct()
+            counts = found.groupBy("items").agg(F.count(F.lit(1)).alias("support_count"))
+            counts = (cands.join(counts, "items", "left")
+                      .select("items", F.coalesce("support_count", F.lit(0)).cast("long").alias("support_count")))
+            cur = cut_lineage(label(counts, k))
+            freq = cur.where("frequent").select("items")
+            hits = cut_lineage(ext.join(freq, "items", "left_semi"))
+        else:
+            cur = cut_lineage(label(count_support(tx, cands, k), k))
+            freq = cur.where("frequent").select("items")
         levels.append(cur)
-        freq = cur.where("frequent").select("items")
     allc = levels[0]
     for lv in levels[1:]:
         allc = allc.unionByName(lv)

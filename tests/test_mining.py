@@ -149,3 +149,14 @@ def test_pattern_format_and_length(spark):
     out = df.select(sequences.format_sequence(F.col("p")).alias("f"),
                     sequences.sequence_length(F.col("p")).alias("n")).collect()
     assert [(r.f, r.n) for r in out] == [("{A, B}", 2), ("<A -> B>", 2), ("{C}", 1)]
+
+
+def test_hybrid_small_and_big_baskets_agree(spark, monkeypatch):
+    import random
+    rnd = random.Random(3)
+    baskets = ["".join(sorted(set(rnd.choice("ABCDEFG") for _ in range(rnd.randint(1, 6))))) for _ in range(60)]
+    tx = _tx(spark, baskets)
+    base = _sets(itemsets.mine(tx, min_support=0.1))
+    monkeypatch.setattr(itemsets, "SMALL_BASKET", 2)   # most baskets now take the candidate-join path
+    mixed = _sets(itemsets.mine(tx, min_support=0.1))
+    assert mixed == base and any(len(k.split(", ")) >= 3 for k in base)
