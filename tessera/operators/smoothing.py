@@ -33,13 +33,14 @@ def series_positions(df: DataFrame, series: list[str], order: list[str],
     (series length).  ``order`` must make the order total.  Rows with a NULL
     series key are dropped (pandas group-by semantics)."""
     require_columns(df, series + order)
-    spark = df.sparkSession
-    parts = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     keep = F.lit(True)
     for s in series:
         keep = keep & F.col(s).isNotNull()
-    ranged = (df.where(keep).repartitionByRange(parts, *series, *order)
-              .sortWithinPartitions(*series, *order)
+    # without an explicit count AQE sizes the range exchange from runtime statistics
+    keyed = df.where(keep)
+    ranged = (keyed.repartitionByRange(num_partitions, *series, *order) if num_partitions
+              else keyed.repartitionByRange(*series, *order))
+    ranged = (ranged.sortWithinPartitions(*series, *order)
               .withColumn("_mid", F.monotonically_increasing_id()))
     ranged = ranged.select("*", F.shiftright("_mid", _LOC_BITS).alias("_pid"),
                            F.col("_mid").bitwiseAND((1 << _LOC_BITS) - 1).alias("_loc"))
@@ -207,14 +208,13 @@ def series_prefix_sum(df: DataFrame, series: list[str], order: list[str], value:
     partial sums per (partition, series) get prefix offsets from a tiny
     table, and the local running sum is a window over one partition's slice
     of a series, so no series is ever a single task."""
-    spark = df.sparkSession
-    parts = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     keep = F.lit(True)
     for s in series:
         keep = keep & F.col(s).isNotNull()
-    ranged = (df.where(keep).withColumn("_v", value)
-              .repartitionByRange(parts, *series, *order)
-              .withColumn("_pid", F.spark_partition_id()))
+    keyed = df.where(keep).withColumn("_v", value)
+    ranged = (keyed.repartitionByRange(num_partitions, *series, *order) if num_partitions
+              else keyed.repartitionByRange(*series, *order))
+    ranged = ranged.withColumn("_pid", F.spark_partition_id())
     ranged = cut_lineage(ranged)
     sums = ranged.groupBy("_pid", *series).agg(F.sum("_v").alias("_s"))
     before = Window.partitionBy(*series).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
