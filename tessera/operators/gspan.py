@@ -1,9 +1,9 @@
 """DFS codes and frequent connected edge-set growth over directed graphs.
 
 Input: adjacency rows ``(graph, src, pos, dst)`` (``pos`` = neighbour order).
-The DFS code of a graph is sequential by nature, so it is computed per graph
-with ``applyInPandas`` (one small graph per group, all graphs in parallel,
-explicit stack instead of recursion).  Growth and support counting are
+The DFS code of a graph is sequential by nature, so it is computed in
+pandas with ``applyInPandas`` over hash buckets of graphs (bounded rows per
+call, all buckets in parallel, explicit stack instead of recursion).  Growth and support counting are
 DataFrame joins: an edge key ``li|lj|f`` is an item, a graph a basket.
 """
 
@@ -52,12 +52,18 @@ def dfs_code(adj: dict[str, list[str]], start: str, directed: bool = True) -> li
     return [(order[u], order[w], u, 1, w) for u, w in tree + back]
 
 
+ROWS_PER_CALL = 20_000
+
+
 def dfs_codes(adjacency: DataFrame, start: str | None = None, directed: bool = True) -> DataFrame:
     """Per-graph DFS codes ``(graph, seq, i, j, li, el, lj, forward)``.
-    ``start`` defaults to the smallest vertex of each graph."""
+    ``start`` defaults to the smallest vertex of each graph.
 
-    def per_graph(pdf: pd.DataFrame) -> pd.DataFrame:
-        g = str(pdf["graph"].iloc[0])
+    Graphs are hashed into buckets of about ``ROWS_PER_CALL`` adjacency rows
+    (bucket count from the row count, so a bucket stays bounded as data
+    grows); each pandas call walks all graphs of its bucket."""
+
+    def one_graph(g: str, pdf: pd.DataFrame) -> list[tuple]:
         pdf = pdf.sort_values(["src", "pos"])
         adj: dict[str, list[str]] = {}
         for s, d in zip(pdf["src"], pdf["dst"]):
@@ -65,12 +71,20 @@ def dfs_codes(adjacency: DataFrame, start: str | None = None, directed: bool = T
         vertices = set(adj) | {str(d) for d in pdf["dst"]}
         s0 = start if start is not None else min(vertices)
         code = dfs_code(adj, s0 if s0 in vertices else None, directed)
-        rows = [(g, k, i, j, li, el, lj, i < j) for k, (i, j, li, el, lj) in enumerate(code)]
+        return [(g, k, i, j, li, el, lj, i < j) for k, (i, j, li, el, lj) in enumerate(code)]
+
+    def per_bucket(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        for g, part in pdf.groupby("graph", sort=True):
+            rows.extend(one_graph(str(g), part))
         return pd.DataFrame(rows, columns=["graph", "seq", "i", "j", "li", "el", "lj", "forward"])
 
     src = adjacency.select(F.col("graph").cast("string"), F.col("src").cast("string"),
                            F.col("pos").cast("int"), F.col("dst").cast("string"))
-    return src.groupBy("graph").applyInPandas(per_graph, DFS_SCHEMA)
+    n = src.count()
+    buckets = max(1, -(-n // ROWS_PER_CALL))
+    keyed = src.withColumn("_bucket", F.pmod(F.xxhash64("graph"), F.lit(buckets)))
+    return keyed.groupBy("_bucket").applyInPandas(per_bucket, DFS_SCHEMA)
 
 
 def edge_key(li, lj, forward) -> F.Column:
