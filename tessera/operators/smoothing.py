@@ -249,13 +249,19 @@ def _loess_fit(vals: Column, wts: Column, rn: Column, n: Column, k: int) -> Colu
         (a["sw"] + t["w"]).alias("sw"), (a["sx"] + t["w"] * t["x"]).alias("sx"),
         (a["sy"] + t["w"] * t["y"]).alias("sy"), (a["sxx"] + t["w"] * t["x"] * t["x"]).alias("sxx"),
         (a["sxy"] + t["w"] * t["x"] * t["y"]).alias("sxy")))
-    sw, sx, sy, sxx, sxy = acc["sw"], acc["sx"], acc["sy"], acc["sxx"], acc["sxy"]
+    own = F.element_at(vals, (rn - first + 1).cast("int"))
+    return F.struct(acc.alias("s"), own.alias("own"))
+
+
+def _loess_finish(st: Column, rn: Column) -> Column:
+    """Fitted value from the weighted sums struct of :func:`_loess_fit` (kept
+    in its own column so the window arrays are walked once per row)."""
+    sw, sx, sy, sxx, sxy = (st["s"][c] for c in ("sw", "sx", "sy", "sxx", "sxy"))
     xbar = sx / sw
     var = sxx / sw - xbar * xbar
     slope = F.when(var > 1e-12, (sxy / sw - xbar * (sy / sw)) / var).otherwise(F.lit(0.0))
     fit = sy / sw + slope * (rn.cast("double") - xbar)
-    own = F.element_at(vals, (rn - first + 1).cast("int"))
-    return F.when(sw > 0, fit).otherwise(own)
+    return F.when(sw > 0, fit).otherwise(st["own"])
 
 
 def loess(df: DataFrame, series: list[str], order: list[str], column: str, window: int = 5,
@@ -272,8 +278,9 @@ def loess(df: DataFrame, series: list[str], order: list[str], column: str, windo
         w = Window.partitionBy(*series, "_blk").orderBy("_rn").rowsBetween(-k, k)
         vals = F.collect_list(F.col(column).cast("double")).over(w)
         wts = F.collect_list(F.col("_rw")).over(w)
-        fitted = (blocked.select("*", _loess_fit(vals, wts, F.col("_rn"), F.col("_n"), k).alias("_fit"))
+        fitted = (blocked.select("*", _loess_fit(vals, wts, F.col("_rn"), F.col("_n"), k).alias("_st"))
                   .where("_home").drop("_blk", "_home"))
+        fitted = fitted.withColumn("_fit", _loess_finish(F.col("_st"), F.col("_rn"))).drop("_st")
         fitted = cut_lineage(fitted)
         if it == iterations:
             break
