@@ -10,7 +10,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tessera.functions.columns import numeric_columns, require_columns
 from tessera.functions.quantiles import median
@@ -190,5 +189,3 @@ def cast_like(df: DataFrame, like: DataFrame) -> DataFrame:
     return df.select(*[F.col(c).cast(types[c]).alias(c) if c in types else F.col(c)
                        for c in df.columns])
 
-
-__all__ = ["T"]

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from tessera.functions.columns import business_days_after, coerce_double, parse_timestamp
+from tessera.functions.columns import business_days_after, coerce_double
 from tessera.operators import series as ser
 from tessera.plans.registry import register
 from tessera.session import ensure_checkpoint_dir
@@ -91,5 +91,3 @@ def src_csv_roundtrip(spark, sf):
                        F.col("c_nationkey").cast("int").alias("c_nationkey"),
                        coerce_double("c_acctbal").alias("c_acctbal"), "c_mktsegment")
 
-
-__all__ = ["parse_timestamp"]

@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import functions as F
-
 from tessera.operators import olap
 from tessera.plans.inputs import SALES_FLAT_SQL, nation_region, sales_by_customer, sales_flat
 from tessera.plans.registry import register
@@ -137,5 +135,3 @@ def dedup_rows(spark, sf):
     """Distinct rows of a projection (pandas ``drop_duplicates``)."""
     return load_table(spark, sf, "events").select("user_id", "event_type").dropDuplicates()
 
-
-__all__ = ["cube_all", "F"]

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import events as ev
 from tessera.operators import olap
-from tessera.plans.events import SHOP_CODES, shopping_events
+from tessera.plans.events import shopping_events
 from tessera.plans.olap import CUBE_DIMS, MEASURES, _cubes_sql
 from tessera.plans.registry import register
 from tessera.sources.tables import load_table
@@ -161,5 +161,3 @@ def stream_cube_refresh(spark, sf):
                       .option("checkpointLocation", scratch_path(spark, "cube-ckpt")))
     return spark.read.parquet(export)
 
-
-__all__ = ["SHOP_CODES"]
