@@ -60,17 +60,22 @@ def parse_edge_list_text(spark, path: str) -> DataFrame:
     """Multi-graph edge-list text files: a ``#`` line starts a graph, other
     non-blank lines are ``u v`` edges (endpoints sorted); a header with no
     edges gives no graph.  Graphs are numbered 1.. in file order per file.
-    Output ``(file, graph_id, src, dst)``."""
-    raw = spark.read.text(path, wholetext=True).select(
-        F.input_file_name().alias("file"), F.col("value"))
-    lines = raw.select("file", F.posexplode(F.split("value", r"\r?\n")).alias("ln", "line")) \
-        .select("file", "ln", F.trim("line").alias("line")).where(F.col("line") != "")
-    from pyspark.sql import Window
-    w = Window.partitionBy("file").orderBy("ln").rowsBetween(Window.unboundedPreceding, 0)
-    tagged = lines.select("file", "ln", "line",
-                          F.sum(F.col("line").startswith("#").cast("int")).over(w).alias("blk"))
+    Output ``(file, graph_id, src, dst)``.
+
+    Files are read line by line (a large file is split over tasks); the line
+    order is frozen once by a checkpoint, the graph a line belongs to is the
+    running count of header lines (range-partitioned prefix sum) and graph
+    ids are ranks over the (file, header count) pairs that hold edges."""
+    from tessera.operators.smoothing import series_positions, series_prefix_sum
+    from tessera.session import cut_lineage
+    raw = spark.read.text(path).select(F.input_file_name().alias("file"), F.trim("value").alias("line"),
+                                       F.monotonically_increasing_id().alias("ln"))
+    lines = cut_lineage(raw.where(F.col("line") != ""))
+    tagged = series_prefix_sum(lines, ["file"], ["ln"], F.col("line").startswith("#").cast("long"))
     edges = tagged.where(~F.col("line").startswith("#")).select(
-        "file", "blk", F.array_sort(F.split("line", r"\s+")).alias("uv"))
-    edges = edges.select("file", "blk", F.col("uv")[0].alias("src"), F.col("uv")[1].alias("dst"))
-    gid = F.dense_rank().over(Window.partitionBy("file").orderBy("blk"))
-    return edges.select("file", gid.alias("graph_id"), "src", "dst")
+        "file", F.col("_cum").alias("blk"), F.array_sort(F.split("line", r"\s+")).alias("uv"))
+    blocks = edges.select("file", "blk").distinct()
+    gids = series_positions(blocks, ["file"], ["blk"]).select("file", "blk", F.col("_rn").alias("graph_id"))
+    return (edges.join(gids, ["file", "blk"])
+            .select("file", F.col("graph_id").cast("int").alias("graph_id"),
+                    F.col("uv")[0].alias("src"), F.col("uv")[1].alias("dst")))

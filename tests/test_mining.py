@@ -160,3 +160,24 @@ def test_hybrid_small_and_big_baskets_agree(spark, monkeypatch):
     monkeypatch.setattr(itemsets, "SMALL_BASKET", 2)   # most baskets now take the candidate-join path
     mixed = _sets(itemsets.mine(tx, min_support=0.1))
     assert mixed == base and any(len(k.split(", ")) >= 3 for k in base)
+
+
+def test_edge_list_parser_edge_cases(spark, tmp_path):
+    d = tmp_path / "g"
+    d.mkdir()
+    (d / "a.txt").write_text("# G1\n# G2\nB A\n\n# G3\nC D\nD C\n")
+    (d / "b.txt").write_text("# only\nX Y\n")
+    rows = graphs.parse_edge_list_text(spark, str(d)).collect()
+    got = sorted((r.file.rsplit("/", 1)[-1], r.graph_id, r.src, r.dst) for r in rows)
+    assert got == [("a.txt", 1, "A", "B"), ("a.txt", 2, "C", "D"), ("a.txt", 2, "C", "D"), ("b.txt", 1, "X", "Y")]
+
+
+def test_graph_apriori_data2(spark, tmp_path):
+    p = tmp_path / "data2.txt"
+    p.write_text("# Graph 1\nA B\nB C\nA D\n# Graph 2\nA B\nB C\nA D\n# Graph 3\nA B\nB C\nC D")
+    edges = graphs.parse_edge_list_text(spark, str(p))
+    tx = itemsets.basket_items(edges.select("graph_id", graphs.edge_label("src", "dst").alias("e")), "graph_id", "e")
+    m = itemsets.mine(tx, min_count=2, candidate_rule="extend")
+    got = {" ".join(r.items): r.support_count for r in m.frequent.collect()}
+    assert got == {"(A, B)": 3, "(A, D)": 2, "(B, C)": 3, "(A, B) (A, D)": 2, "(A, B) (B, C)": 3,
+                   "(A, D) (B, C)": 2, "(A, B) (A, D) (B, C)": 2}
