@@ -143,3 +143,12 @@ def test_adaboost_runs_and_fits(spark):
     pred = models.adaboost_r2(df, df, ["x"], "y", n_estimators=5)
     m = metrics.regression_metrics(pred, "y", "prediction").first()
     assert m.r2 > 0.95
+
+
+def test_knn_affinity(spark):
+    pairs = spark.createDataFrame(
+        [(1, 1, 0.0), (1, 2, 0.1), (1, 3, 0.2), (2, 1, 0.1), (2, 2, 0.0), (2, 3, 0.05),
+         (3, 1, 0.2), (3, 2, 0.05), (3, 3, 0.0)], "a long, b long, dist double")
+    got = {(r.src, r.dst): r.weight for r in clustering.knn_affinity(pairs, 1).collect()}
+    # nearest of 1 is 2; of 2 is 3; of 3 is 2 -> (1,2) once, (2,3) from both sides
+    assert got == {(1, 2): 0.5, (2, 3): 1.0}

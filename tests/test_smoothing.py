@@ -104,3 +104,15 @@ def test_loess_matches_reference(spark, iterations):
     got = [r.x_smoothed for r in smoothing.loess(df, ["sid"], ["t"], "x", 5, iterations, block_rows=11)
            .orderBy("t").collect()]
     assert got == pytest.approx(list(_lowess_ref(ys, 5, iterations)), abs=1e-9)
+
+
+def test_series_prefix_sum_skewed(spark):
+    rows = [(1, t, t % 3) for t in range(400)] + [(2, t, 1) for t in range(5)]
+    df = spark.createDataFrame(rows, "sid long, t long, v long")
+    out = {(r.sid, r.t): r._cum for r in
+           smoothing.series_prefix_sum(df, ["sid"], ["t"], F.col("v"), num_partitions=8).collect()}
+    run = 0
+    for t in range(400):
+        run += t % 3
+        assert out[(1, t)] == run
+    assert [out[(2, t)] for t in range(5)] == [1, 2, 3, 4, 5]
