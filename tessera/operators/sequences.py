@@ -149,7 +149,7 @@ def pattern_table(df: DataFrame) -> DataFrame:
     (items), pattern_type (Itemset/Sequence), support_count, support``."""
     return df.select(format_sequence(F.col("pattern")).alias("pattern"),
                      F.col("level").alias("elements"),
-                     sequence_length(F.col("pattern")).alias("length"),
+                     sequence_length(F.col("pattern")).cast("long").alias("length"),
                      F.when(F.col("level") == 1, "Itemset").otherwise("Sequence").alias("pattern_type"),
                      "support_count", "support")
 

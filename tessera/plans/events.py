@@ -42,9 +42,9 @@ WITH s AS (
          (['electronics', 'fashion', 'home', 'books', 'toys'])[
              CAST(floor(CAST(json_extract_string(props, '$.k') AS INTEGER) / 20) AS INTEGER) + 1]
            AS product_category,
-         COALESCE(SUM(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) OVER (
+         CAST(COALESCE(SUM(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) OVER (
              PARTITION BY user_id ORDER BY ts, event_id
-             ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS user_total_purchases
+             ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS user_total_purchases
   FROM events)
 """
 

@@ -76,8 +76,8 @@ def profile_columns(spark, sf):
 
 @register("profile_totals", EF_SQL + """
 SELECT COUNT(*) AS n_rows, 7 AS n_columns,
-       SUM((event_id IS NULL)::INT + (user_id IS NULL)::INT + (value IS NULL)::INT + (k IS NULL)::INT
-           + (minute IS NULL)::INT + (log_value IS NULL)::INT + (event_type IS NULL)::INT) AS missing_cells,
+       CAST(SUM((event_id IS NULL)::INT + (user_id IS NULL)::INT + (value IS NULL)::INT + (k IS NULL)::INT
+           + (minute IS NULL)::INT + (log_value IS NULL)::INT + (event_type IS NULL)::INT) AS BIGINT) AS missing_cells,
        COUNT(*) - (SELECT COUNT(*) FROM (SELECT DISTINCT * FROM ef)) AS duplicate_rows
 FROM ef""")
 def profile_totals(spark, sf):
@@ -85,7 +85,7 @@ def profile_totals(spark, sf):
 
 
 @register("profile_totals_types", EF_SQL + """
-SELECT COUNT(*) AS n_rows, 3 AS n_columns, SUM((event_type IS NULL)::INT) AS missing_cells,
+SELECT COUNT(*) AS n_rows, 3 AS n_columns, CAST(SUM((event_type IS NULL)::INT) AS BIGINT) AS missing_cells,
        COUNT(*) - (SELECT COUNT(*) FROM (SELECT DISTINCT user_id, event_type, minute FROM ef)) AS duplicate_rows
 FROM ef""")
 def profile_totals_types(spark, sf):
