@@ -59,18 +59,25 @@ def containing_baskets(tx: DataFrame, cands: DataFrame, k: int | None = None) ->
     ids = cut_lineage(cands.select("items").distinct()
                       .select("items", F.monotonically_increasing_id().alias("cid"),
                               F.size("items").alias("m")))
+    # one small job sizes every candidate-derived side: exploded rows = sum(m)
+    st = ids.agg(F.count(F.lit(1)).alias("n"), F.min("m").alias("k_min"), F.sum("m").alias("cells")).first()
+    small = (st["cells"] or 0) <= CANDIDATE_BROADCAST_ROWS
+
+    def side(df):
+        return F.broadcast(df) if small else df
+
     exploded = ids.select("cid", "m", F.explode("items").alias("item"))
     cand_items = exploded.select("item").distinct()
-    rows = tx.join(broadcast_if_bounded(cand_items, CANDIDATE_BROADCAST_ROWS), "item", "left_semi")
-    k_min = ids.agg(F.min("m")).first()[0] or 0
+    rows = tx.join(side(cand_items), "item", "left_semi")
+    k_min = st["k_min"] or 0
     if k_min > 1:
         big = rows.groupBy("basket").agg(F.count(F.lit(1)).alias("_nb")).where(F.col("_nb") >= k_min)
         rows = rows.join(big.select("basket"), "basket", "left_semi")
     keys = ["cid", "m", "basket"] + (["unit"] if "unit" in tx.columns else [])
-    hits = (rows.join(broadcast_if_bounded(exploded, CANDIDATE_BROADCAST_ROWS), "item")
+    hits = (rows.join(side(exploded), "item")
             .groupBy(*keys).agg(F.count(F.lit(1)).alias("hit"))
             .where(F.col("hit") == F.col("m")).drop("hit", "m"))
-    out = hits.join(broadcast_if_bounded(ids.select("cid", "items"), CANDIDATE_BROADCAST_ROWS), "cid")
+    out = hits.join(side(ids.select("cid", "items")), "cid")
     return out.select("items", *[c for c in keys if c not in ("cid", "m")])
 
 
