@@ -55,10 +55,8 @@ def _model(spark, sf):
 def forecast_fit(spark, sf):
     """Pooled lag regression: intercept and one weight per lag (lag 1 = newest)."""
     _, b, w = _model(spark, sf)
-    rows = [(0, b)] + [(LAGS - i, x) for i, x in enumerate(w)]
-    e = load_table(spark, sf, "events").agg(F.count(F.lit(1)).alias("n"))
-    return e.select(F.inline(F.array(*[F.struct(F.lit(l).alias("lag"), F.lit(v).alias("weight"))
-                                      for l, v in rows])))
+    rows = [(0, b)] + [(LAGS - i, x) for i, x in enumerate(w)]   # L + 1 fitted numbers
+    return spark.createDataFrame(rows, "lag int, weight double")
 
 
 @register("forecast_rolling")
