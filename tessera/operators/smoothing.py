@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.columns import require_columns
 from tessera.functions.joins import broadcast_if_bounded
-from tessera.session import cut_lineage
+from tessera.session import cut_lineage, materialize
 
 DEFAULT_BLOCK_ROWS = 100_000
 _LOC_BITS = 33
@@ -45,9 +45,9 @@ def series_positions(df: DataFrame, series: list[str], order: list[str],
     ranged = ranged.select("*", F.shiftright("_mid", _LOC_BITS).alias("_pid"),
                            F.col("_mid").bitwiseAND((1 << _LOC_BITS) - 1).alias("_loc"))
     # Range bounds are re-sampled each time the exchange runs (the sample seed
-    # follows the RDD id), so the numbered rows are checkpointed once and both
-    # the counts and the join read the same copy.
-    ranged = cut_lineage(ranged)
+    # follows the RDD id), so the numbered rows are written once and both the
+    # counts and the join read the same copy.
+    ranged = materialize(ranged, "positions")
     counts = ranged.groupBy("_pid", *series).agg(F.count(F.lit(1)).alias("_c"),
                                                  F.min("_loc").alias("_first"))
     before = Window.partitionBy(*series).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
@@ -215,7 +215,7 @@ def series_prefix_sum(df: DataFrame, series: list[str], order: list[str], value:
     ranged = (keyed.repartitionByRange(num_partitions, *series, *order) if num_partitions
               else keyed.repartitionByRange(*series, *order))
     ranged = ranged.withColumn("_pid", F.spark_partition_id())
-    ranged = cut_lineage(ranged)
+    ranged = materialize(ranged, "prefix")
     sums = ranged.groupBy("_pid", *series).agg(F.sum("_v").alias("_s"))
     before = Window.partitionBy(*series).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select("_pid", *series, F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_off"))
