@@ -8,16 +8,10 @@ from pyspark.sql import functions as F
 from tessera.session import ensure_checkpoint_dir, materialize
 from tessera.sources.tables import load_table
 
-__all__ = ["ensure_checkpoint_dir", "fold", "labelled", "load_table", "materialize"]
+__all__ = ["ensure_checkpoint_dir", "label_rows", "load_table", "materialize"]
 
 
-def fold(column: str, parts: int):
-    """The fold of a row: crc32 of its id in decimal, modulo ``parts``."""
-    return F.pmod(F.crc32(F.encode(F.col(column).cast("string"), "UTF-8")), F.lit(parts))
-
-
-def labelled(spark: SparkSession, sf_dir: str, label: str) -> DataFrame:
-    """``(doc_id, text, label)`` of the documents that carry this label."""
+def label_rows(spark: SparkSession, sf_dir: str, label: str) -> DataFrame:
+    """``(doc_id, label)``, one row per labelled document."""
     marks = load_table(spark, sf_dir, "labels").where(F.col(label).isNotNull())
-    marks = marks.groupBy("doc_id").agg(F.max(label).alias("label"))
-    return load_table(spark, sf_dir, "documents").select("doc_id", "text").join(marks, "doc_id")
+    return marks.groupBy("doc_id").agg(F.max(label).alias("label"))

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.data import load_table
+from tessera.llm.data import label_rows, load_table, materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -39,3 +39,38 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = encode(load_table(spark, sf_dir, "documents"), tokenizer_path(), ids="text", decoded=True)
     return got.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
                       F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query("op3_language")
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.language import fit, held_out, predict
+
+    docs = load_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    out = held_out(F.col("doc_id"), 3, 1)
+    model = fit(docs.where(~out))
+    got = predict(docs, model)
+    return got.select("doc_id", out.alias("held_out"), "lang_pred", "score")
+
+
+@query("op5_quality")
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.language import held_out
+    from tessera.llm.quality import features, fit, score
+
+    out = held_out(F.col("doc_id"), 5, 0)
+    rows = materialize(features(load_table(spark, sf_dir, "documents")), "quality-features")
+    marks = label_rows(spark, sf_dir, "quality").where(~out)
+    got = score(rows, fit(rows.join(marks, "doc_id")))
+    return got.select("doc_id", out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query("op9_toxicity")
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.language import held_out
+    from tessera.llm.toxicity import fit, score
+
+    out = held_out(F.col("doc_id"), 5, 0)
+    docs = load_table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = fit(docs, label_rows(spark, sf_dir, "toxic").where(~out))
+    return score(docs, model).select("doc_id", out.alias("held_out"), "score",
+                                     (F.col("score") >= 0.5).cast("int").alias("predicted"))
