@@ -9,10 +9,12 @@ evidence is the summed term weight, also divided by the square root of its
 number of words, and a logistic fit turns it into a score.
 
 The lexicon is learnt from labelled rows: whole words and word beginnings of
-``STEMS`` letters whose share of toxic documents is high; the shortest such
-beginning stands for all longer ones.  Learning reads a hash sample of at most
-about ``max_train`` labelled documents (a documented bound), and the lexicon
-has at most ``max_terms`` terms.
+``STEMS`` letters whose share of toxic documents is high and beyond chance
+(a likelihood-ratio test); the shortest such beginning stands for all longer
+ones.  Learning reads a hash sample of at most about ``max_train`` labelled
+documents (a documented bound), one of each group that shares its smallest
+five-word shingle hash, so copies do not count as evidence; the lexicon has at
+most ``max_terms`` terms.
 
 Defined results: null and empty texts hold no term and get the score of no
 evidence; repeated rows score alike; without training labels every score is 0.
@@ -30,7 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.flat import chunks, words
+from tessera.llm.data import materialize
+from tessera.llm.flat import chunks, mix, span_hashes, words
 
 STEMS = (3, 4, 5, 6, 7)
 
@@ -139,6 +142,35 @@ def _candidates(text: str) -> set[str]:
     return found
 
 
+def _one_of_each(sample: DataFrame) -> DataFrame:
+    """The row of smallest id of each group with the same smallest shingle hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j, raw, off in chunks(batch, "text"):
+                starts, ends, at = words(raw, off)
+                code = span_hashes(raw, starts, ends)
+                low = [int(_shingles(code[a:b]).min()) if b > a else 0 for a, b in zip(at, at[1:])]
+                part = batch.slice(i, j - i)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.array(low, np.uint64).view(np.int64))],
+                                                 names=["id", "text", "label", "low"])
+
+    kind = sample.schema["id"].dataType.simpleString()
+    return (sample.select("id", "text", F.col("label").cast("int").alias("label"))
+            .mapInArrow(run, f"id {kind}, text string, label int, low long")
+            .groupBy("low", F.when(F.col("low") == 0, F.col("id")).alias("own"))
+            .agg(F.min_by(F.struct("text", "label"), "id").alias("r")).select("r.text", "r.label"))
+
+
+def _shingles(code: np.ndarray) -> np.ndarray:
+    """Hashes of the five-word shingles of one text (of all its words if fewer)."""
+    n = max(1, len(code) - 4)
+    out = np.zeros(n, np.uint64)
+    for k in range(min(5, len(code))):
+        out = mix(out + code[k:k + n])
+    return out
+
+
 def term_counts(sample: DataFrame) -> DataFrame:
     """``(term, toxic, clean)``: documents of each kind that hold a candidate."""
 
@@ -174,8 +206,8 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
     return b
 
 
-def fit(docs: DataFrame, marks: DataFrame, key: str = "doc_id", text: str = "text", max_train: int = 16_000,
-        max_terms: int = 2000, least: int = 4) -> ToxicityModel | None:
+def fit(docs: DataFrame, marks: DataFrame, key: str = "doc_id", text: str = "text", max_train: int = 30_000,
+        max_terms: int = 2000, least: int = 4, chance: float = 24.0) -> ToxicityModel | None:
     """Model from ``marks`` (key, label), which leaves out held-out rows.
 
     The sampled ids are at most about ``max_train`` rows, so they are broadcast
@@ -185,16 +217,21 @@ def fit(docs: DataFrame, marks: DataFrame, key: str = "doc_id", text: str = "tex
         return None
     cut = int(min(1.0, max_train / n) * (1 << 30))
     ids = marks.where(F.pmod(F.xxhash64(F.col(key), F.lit(9)), F.lit(1 << 30)) < cut)
-    sample = docs.select(F.col(key), F.col(text).alias("text")).join(F.broadcast(ids), key)
-    totals = {int(r["label"]): r["n"] for r in ids.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    sample = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).join(
+        F.broadcast(ids.withColumnRenamed(key, "id")), "id")
+    sample = materialize(_one_of_each(sample), "toxicity-sample")
+    totals = {int(r["label"]): r["n"] for r in sample.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not totals.get(1) or not totals.get(0):
         return ToxicityModel({}, (), np.array([-50.0 if not totals.get(1) else 50.0, 0, 0, 0]))
     rate = totals[1] / (totals[0] + totals[1])
     counts = term_counts(sample)
     # a term's toxic share, pulled to the base rate by two documents, stands far above that rate
     share = (F.col("toxic") + 2 * rate) / (F.col("toxic") + F.col("clean") + 2)
+    hits, seen = F.col("toxic"), F.col("toxic") + F.col("clean")
+    gain = 2 * (hits * F.log(hits / seen / rate) + F.when(F.col("clean") > 0, F.col("clean") * F.log(
+        F.col("clean") / seen / (1 - rate))).otherwise(0.0))
     got = (counts.where(F.col("toxic") >= least).withColumn("share", share)
-           .where(F.col("share") >= (1 + rate) / 2)
+           .where((F.col("share") >= (1 + rate) / 2) & (gain >= chance))
            .orderBy(F.desc(F.col("toxic") * F.col("share")), "term").limit(20 * max_terms).collect())
     weight = {r["term"]: float(np.log(r["share"] / (1 - r["share"])) - np.log(rate / (1 - rate))) for r in got}
     terms: dict[str, float] = {}
