@@ -74,3 +74,10 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = fit(docs, label_rows(spark, sf_dir, "toxic").where(~out))
     return score(docs, model).select("doc_id", out.alias("held_out"), "score",
                                      (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query("op6_minhash")
+def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.minhash import near_duplicates
+
+    return near_duplicates(load_table(spark, sf_dir, "documents"))
