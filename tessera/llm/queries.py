@@ -81,3 +81,10 @@ def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.minhash import near_duplicates
 
     return near_duplicates(load_table(spark, sf_dir, "documents"))
+
+
+@query("op4_embeddings")
+def op4_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.embeddings import near_vectors
+
+    return near_vectors(load_table(spark, sf_dir, "embeddings"))
