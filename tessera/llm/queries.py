@@ -88,3 +88,30 @@ def op4_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.embeddings import near_vectors
 
     return near_vectors(load_table(spark, sf_dir, "embeddings"))
+
+
+LINES_SQL = """
+WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
+w AS (SELECT doc_id, i, trim(ls[i], ' ') || chr(10) || trim(ls[i + 1], ' ') || chr(10) || trim(ls[i + 2], ' ') AS k
+      FROM (SELECT doc_id, ls, unnest(range(1, len(ls) - 1)) AS i FROM d)),
+dup AS (SELECT doc_id, i FROM w QUALIFY row_number() OVER (PARTITION BY k ORDER BY doc_id, i) > 1),
+gone AS (SELECT DISTINCT doc_id, i + o AS i FROM dup, (VALUES (0), (1), (2)) v(o)),
+runs AS (SELECT doc_id, count(*) AS n_removed, count(*) FILTER (fresh) AS n_runs FROM (
+           SELECT doc_id, lag(i) OVER (PARTITION BY doc_id ORDER BY i) IS DISTINCT FROM i - 1 AS fresh FROM gone)
+         GROUP BY doc_id),
+kept AS (SELECT l.doc_id, string_agg(l.s, chr(10) ORDER BY l.i) AS text
+         FROM (SELECT doc_id, unnest(ls) AS s, unnest(range(1, len(ls) + 1)) AS i FROM d) l
+         ANTI JOIN gone USING (doc_id, i) GROUP BY l.doc_id)
+SELECT d.doc_id, CAST(coalesce(len(ls), 0) AS BIGINT) AS n_lines, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+       CAST(coalesce(n_runs, 0) AS BIGINT) AS n_runs, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM d LEFT JOIN runs USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+
+@query("op8_lines", LINES_SQL)
+def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.lines import drop_repeated_lines
+
+    got = drop_repeated_lines(load_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return got.select("doc_id", "n_lines", "n_removed", "n_runs",
+                      F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
