@@ -115,3 +115,10 @@ def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = drop_repeated_lines(load_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return got.select("doc_id", "n_lines", "n_removed", "n_runs",
                       F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+@query("op2_decontaminate")
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.decontaminate import find_items
+
+    return find_items(load_table(spark, sf_dir, "documents"), load_table(spark, sf_dir, "benchmark"))
