@@ -122,3 +122,10 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.decontaminate import find_items
 
     return find_items(load_table(spark, sf_dir, "documents"), load_table(spark, sf_dir, "benchmark"))
+
+
+@query("op1_licenses")
+def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.licenses import scan
+
+    return scan(load_table(spark, sf_dir, "documents"))
