@@ -129,3 +129,12 @@ def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.licenses import scan
 
     return scan(load_table(spark, sf_dir, "documents"))
+
+
+@query("op7_suffixes")
+def op7_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.suffixes import remove_repeats
+
+    got = remove_repeats(load_table(spark, sf_dir, "documents"))
+    return got.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"),
+                      F.sha2("kept", 256).alias("kept_sha256"))
