@@ -1,35 +1,77 @@
 """Corpus pipeline: stages applied to ``documents`` one after the other.
 
-Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame, which
-``run`` writes as Parquet into the shared checkpoint folder and reads again as
-the next stage's input.
+Each stage takes ``(spark, docs, sf_dir)``, works on all documents that its
+predecessor kept and returns a DataFrame with the columns of documents (the
+last one: ids).  ``run`` writes every stage's result as Parquet into the shared
+checkpoint folder and reads it again as the next stage's input.
+
+Documents without an id pass the stages that decide by id.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tessera.llm import decontaminate, language, lines, minhash, sentencepiece_bpe
 from tessera.llm.data import load_table, materialize
 from tessera.llm.queries import tokenizer_path
 
 
-def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of every text, end id included."""
-    from tessera.llm.sentencepiece_bpe import encode
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is recognised go on: texts without letters and
+    those that no language wins with half of the probability are rejected."""
+    model = language.fit(docs)
+    got = language.predict(docs, model, keep=tuple(docs.columns), score="lang_score__", pred="lang_pred__")
+    return got.where((F.col("lang_pred__") != language.UNKNOWN) & (F.col("lang_score__") >= 0.5)).select(docs.columns)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Later repeats of runs of three or more lines are cut out of the texts;
+    a document that loses all its lines goes."""
+    got = lines.drop_repeated_lines(docs, prefix="lines__")
+    changed = F.col("lines__n_removed") > 0
+    got = got.where(~(changed & (F.col("lines__n_removed") == F.col("lines__n_lines"))))
+    n_chars = F.when(changed, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
+    return got.withColumn("n_chars", n_chars).select(docs.columns)
+
 
-    return encode(docs, tokenizer_path(), keep=("doc_id", "lang", "source"))
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies (five-word shingles, similarity 0.8 or
+    more) the document of smallest id stays."""
+    found = minhash.near_duplicates(docs, percent=80)
+    gone = found.where("not kept and doc_id is not null").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+
+
+def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, edited or not, go."""
+    found = decontaminate.find_items(docs, load_table(spark, sf_dir, "benchmark"))
+    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Ids of every text, end id included: ``doc_id, lang, source, n_tokens, ids``."""
+    return sentencepiece_bpe.encode(docs, tokenizer_path(), keep=("doc_id", "lang", "source"))
 
 
-STAGES = [("sentencepiece", tokens)]
+STAGES = [
+    ("language_id", language_id),
+    ("line_dedup", line_dedup),
+    ("near_dedup", near_dedup),
+    ("decontamination", benchmark_free),
+    ("sentencepiece", tokens),
+]
 
 #: SQL can express neither the classifier nor the alignment nor the tokenizer.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of the last stage over the whole ``documents`` table."""
     docs = load_table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
-            docs = materialize(docs, name)
+            docs = materialize(docs, f"pipeline-{name}")
     return docs

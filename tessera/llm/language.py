@@ -232,27 +232,31 @@ def fit(train: DataFrame, label: str = "lang", text: str = "text", key: str = "d
     return LanguageModel(languages, (weights * idf[:, None]).astype(np.float32), bias, t)
 
 
-def predict(docs: DataFrame, model: LanguageModel | None, text: str = "text", keep: tuple[str, ...] = ("doc_id",)
-            ) -> DataFrame:
-    """The ``keep`` columns, ``lang_pred`` and ``score`` of every whole text."""
-    src = docs.select(*[F.col(k).alias(f"k_{i}") for i, k in enumerate(keep)], F.col(text).alias("text"))
+def predict(docs: DataFrame, model: LanguageModel | None, text: str = "text", keep: tuple[str, ...] = ("doc_id",),
+            pred: str = "lang_pred", score: str = "score") -> DataFrame:
+    """The ``keep`` columns, and language (``pred``) and ``score`` of every whole text."""
     names = {f"k_{i}": k for i, k in enumerate(keep)}
+    src = docs.select(*[F.col(k).alias(f"k_{i}") for i, k in enumerate(keep)],
+                      *[F.col(text).alias("text")] * (text not in keep))
+    column = f"k_{keep.index(text)}" if text in keep else "text"
     if model is None:
-        return src.drop("text").withColumns({"lang_pred": F.lit(UNKNOWN), "score": F.lit(0.0)}).withColumnsRenamed(names)
+        return (src.select(*names, F.lit(UNKNOWN).alias("pred"), F.lit(0.0).alias("p"))
+                .withColumnsRenamed({**names, "pred": pred, "p": score}))
     labels = np.array([*model.languages, UNKNOWN], object)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j, raw, off in chunks(batch, "text"):
+            for i, j, raw, off in chunks(batch, column):
                 best, p, letters = model.scores(raw, off)
                 none = letters == 0
                 best[none], p[none] = len(labels) - 1, 0.0
                 cols = [batch.column(c).slice(i, j - i) for c in range(len(keep))]
                 yield pa.RecordBatch.from_arrays([*cols, pa.array(labels[best], pa.string()), pa.array(p)],
-                                                 names=[*names, "lang_pred", "score"])
+                                                 names=[*names, "pred", "p"])
 
-    kinds = ", ".join(f"k_{i} {docs.schema[k].dataType.simpleString()}" for i, k in enumerate(keep))
-    return src.mapInArrow(run, f"{kinds}, lang_pred string, score double").withColumnsRenamed(names)
+    kinds = "".join(f"k_{i} {docs.schema[k].dataType.simpleString()}, " for i, k in enumerate(keep))
+    return (src.mapInArrow(run, f"{kinds}pred string, p double")
+            .withColumnsRenamed({**names, "pred": pred, "p": score}))
 
 
 def held_out(key: Column, parts: int, rest: int) -> Column:

@@ -190,7 +190,7 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float
                     if hit:
                         size = lambda h: h[2] * len(scanner.words[h[0]])
                         covers = [n for n in found if n <= line <= n + found[n][1]]
-                        if covers and size(found[covers[0]][0]) >= size(hit):
+                        if covers and size(found[covers[0]][0]) > size(hit):
                             continue
                         for n in covers:
                             del found[n]

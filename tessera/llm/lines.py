@@ -82,25 +82,30 @@ def _salted(keys: DataFrame) -> DataFrame:
     return keys.select(F.col("fp").alias("fp_"), F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
 
 
-def drop_repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_lines: int = 3) -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_lines: int = 3,
+                        prefix: str = "") -> DataFrame:
     """``docs`` with the later repeated runs deleted from ``text``, plus
-    ``n_lines``, ``n_removed`` (lines) and ``n_runs`` (maximal removed runs)."""
+    ``n_lines``, ``n_removed`` (lines) and ``n_runs`` (maximal removed runs), each
+    name after ``prefix``; columns of ``docs`` with these names are replaced."""
     found = runs(docs, key, text, min_lines).select("doc", "part", "start", (F.col("start") + F.col("n_lines")).alias("end"))
     by = Window.partitionBy("doc", "part").orderBy("start", "end")
     reach = F.max("end").over(by.rowsBetween(Window.unboundedPreceding, -1))
     joined = (found.withColumn("fresh", F.coalesce(F.col("start") > reach, F.lit(True)).cast("int"))
               .withColumn("run", F.sum("fresh").over(by.rowsBetween(Window.unboundedPreceding, 0)))
               .groupBy("doc", "part", "run").agg(F.min("start").alias("start"), F.max("end").alias("end")))
-    gone = joined.groupBy("doc", "part").agg(F.collect_list(F.struct("start", "end")).alias("gone"))
-    gone = gone.select(F.col("doc").alias("doc_"), F.col("part").alias("part_"), "gone")
-    own = [c for c in docs.columns if c not in ("n_lines", "n_removed", "n_runs")]
-    got = docs.select(*own, F.xxhash64(text).alias("part__"))
-    got = got.join(gone, [F.col(key).eqNullSafe(F.col("doc_")), F.col("part__") == F.col("part_")], "left")
-    kept = F.filter(_lines(F.col(text)), lambda x, i: ~F.exists("gone", lambda r: (i >= r["start"]) & (i < r["end"])))
-    n_removed = F.aggregate("gone", F.lit(0), lambda n, r: n + r["end"] - r["start"])
+    gone = joined.groupBy("doc", "part").agg(F.collect_list(F.struct("start", "end")).alias("lines__gone"))
+    gone = gone.select(F.col("doc").alias("lines__doc"), F.col("part").alias("lines__part"), "lines__gone")
+    made = [f"{prefix}{c}" for c in ("n_lines", "n_removed", "n_runs")]
+    own = [c for c in docs.columns if c not in made]
+    got = docs.select(*own, F.xxhash64(text).alias("lines__own"))
+    got = got.join(gone, [F.col(key).eqNullSafe(F.col("lines__doc")), F.col("lines__own") == F.col("lines__part")], "left")
+    kept = F.filter(_lines(F.col(text)),
+                    lambda x, i: ~F.exists("lines__gone", lambda r: (i >= r["start"]) & (i < r["end"])))
+    n_removed = F.aggregate("lines__gone", F.lit(0), lambda n, r: n + r["end"] - r["start"])
+    untouched = F.col("lines__gone").isNull()
     return got.select(
-        *[F.when(F.col("gone").isNull(), F.col(text)).otherwise(F.concat_ws("\n", kept)).alias(text) if c == text
+        *[F.when(untouched, F.col(text)).otherwise(F.concat_ws("\n", kept)).alias(text) if c == text
           else F.col(c) for c in own],
-        F.when(F.col(text).isNull(), 0).otherwise(F.size(_lines(F.col(text)))).cast("long").alias("n_lines"),
-        F.coalesce(n_removed, F.lit(0)).cast("long").alias("n_removed"),
-        F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long").alias("n_runs"))
+        F.when(F.col(text).isNull(), 0).otherwise(F.size(_lines(F.col(text)))).cast("long").alias(made[0]),
+        F.coalesce(n_removed, F.lit(0)).cast("long").alias(made[1]),
+        F.when(untouched, 0).otherwise(F.size("lines__gone")).cast("long").alias(made[2]))

@@ -80,7 +80,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.minhash import near_duplicates
 
-    return near_duplicates(load_table(spark, sf_dir, "documents"))
+    return near_duplicates(load_table(spark, sf_dir, "documents"), percent=85)
 
 
 @query("op4_embeddings")
