@@ -51,15 +51,15 @@ def safe_div(num: Column, den: Column) -> Column:
 
 
 def exact_sum(col: Column | str, scale: int | None = None) -> Column:
-    """SUM that is independent of summation order.
+    """SUM that is independent of summation order; 0 for a group without values.
 
     With ``scale`` the values are summed as DECIMAL(28, scale) and the result
     cast back to double, so partial aggregation across any partitioning gives
     bit-identical results (money columns have two decimals)."""
     c = F.col(col) if isinstance(col, str) else col
     if scale is None:
-        return F.sum(c)
-    return F.sum(c.cast(T.DecimalType(28, scale))).cast("double")
+        return F.coalesce(F.sum(c), F.lit(0))
+    return F.coalesce(F.sum(c.cast(T.DecimalType(28, scale))).cast("double"), F.lit(0.0))
 
 
 # ----------------------------------------------------------------- parsing

@@ -25,34 +25,36 @@ def _values(df: DataFrame, col: str) -> DataFrame:
 
 def _rank_values(vals: DataFrame, ranks: tuple[int, int], n: int,
                  accuracy: int, max_band: int) -> tuple[float, float]:
-    """Values at 0-based ranks ``ranks`` (r0 <= r1) of the sorted non-null column."""
-    r0, r1 = ranks
-    lo, hi = None, None          # current band [lo, hi] (inclusive), None = open
-    below, m = 0, n              # values strictly below lo; values in band
+    """Values at 0-based ranks ``ranks`` of the sorted non-null column.
+
+    Each pass counts how often the band's end values occur: a rank that falls
+    on one of them is answered, and both leave the band, so heavy ties make
+    progress like any other values."""
+    found: dict[int, float] = {}
+    todo = sorted(set(ranks))
+    band, below, m = vals, 0, n          # open band, values under it, values in it
     margin = 2.0 / accuracy
-    for _ in range(64):
-        band = vals
-        if lo is not None:
-            band = band.where((F.col("x") >= F.lit(lo)) & (F.col("x") <= F.lit(hi)))
+    while todo:
         if m <= max_band:
             xs = sorted(r["x"] for r in band.collect())
-            return xs[r0 - below], xs[r1 - below]
-        f0 = max(0.0, (r0 - below) / m - margin)
-        f1 = min(1.0, (r1 - below + 1) / m + margin)
+            found.update({r: xs[r - below] for r in todo})
+            break
+        f0 = max(0.0, (todo[0] - below) / m - margin)
+        f1 = min(1.0, (todo[-1] - below + 1) / m + margin)
         a, b = band.agg(F.percentile_approx("x", [f0, f1], accuracy)).first()[0]
-        cnt = band.agg(F.count_if(F.col("x") < F.lit(a)).alias("lt"),
-                       F.count_if((F.col("x") >= F.lit(a)) & (F.col("x") <= F.lit(b))).alias("in")
-                       ).first()
-        new_below, new_m = below + cnt["lt"], cnt["in"]
-        if new_below <= r0 and r1 < new_below + new_m:
-            if a == b or new_m == m:      # a single repeated value holds both ranks
-                if a == b:
-                    return a, b
-                margin *= 0.5
-            lo, hi, below, m = a, b, new_below, new_m
-        else:
+        x = F.col("x")
+        cnt = band.agg(F.count_if(x < a).alias("lt"), F.count_if(x == a).alias("at_a"),
+                       F.count_if((x > a) & (x < b)).alias("mid"),
+                       F.count_if((x == b) & (x > a)).alias("at_b")).first()
+        low = below + cnt["lt"]
+        inner, upper = low + cnt["at_a"], low + cnt["at_a"] + cnt["mid"]
+        if todo[0] < low or todo[-1] >= upper + cnt["at_b"]:
             margin *= 4.0                 # approximation missed: widen and retry
-    raise RuntimeError("quantile band did not converge")
+            continue
+        found.update({r: a if r < inner else b for r in todo if r < inner or r >= upper})
+        todo = [r for r in todo if r not in found]
+        band, below, m = band.where((x > a) & (x < b)), inner, cnt["mid"]
+    return found[ranks[0]], found[ranks[1]]
 
 
 def quantiles(df: DataFrame, col: str, probs: list[float], approx: bool = False,

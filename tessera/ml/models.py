@@ -25,10 +25,13 @@ from pyspark.sql import functions as F
 
 from tessera.session import cut_lineage
 
-REGRESSION = ["Linear Regression", "Decision Tree Regressor", "Random Forest", "SVM Regressor",
-              "AdaBoost", "Lasso", "Ridge"]
-CLASSIFICATION = ["Logistic Regression", "Decision Tree Classifier", "Random Forest",
-                  "SVM Classifier", "Naive Bayes"]
+
+
+def _depth(max_depth: int) -> int:
+    """Spark's trees go to depth 30; a deeper request is refused, not cut."""
+    if max_depth > 30:
+        raise ValueError(f"max_depth {max_depth} is above the limit of 30")
+    return max_depth
 
 
 def _assemble(df: DataFrame, features: list[str], out: str = "features") -> DataFrame:
@@ -154,10 +157,10 @@ def fit_predict(train: DataFrame, test: DataFrame, features: list[str], label: s
             est = R.LinearRegression(elasticNetParam=1.0, standardization=False,
                                      regParam=p.get("alpha", 1.0), maxIter=1000, tol=1e-8)
         elif model == "Decision Tree Regressor":
-            est = R.DecisionTreeRegressor(maxDepth=min(p.get("max_depth", 30), 30), seed=42)
+            est = R.DecisionTreeRegressor(maxDepth=_depth(p.get("max_depth", 30)), seed=42)
         elif model == "Random Forest":
             est = R.RandomForestRegressor(numTrees=p.get("n_estimators", 100),
-                                          maxDepth=min(p.get("max_depth", 30) or 30, 30),
+                                          maxDepth=_depth(p.get("max_depth") or 30),
                                           featureSubsetStrategy="all", seed=42)
         else:
             raise ValueError(f"unknown regression model {model!r}")
@@ -174,10 +177,10 @@ def fit_predict(train: DataFrame, test: DataFrame, features: list[str], label: s
             est = C.LogisticRegression(regParam=1.0 / (p.get("C", 1.0) * n), elasticNetParam=0.0,
                                        standardization=False, maxIter=200, tol=1e-10)
         elif model == "Decision Tree Classifier":
-            est = C.DecisionTreeClassifier(maxDepth=min(p.get("max_depth", 30), 30), seed=42)
+            est = C.DecisionTreeClassifier(maxDepth=_depth(p.get("max_depth", 30)), seed=42)
         elif model == "Random Forest":
             est = C.RandomForestClassifier(numTrees=p.get("n_estimators", 100),
-                                           maxDepth=min(p.get("max_depth", 30) or 30, 30),
+                                           maxDepth=_depth(p.get("max_depth") or 30),
                                            featureSubsetStrategy="sqrt", seed=42)
         elif model == "Naive Bayes":
             est = C.NaiveBayes(modelType="gaussian")

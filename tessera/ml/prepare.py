@@ -90,9 +90,10 @@ def standardize(df: DataFrame, columns: list[str], suffix: str = "") -> DataFram
 
 def split_flag(key: Column, train_permille: int = 700, seed: int = 42) -> Column:
     """Deterministic 70/30 split from key arithmetic: ``train`` when
-    ``(key * 2654435761 + seed) mod 1000 < train_permille`` (independent of
+    ``(key * 2654435761 + seed) mod 1000 < train_permille``, the key being
+    reduced first so that large keys cannot overflow (independent of
     partitioning, unlike ``randomSplit``)."""
-    return F.when(F.pmod(key * F.lit(2654435761) + F.lit(seed), F.lit(1000)) < train_permille,
+    return F.when(F.pmod(F.pmod(key, F.lit(1000)) * F.lit(2654435761) + F.lit(seed), F.lit(1000)) < train_permille,
                   "train").otherwise("test")
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.columns import business_days_after
+from tessera.operators.smoothing import series_positions
 
 R2_WARNING = 0.85  # fixed value: quality bar under which a forecast is flagged
 
@@ -22,14 +23,10 @@ R2_WARNING = 0.85  # fixed value: quality bar under which a forecast is flagged
 def split_samples(samples: DataFrame, series: list[str], train_fraction: float = 0.8) -> DataFrame:
     """Chronological split per series: first ``floor(fraction * n)`` samples
     train, the rest test (``n`` = samples of the series)."""
-    counts = samples.groupBy(*series).agg(F.count(F.lit(1)).alias("_ns"))
-    j = samples.join(counts, series)
-    firsts = samples.groupBy(*series).agg(F.min("position").alias("_p0"))
-    j = j.join(firsts, series)
-    idx = F.col("position") - F.col("_p0") + 1        # positions of one series are consecutive
-    return j.select(*samples.columns,
-                    F.when(idx <= F.floor(F.col("_ns") * F.lit(train_fraction)), "train")
-                    .otherwise("test").alias("split")).drop("_ns", "_p0")
+    ranked = series_positions(samples, series, ["position"])     # positions have gaps where nulls were
+    return ranked.select(*samples.columns,
+                         F.when(F.col("_rn") <= F.floor(F.col("_n") * F.lit(train_fraction)), "train")
+                         .otherwise("test").alias("split"))
 
 
 def fit_linear(train: DataFrame, lags: int):

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.columns import numeric_columns, require_columns
+from tessera.functions.columns import nan_to_null, numeric_columns, require_columns
 from tessera.functions.quantiles import median
 from tessera.session import cut_lineage
 
@@ -93,6 +93,7 @@ def fill_statistic(df: DataFrame, strategy: str = "mean", columns: list[str] | N
         c for c in numeric_columns(df) if null_counts(df, [c])[c] > 0]
     if not cols:
         return df, {}
+    df = nan_to_null(df, cols)                                # NaN counts as missing and is filled
     values: dict[str, object] = {}
     if strategy == "mean":
         row = df.agg(*[F.avg(c).alias(c) for c in cols]).first()

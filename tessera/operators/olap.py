@@ -126,6 +126,11 @@ def data_cubes(fact: DataFrame, dims: list[str], measures: list[str],
             .select(name_expr.alias("cube"), no_expr.alias("cube_no"), *dims, *measures))
 
 
+def merge_cubes(cubes: DataFrame, dims: list[str], measures: list[str], money_scale: int | None = None) -> DataFrame:
+    """One table of cubes from the cubes of disjoint parts of the facts."""
+    return cubes.groupBy("cube", "cube_no", *dims).agg(*[exact_sum(m, money_scale).alias(m) for m in measures])
+
+
 def cube_batches(cubes: DataFrame, batch_size: int) -> DataFrame:
     """Assign cubes to export batches of ``batch_size`` cubes:
     ``batch = floor((cube_no - 1) / batch_size) + 1`` and file name ``cube_a_b``."""

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.columns import numeric_columns, require_columns
+from tessera.functions.columns import nan_to_null, numeric_columns, require_columns
 from tessera.functions.quantiles import median, quantiles
 
 MAD_SCALE = 0.6745  # fixed value: consistency constant of the modified Z-score
@@ -91,7 +91,7 @@ def treat(df: DataFrame, columns: list[str] | None = None, method: str = "iqr",
     require_columns(df, cols)
     threshold = params.get("threshold", 3.0)
     report = []
-    cur = df
+    cur = nan_to_null(df, cols)
     for c in cols:
         b = bounds(cur, c, method, approx=approx, **params)
         flag = is_outlier(c, b, threshold)
@@ -105,11 +105,10 @@ def treat(df: DataFrame, columns: list[str] | None = None, method: str = "iqr",
             if b.lower is None:
                 continue
             capped = F.least(F.greatest(F.col(c), F.lit(b.lower)), F.lit(b.upper))
-            cur = cur.withColumn(c, capped.cast(dict(cur.dtypes)[c]))
+            cur = cur.withColumn(c, capped.cast("double"))    # a bound need not be an integer
         elif treatment == "median":
             med = median(cur, c, approx=approx)
-            cur = cur.withColumn(c, F.when(flag, F.lit(med)).otherwise(F.col(c))
-                                 .cast(dict(cur.dtypes)[c]))
+            cur = cur.withColumn(c, F.when(flag, F.lit(med)).otherwise(F.col(c)).cast("double"))
         else:
             raise ValueError(f"unknown treatment {treatment!r}")
     return cur, report
@@ -127,6 +126,7 @@ def outlier_counts(df: DataFrame, columns: list[str], method: str = "iqr", appro
     """Outliers per column, detected on the same data (no treatment between),
     computed in one pass with ``count_if`` per column."""
     threshold = params.get("threshold", 3.0)
+    df = nan_to_null(df, columns)
     flags = [is_outlier(c, bounds(df, c, method, approx=approx, **params), threshold) for c in columns]
     row = df.agg(*[F.count_if(f).alias(c) for f, c in zip(flags, columns)])
     structs = [F.struct(F.lit(c).alias("column"), F.col(c).alias("n_outliers")) for c in columns]

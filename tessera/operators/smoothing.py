@@ -116,7 +116,8 @@ def ewm_mean(df: DataFrame, series: list[str], order: list[str], columns: list[s
              window: int = 5, block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
     """Bias-adjusted EWMA with span ``window``:
     y_t = sum_i decay^i x_{t-i} / sum_i decay^i over non-null x (i by row
-    distance), truncated after K rows (weights below 1e-12)."""
+    distance); terms more than K rows back weigh below 1e-12 of the row's own.
+    A null row repeats the last value, however long the run of nulls."""
     decay, k = ewm_terms(window)
 
     def compute(d, w):
@@ -130,10 +131,28 @@ def ewm_mean(df: DataFrame, series: list[str], order: list[str], columns: list[s
                               lambda acc, e: acc + e["x"] * F.pow(F.lit(decay), F.col("_rn") - e["rn"]))
             den = F.aggregate(kept, F.lit(0.0),
                               lambda acc, e: acc + F.pow(F.lit(decay), F.col("_rn") - e["rn"]))
-            out.append(F.when(F.size(kept) > 0, num / den).alias(f"{c}_smoothed"))
+            out.append(F.when(F.col(c).isNotNull(), num / den).alias(f"{c}_smoothed"))
         return d.select("*", *out)
 
-    return stencil(df, series, order, k - 1, 0, compute, block_rows).drop("_n")
+    smoothed = stencil(df, series, order, k - 1, 0, compute, block_rows).drop("_n")
+    return _carry_forward(smoothed, series, [f"{c}_smoothed" for c in columns], block_rows)
+
+
+def _carry_forward(pos: DataFrame, series: list[str], columns: list[str], block_rows: int) -> DataFrame:
+    """Fill NULLs of ``columns`` with the last non-null value of the series
+    (rows numbered by ``_rn``): inside blocks by a window, across blocks by the
+    blocks' last values, one row per block."""
+    pos = cut_lineage(pos.withColumn("_b", F.floor((F.col("_rn") - 1) / block_rows)))
+    rows = Window.partitionBy(*series, "_b").orderBy("_rn")
+    last = pos.groupBy(*series, "_b").agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.col("_rn"))).alias(f"_l{i}")
+                                            for i, c in enumerate(columns)])
+    blocks = Window.partitionBy(*series).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    last = last.select(*series, "_b", *[F.last(f"_l{i}", ignorenulls=True).over(blocks).alias(f"_l{i}")
+                                        for i in range(len(columns))])
+    out = pos.select("*", *[F.last(c, ignorenulls=True).over(rows).alias(f"_f{i}") for i, c in enumerate(columns)])
+    out = out.join(broadcast_if_bounded(last), [*series, "_b"])
+    return out.select(*[F.coalesce(F.col(f"_f{columns.index(c)}"), F.col(f"_l{columns.index(c)}")).alias(c)
+                        if c in columns else F.col(c) for c in pos.columns if c != "_b"])
 
 
 def gaussian_kernel(window: int, truncate: float = 4.0) -> tuple[list[float], int]:
@@ -154,19 +173,20 @@ def _reflect(p: Column, n: Column) -> Column:
 
 def gaussian_smooth(df: DataFrame, series: list[str], order: list[str], columns: list[str],
                     window: int = 5, block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
-    """1-D Gaussian filter (sigma = window/3, reflected edges)."""
+    """1-D Gaussian filter (sigma = window/3, reflected edges); NULL where the
+    window holds a NULL."""
     weights, r = gaussian_kernel(window)
 
     def compute(d, w):
         frame = w.rowsBetween(-r, r)
         out = []
         for c in columns:
-            vals = F.collect_list(F.col(c).cast("double")).over(frame)
+            vals = F.collect_list(F.struct(F.col(c).cast("double").alias("x"))).over(frame)   # keeps nulls in place
             first = F.greatest(F.col("_rn") - r, F.lit(1))
             terms = []
             for j, wt in zip(range(-r, r + 1), weights):
                 q = _reflect(F.col("_rn") - 1 + j, F.col("_n"))      # 0-based position
-                terms.append(F.lit(wt) * F.element_at(vals, (q + 2 - first).cast("int")))
+                terms.append(F.lit(wt) * F.element_at(vals, (q + 2 - first).cast("int"))["x"])
             out.append(sum(terms[1:], terms[0]).alias(f"{c}_smoothed"))
         return d.select("*", *out)
 
@@ -269,8 +289,9 @@ def loess(df: DataFrame, series: list[str], order: list[str], column: str, windo
     """LOWESS of ``column`` against its position (frac = window / n, i.e. the
     ``window`` nearest positions), ``iterations`` bisquare robustness passes
     with the per-series median absolute residual.  Adds
-    ``<column>_smoothed``."""
+    ``<column>_smoothed``.  Rows whose value is NULL are dropped."""
     k = max(int(window), 2)
+    df = df.where(F.col(column).isNotNull())
     pos = cut_lineage(series_positions(df, series, order).withColumn("_rw", F.lit(1.0)))
     fitted = None
     for it in range(iterations + 1):

@@ -8,7 +8,7 @@ from itertools import product
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.columns import numeric_columns, require_columns
+from tessera.functions.columns import nan_to_null, numeric_columns, require_columns
 
 
 def variance_summary(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -16,6 +16,7 @@ def variance_summary(df: DataFrame, columns: list[str] | None = None) -> DataFra
     is 0), sorted by variance descending."""
     cols = columns if columns is not None else numeric_columns(df)
     require_columns(df, cols)
+    df = nan_to_null(df, cols)
     aggs = []
     for i, c in enumerate(cols):
         aggs += [F.var_samp(c).alias(f"v{i}"), F.stddev_samp(c).alias(f"s{i}"), F.avg(c).alias(f"m{i}")]
@@ -51,6 +52,7 @@ def correlation_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
     where both are non-null (pairwise complete).  A constant column gives NULL
     (pandas NaN) instead of an ANSI divide-by-zero."""
     require_columns(df, columns)
+    df = nan_to_null(df, columns)
     aggs = []
     pairs = [(a, b) for a, b in product(columns, columns)]
     for i, (a, b) in enumerate(pairs):

@@ -263,13 +263,13 @@ def _model_metrics(spark, sf, model, problem, params=None):
 
 _REG_MODELS = {"reg_ridge": ("Ridge", {"alpha": 0.1}), "reg_lasso": ("Lasso", {"alpha": 0.1}),
                "reg_tree": ("Decision Tree Regressor", {"max_depth": 10}),
-               "reg_forest": ("Random Forest", {"n_estimators": 20, "max_depth": 10}),
+               "reg_forest": ("Random Forest", {"n_estimators": 100, "max_depth": 10}),
                "reg_adaboost": ("AdaBoost", {"n_estimators": 10}),
                "reg_svr": ("SVM Regressor", {"C": 1.0, "kernel": "rbf"}),
                "reg_linear_pca": ("Linear Regression", {})}
 _CLF_MODELS = {"clf_logistic": ("Logistic Regression", {"C": 1.0}),
                "clf_tree": ("Decision Tree Classifier", {"max_depth": 10}),
-               "clf_forest": ("Random Forest", {"n_estimators": 20, "max_depth": 10}),
+               "clf_forest": ("Random Forest", {"n_estimators": 100, "max_depth": 10}),
                "clf_svm": ("SVM Classifier", {"C": 1.0, "kernel": "rbf"}),
                "clf_nb_pca": ("Naive Bayes", {})}
 

@@ -103,12 +103,12 @@ SAMPLE_SEED = 42
 
 
 def sample_order(key: str, seed: int = SAMPLE_SEED):
-    """A deterministic pseudo-random order from key arithmetic (same in SQL)."""
-    return ((F.col(key) * 7919 + seed) % 10007, F.col(key))
+    """A deterministic pseudo-random order: md5 of key and seed (same in SQL)."""
+    return (F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}")).cast("binary")), F.col(key))
 
 
 @register("sample_n", EF_SQL + f"""
-SELECT * FROM ef ORDER BY (event_id * 7919 + {SAMPLE_SEED}) % 10007, event_id LIMIT {SAMPLE_N}""")
+SELECT * FROM ef ORDER BY md5(CAST(event_id AS VARCHAR) || ':{SAMPLE_SEED}'), event_id LIMIT {SAMPLE_N}""")
 def sample_n(spark, sf):
     """Exactly n rows in a seeded pseudo-random order (distributed top-n)."""
     return events_features(spark, sf).orderBy(*sample_order("event_id")).limit(SAMPLE_N)

@@ -17,7 +17,7 @@ from tessera.plans.olap import CUBE_DIMS, MEASURES, _cubes_sql
 from tessera.plans.registry import register
 from tessera.sources.tables import load_table
 from tessera.streaming import clustream, hoeffding
-from tessera.streaming.sources import file_stream, run_available_now, scratch_path
+from tessera.streaming.sources import run_available_now, scratch_path, table_stream
 
 
 def _epoch(ts_col: str = "ts"):
@@ -33,7 +33,7 @@ def stream_clustream(spark, sf):
     """Micro-clusters per user over the event stream (state store), points
     (minute of day, value), created at event time; threshold 100, 3 clusters."""
     schema = load_table(spark, sf, "events").schema
-    src = file_stream(spark, sf, schema, "parquet", glob="events.parquet")
+    src = table_stream(spark, sf, "events", schema)
     out = clustream.cluster_stream(src, F.col("user_id"), "event_id", _epoch(), _minute(), F.col("value"))
     sink, ckpt = scratch_path(spark, "clustream-out"), scratch_path(spark, "clustream-ckpt")
     run_available_now(out.writeStream.format("parquet").option("path", sink)
@@ -139,12 +139,13 @@ def event_records(spark, sf):
 
 @register("stream_cube_refresh", _cubes_sql(CUBE_DIMS))
 def stream_cube_refresh(spark, sf):
-    """Line items as a stream; every micro-batch appends its facts (joined to
-    the static order/customer/nation dimensions) and re-exports all cubes
-    over the accumulated facts."""
+    """Line items as a stream; every micro-batch joins its facts to the static
+    order/customer/nation dimensions and writes its own cubes under its batch
+    id (a replayed batch overwrites itself).  Cubes are sums, so the export is
+    the sum of the batches' cubes; no batch reads earlier facts."""
     schema = load_table(spark, sf, "lineitem").schema
-    src = file_stream(spark, sf, schema, "parquet", glob="lineitem.parquet")
-    facts_path, export = scratch_path(spark, "cube-facts"), scratch_path(spark, "cube-export")
+    src = table_stream(spark, sf, "lineitem", schema)
+    export = scratch_path(spark, "cube-export")
     o = load_table(spark, sf, "orders").select("o_orderkey", "o_custkey")
     c = load_table(spark, sf, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
     n = broadcast_if_bounded(load_table(spark, sf, "nation").select("n_nationkey", "n_name"), 1000)
@@ -154,11 +155,10 @@ def stream_cube_refresh(spark, sf):
                  .join(o, F.col("l_orderkey") == o.o_orderkey).join(c, F.col("o_custkey") == c.c_custkey)
                  .join(n, F.col("c_nationkey") == n.n_nationkey)
                  .select("n_name", "c_mktsegment", "l_returnflag", "l_quantity", "l_extendedprice"))
-        facts.write.mode("append").parquet(facts_path)
-        allf = batch.sparkSession.read.parquet(facts_path)
-        olap.data_cubes(allf, CUBE_DIMS, MEASURES, money_scale=2).write.mode("overwrite").parquet(export)
+        cubes = olap.data_cubes(facts, CUBE_DIMS, MEASURES, money_scale=2)
+        cubes.write.mode("overwrite").parquet(f"{export}/batch={batch_id}")
 
     run_available_now(src.writeStream.foreachBatch(refresh)
                       .option("checkpointLocation", scratch_path(spark, "cube-ckpt")))
-    return spark.read.parquet(export)
+    return olap.merge_cubes(spark.read.parquet(export).drop("batch"), CUBE_DIMS, MEASURES, money_scale=2)
 

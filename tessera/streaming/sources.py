@@ -44,13 +44,24 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/tessera-{name}/{uuid.uuid4().hex}"
 
 
-def run_available_now(writer, timeout_s: int = 600) -> None:
-    """Start a ``DataStreamWriter`` with ``trigger(availableNow=True)`` and wait."""
+def table_stream(spark: SparkSession, sf_dir: str, name: str, schema,
+                 max_files_per_trigger: int | None = None) -> DataFrame:
+    """A driver table as a stream: the part files of a directory table, or the
+    single file of that name in ``sf_dir``."""
+    root, leaf = sf_dir.rstrip("/"), f"{name}.parquet"
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{leaf}")
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.getFileStatus(path).isDirectory():
+        return file_stream(spark, f"{root}/{leaf}", schema, max_files_per_trigger=max_files_per_trigger)
+    return file_stream(spark, root, schema, glob=leaf, max_files_per_trigger=max_files_per_trigger)
+
+
+def run_available_now(writer) -> None:
+    """Start a ``DataStreamWriter`` with ``trigger(availableNow=True)`` and wait
+    until all available data is processed; a failure of the query is raised."""
     q = writer.trigger(availableNow=True).start()
     try:
-        q.awaitTermination(timeout_s)
+        q.awaitTermination()
     finally:
         if q.isActive:
             q.stop()
-    if q.exception():
-        raise RuntimeError(str(q.exception()))
