@@ -20,36 +20,27 @@ from tessera.session import cut_lineage
 DFS_SCHEMA = "graph string, seq int, i int, j int, li string, el int, lj string, forward boolean"
 
 
-def dfs_code(adj: dict[str, list[str]], start: str, directed: bool = True) -> list[tuple]:
-    """DFS code from ``start``: tree edges in discovery order, then back edges
-    (to an earlier-discovered vertex, not the reverse of a tree edge; for an
-    undirected graph only towards the smaller label).  Tuples
-    ``(i, j, label_i, 1, label_j)``."""
-    order: dict[str, int] = {}
-    tree: list[tuple[str, str]] = []
-    tree_set: set[tuple[str, str]] = set()
-    back: list[tuple[str, str]] = []
+def dfs_code(adj: dict[str, list[str]], start: str | None, directed: bool = True) -> list[tuple]:
+    """DFS code from ``start``: tree edges in discovery order, then the other
+    edges to earlier vertices in the order the walk meets them (a tree edge's
+    reverse is not one; in an undirected graph only those towards the smaller
+    label are).  Tuples ``(i, j, label_i, 1, label_j)``."""
     if start is None:
         return []
-    order[start] = 0
-    stack = [(start, iter(adj.get(start, [])))]
-    while stack:
-        v, it = stack[-1]
-        advanced = False
-        for n in it:
-            if n not in order:
-                tree.append((v, n))
-                tree_set.add((v, n))
-                order[n] = len(order)
-                stack.append((n, iter(adj.get(n, []))))
-                advanced = True
-                break
-            if (n, v) not in tree_set and v != n and order[n] < order[v]:
-                if directed or n < v:
-                    back.append((v, n))
-        if not advanced:
-            stack.pop()
-    return [(order[u], order[w], u, 1, w) for u, w in tree + back]
+    number, parent = {start: 0}, {start: None}
+    tree, back, path, end = [], [], [(start, iter(adj.get(start, [])))], object()
+    while path:
+        v, neighbours = path[-1]
+        n = next(neighbours, end)
+        if n is end:
+            path.pop()
+        elif n not in number:
+            number[n], parent[n] = len(number), v
+            tree.append((v, n))
+            path.append((n, iter(adj.get(n, []))))
+        elif number[n] < number[v] and n != parent[v] and (directed or n < v):
+            back.append((v, n))
+    return [(number[a], number[b], a, 1, b) for a, b in tree + back]
 
 
 ROWS_PER_CALL = 20_000

@@ -105,7 +105,7 @@ def treat(df: DataFrame, columns: list[str] | None = None, method: str = "iqr",
             if b.lower is None:
                 continue
             capped = F.least(F.greatest(F.col(c), F.lit(b.lower)), F.lit(b.upper))
-            cur = cur.withColumn(c, capped.cast("double"))    # a bound need not be an integer
+            cur = cur.withColumn(c, F.when(F.col(c).isNotNull(), capped.cast("double")))   # bounds may be fractions
         elif treatment == "median":
             med = median(cur, c, approx=approx)
             cur = cur.withColumn(c, F.when(flag, F.lit(med)).otherwise(F.col(c)).cast("double"))

@@ -245,42 +245,44 @@ def series_prefix_sum(df: DataFrame, series: list[str], order: list[str], value:
     return joined.select(*df.columns, (F.col("_off") + F.sum("_v").over(local)).alias("_cum"))
 
 
-def _loess_fit(vals: Column, wts: Column, rn: Column, n: Column, k: int) -> Column:
-    """Local linear fit at position ``rn`` (1-based) over the window of ``k``
-    consecutive positions nearest to it (left-preferring on ties, clamped to
-    the series), tricube distance weights times robustness weights.
-    ``vals``/``wts``: arrays of the frame rows ``rn - k .. rn + k``."""
+def _loess_fit(rows: Column, rn: Column, n: Column, k: int, x0: Column) -> Column:
+    """Local linear fit at ``x0``, the row of position ``rn`` (1-based): the
+    window of ``k`` consecutive rows nearest to it (the leftmost on ties),
+    tricube distance weights times robustness weights.  ``rows``: structs
+    ``(x, y, w)`` of the frame rows ``rn - k .. rn + k``."""
     first = F.greatest(rn - k, F.lit(1))
-    left = F.least(F.greatest(rn - (k // 2), F.lit(1)), F.greatest(n - k + 1, F.lit(1)))
+
+    def at(j):
+        return F.get(rows, (j - first).cast("int"))           # NULL outside the frame
+
+    starts = F.sequence(F.greatest(rn - k + 1, F.lit(1)), rn)
+    left = F.element_at(F.filter(starts, lambda j: (j + k > n) | (x0 <= (at(j)["x"] + at(j + k)["x"]) / 2)), 1)
     right = F.least(left + k - 1, n)
-    radius = F.greatest(rn - left, right - rn).cast("double")
-    idx = F.sequence(left, right)
+    radius = F.greatest(x0 - at(left)["x"], at(right)["x"] - x0)
 
-    def w_at(j):
-        d = F.abs(j - rn).cast("double")
+    def w_at(r):
+        d = F.abs(r["x"] - x0)
         tri = F.when(d < radius, F.pow(1 - F.pow(d / radius, 3), 3)).otherwise(F.lit(0.0))
-        return tri * F.element_at(wts, (j - first + 1).cast("int"))
+        return tri * r["w"]
 
-    terms = F.transform(idx, lambda j: F.struct(j.cast("double").alias("x"),
-                                                F.element_at(vals, (j - first + 1).cast("int")).alias("y"),
-                                                w_at(j).alias("w")))
+    terms = F.transform(F.slice(rows, (left - first + 1).cast("int"), (right - left + 1).cast("int")),
+                        lambda r: F.struct(r["x"].alias("x"), r["y"].alias("y"), w_at(r).alias("w")))
     zero = F.struct(*[F.lit(0.0).alias(c) for c in ("sw", "sx", "sy", "sxx", "sxy")])
     acc = F.aggregate(terms, zero, lambda a, t: F.struct(
         (a["sw"] + t["w"]).alias("sw"), (a["sx"] + t["w"] * t["x"]).alias("sx"),
         (a["sy"] + t["w"] * t["y"]).alias("sy"), (a["sxx"] + t["w"] * t["x"] * t["x"]).alias("sxx"),
         (a["sxy"] + t["w"] * t["x"] * t["y"]).alias("sxy")))
-    own = F.element_at(vals, (rn - first + 1).cast("int"))
-    return F.struct(acc.alias("s"), own.alias("own"))
+    return F.struct(acc.alias("s"), at(rn)["y"].alias("own"))
 
 
-def _loess_finish(st: Column, rn: Column) -> Column:
+def _loess_finish(st: Column, x0: Column) -> Column:
     """Fitted value from the weighted sums struct of :func:`_loess_fit` (kept
     in its own column so the window arrays are walked once per row)."""
     sw, sx, sy, sxx, sxy = (st["s"][c] for c in ("sw", "sx", "sy", "sxx", "sxy"))
     xbar = sx / sw
     var = sxx / sw - xbar * xbar
     slope = F.when(var > 1e-12, (sxy / sw - xbar * (sy / sw)) / var).otherwise(F.lit(0.0))
-    fit = sy / sw + slope * (rn.cast("double") - xbar)
+    fit = sy / sw + slope * (x0 - xbar)
     return F.when(sw > 0, fit).otherwise(st["own"])
 
 
@@ -289,19 +291,25 @@ def loess(df: DataFrame, series: list[str], order: list[str], column: str, windo
     """LOWESS of ``column`` against its position (frac = window / n, i.e. the
     ``window`` nearest positions), ``iterations`` bisquare robustness passes
     with the per-series median absolute residual.  Adds
-    ``<column>_smoothed``.  Rows whose value is NULL are dropped."""
+    ``<column>_smoothed``.  Rows whose value is NULL are dropped; the others
+    keep their position in the whole series."""
     k = max(int(window), 2)
-    df = df.where(F.col(column).isNotNull())
-    pos = cut_lineage(series_positions(df, series, order).withColumn("_rw", F.lit(1.0)))
+    known = F.col(column).isNotNull()
+    if df.where(~known).isEmpty():
+        pos = series_positions(df, series, order).withColumn("_x", F.col("_rn").cast("double"))
+    else:
+        placed = series_positions(df, series, order).withColumn("_x", F.col("_rn").cast("double")).drop("_rn", "_n")
+        pos = series_positions(placed.where(known), series, ["_x"])
+    pos = cut_lineage(pos.withColumn("_rw", F.lit(1.0)))
     fitted = None
     for it in range(iterations + 1):
         blocked = with_blocks(pos, k, k, block_rows)
         w = Window.partitionBy(*series, "_blk").orderBy("_rn").rowsBetween(-k, k)
-        vals = F.collect_list(F.col(column).cast("double")).over(w)
-        wts = F.collect_list(F.col("_rw")).over(w)
-        fitted = (blocked.select("*", _loess_fit(vals, wts, F.col("_rn"), F.col("_n"), k).alias("_st"))
-                  .where("_home").drop("_blk", "_home"))
-        fitted = fitted.withColumn("_fit", _loess_finish(F.col("_st"), F.col("_rn"))).drop("_st")
+        rows = F.collect_list(F.struct(F.col("_x").alias("x"), F.col(column).cast("double").alias("y"),
+                                       F.col("_rw").alias("w"))).over(w)
+        fitted = blocked.select("*", rows.alias("_frame")).where("_home").drop("_blk", "_home")
+        fitted = fitted.withColumn("_st", _loess_fit(F.col("_frame"), F.col("_rn"), F.col("_n"), k, F.col("_x")))
+        fitted = fitted.withColumn("_fit", _loess_finish(F.col("_st"), F.col("_x"))).drop("_st", "_frame")
         fitted = cut_lineage(fitted)
         if it == iterations:
             break

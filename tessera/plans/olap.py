@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from itertools import combinations
 
+from pyspark.sql import functions as F
+
 from tessera.operators import olap
 from tessera.plans.inputs import SALES_FLAT_SQL, nation_region, sales_by_customer, sales_flat
 from tessera.plans.registry import register
@@ -135,3 +137,19 @@ def dedup_rows(spark, sf):
     """Distinct rows of a projection (pandas ``drop_duplicates``)."""
     return load_table(spark, sf, "events").select("user_id", "event_type").dropDuplicates()
 
+
+
+@register("cube_null_measure", """
+SELECT 'l_returnflag' AS cube, CAST(1 AS INTEGER) AS cube_no, l_returnflag, CAST(NULL AS VARCHAR) AS l_linestatus,
+       CAST(COALESCE(SUM(CASE WHEN l_returnflag <> 'N' THEN l_quantity END), 0) AS DOUBLE) AS l_quantity
+FROM lineitem GROUP BY l_returnflag
+UNION ALL SELECT 'l_linestatus', 2, NULL, l_linestatus,
+       CAST(COALESCE(SUM(CASE WHEN l_returnflag <> 'N' THEN l_quantity END), 0) AS DOUBLE) FROM lineitem GROUP BY l_linestatus
+UNION ALL SELECT '""" + olap.cube_name(("l_returnflag", "l_linestatus")) + """', 3, l_returnflag, l_linestatus,
+       CAST(COALESCE(SUM(CASE WHEN l_returnflag <> 'N' THEN l_quantity END), 0) AS DOUBLE)
+FROM lineitem GROUP BY l_returnflag, l_linestatus""")
+def cube_null_measure(spark, sf):
+    """Cubes of a measure that is null in a whole group: its sum is 0."""
+    li = load_table(spark, sf, "lineitem").select("l_returnflag", "l_linestatus", F.when(
+        F.col("l_returnflag") != "N", F.col("l_quantity")).alias("l_quantity"))
+    return olap.data_cubes(li, ["l_returnflag", "l_linestatus"], ["l_quantity"], money_scale=2)

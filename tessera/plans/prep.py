@@ -286,8 +286,10 @@ def outlier_remove(spark, sf):
 , b1 AS (SELECT quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3,
                 quantile_cont(log_value, 0.25) AS p1, quantile_cont(log_value, 0.75) AS p3 FROM ef)
 SELECT event_id,
-       ROUND(least(greatest(value, q1 - 1.5 * (q3 - q1)), q3 + 1.5 * (q3 - q1)), 6) AS value,
-       ROUND(least(greatest(log_value, p1 - 1.5 * (p3 - p1)), p3 + 1.5 * (p3 - p1)), 6) AS log_value
+       CASE WHEN value IS NOT NULL
+            THEN ROUND(least(greatest(value, q1 - 1.5 * (q3 - q1)), q3 + 1.5 * (q3 - q1)), 6) END AS value,
+       CASE WHEN log_value IS NOT NULL
+            THEN ROUND(least(greatest(log_value, p1 - 1.5 * (p3 - p1)), p3 + 1.5 * (p3 - p1)), 6) END AS log_value
 FROM ef, b1""")
 def outlier_cap(spark, sf):
     return _treated(spark, sf, "iqr", "cap", k=1.5)
@@ -381,3 +383,33 @@ def corr_matrix(spark, sf):
 def corr_pairs(spark, sf):
     m = variance.correlation_matrix(events_features(spark, sf), FEATURES)
     return _r(variance.high_correlation_pairs(m, 0.5), ["correlation"])
+
+
+# ------------------------------------------------------------------ ties, integers, null groups
+@register("outlier_cap_int", """
+WITH e AS (SELECT event_id, CAST(floor(value) AS INTEGER) AS x FROM events),
+b AS (SELECT quantile_cont(x, 0.25) AS q1, quantile_cont(x, 0.75) AS q3 FROM e)
+SELECT event_id, CAST(least(greatest(x, q1 - 0.5 * (q3 - q1)), q3 + 0.5 * (q3 - q1)) AS DOUBLE) AS x FROM e, b""")
+def outlier_cap_int(spark, sf):
+    """Capping an integer column: the bounds keep their fractions."""
+    e = load_table(spark, sf, "events").select("event_id", F.floor("value").cast("int").alias("x"))
+    return outliers.treat(e, ["x"], "iqr", "cap", k=0.5)[0]
+
+
+@register("na_median_ties", """
+WITH e AS (SELECT event_id, CASE WHEN event_id % 11 <> 0 THEN CAST(event_id % 2 AS DOUBLE) END AS x FROM events)
+SELECT event_id, COALESCE(x, (SELECT quantile_cont(x, 0.5) FROM e)) AS x FROM e""")
+def na_median_ties(spark, sf):
+    """Median fill of a column of two values, about half each."""
+    x = F.when(F.col("event_id") % 11 != 0, (F.col("event_id") % 2).cast("double"))
+    return missing.fill_statistic(load_table(spark, sf, "events").select("event_id", x.alias("x")), "median", ["x"])[0]
+
+
+@register("na_mean_nan", """
+WITH e AS (SELECT event_id, CASE WHEN event_id % 13 = 0 THEN NULL ELSE value END AS x FROM events)
+SELECT event_id, ROUND(COALESCE(x, (SELECT AVG(x) FROM e)), 6) AS x FROM e""")
+def na_mean_nan(spark, sf):
+    """Mean fill where NaN stands for a missing value."""
+    x = F.when(F.col("event_id") % 13 == 0, F.lit(float("nan"))).otherwise(F.col("value"))
+    got, _ = missing.fill_statistic(load_table(spark, sf, "events").select("event_id", x.alias("x")), "mean", ["x"])
+    return got.select("event_id", F.round("x", 6).alias("x"))

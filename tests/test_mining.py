@@ -1,4 +1,7 @@
-"""Itemset, rule, sequence and graph-Apriori goldens (FIXTURES.md A1-A4)."""
+"""Itemsets, rules, sequences and graph Apriori on own data, against brute force."""
+
+import random
+from itertools import combinations
 
 import pytest
 from pyspark.sql import functions as F
@@ -53,42 +56,29 @@ def test_empty_and_high_support(spark):
     assert _sets(itemsets.mine(_tx(spark, ["ABC", "AB", "BC", "AC", "ABD"]), min_support=0.9)) == {}
 
 
-DATA1 = """# Graph 1
-A B
-B C
-A D
-B E
-C E
-C F
-# Graph 2
-A B
-B C
-A D
-B E
-# Graph 3
-A C
-C D
-B E
-E F
-A F"""
-
-
-def test_graph_apriori_data1(spark, tmp_path):
-    p = tmp_path / "data1.txt"
-    p.write_text(DATA1)
+def _edge_files(seed, n_graphs=5):
+    """Random edge lists as text, and the edge sets they stand for."""
+    rnd = random.Random(seed)
+    lines, sets = [], []
+    for g in range(n_graphs):
+        pairs = sorted({tuple(sorted(rnd.sample("KLMNO", 2))) for _ in range(rnd.randint(2, 6))})
+        lines += [f"# Graph {g + 1}", *[" ".join(rnd.sample(p, 2)) for p in pairs]]
+        sets.append({f"({a}, {b})" for a, b in pairs})
+    return "\n".join(lines), sets
+
+
+@pytest.mark.parametrize("seed,least", [(1, 2), (2, 3), (5, 2)])
+def test_graph_apriori(spark, tmp_path, seed, least):
+    text, sets = _edge_files(seed)
+    p = tmp_path / "edges.txt"
+    p.write_text(text)
     edges = graphs.parse_edge_list_text(spark, str(p))
-    assert edges.select("graph_id").distinct().count() == 3
-    tx = itemsets.basket_items(edges.select("graph_id", graphs.edge_label("src", "dst").alias("e")),
-                               "graph_id", "e")
-    m = itemsets.mine(tx, min_count=2, candidate_rule="extend")
-    per_level = {r.level: r["count"] for r in m.frequent.groupBy("level").count().collect()}
-    assert per_level == {1: 4, 2: 6, 3: 4, 4: 1}
-    freq1 = {r.items[0]: r.support_count for r in m.frequent.where("level = 1").collect()}
-    assert freq1 == {"(A, B)": 2, "(A, D)": 2, "(B, C)": 2, "(B, E)": 3}
-    # the candidate table after level 4 is empty (no level 5 rows at all)
-    assert m.candidates.where("level = 5").count() == 0
-    m3 = itemsets.mine(tx, min_count=3, candidate_rule="extend")
-    assert [r.items for r in m3.frequent.collect()] == [["(B, E)"]]
+    tx = itemsets.basket_items(edges.select("graph_id", graphs.edge_label("src", "dst").alias("e")), "graph_id", "e")
+    m = itemsets.mine(tx, min_count=least, candidate_rule="extend")
+    every = sorted(set().union(*sets))
+    want = {c: n for k in range(1, len(every) + 1) for c in combinations(every, k)
+            if (n := sum(set(c) <= s for s in sets)) >= least}
+    assert want and {tuple(r["items"]): r.support_count for r in m.frequent.collect()} == want
 
 
 def _gsp_rows(spark, rows):
@@ -101,47 +91,52 @@ def _patterns(res):
     return {r.pattern: r.support_count for r in sequences.pattern_table(res.frequent).collect()}
 
 
-EX1 = [("1", "01-01-2025", "D"), ("1", "01-02-2025", "A"), ("1", "01-02-2025", "B"),
-       ("1", "01-03-2025", "A"), ("1", "01-03-2025", "B"), ("1", "01-04-2025", "C"),
-       ("2", "01-01-2025", "A"), ("2", "01-01-2025", "B"), ("2", "01-01-2025", "F"),
-       ("2", "01-02-2025", "E"), ("3", "01-01-2025", "A"), ("3", "01-01-2025", "B"),
-       ("4", "01-01-2025", "D"), ("4", "01-02-2025", "B"), ("4", "01-02-2025", "F"),
-       ("4", "01-03-2025", "A"), ("4", "01-03-2025", "B")]
-EX2 = [("1", "01-01-2025", "D"), ("1", "01-03-2025", "A"), ("1", "01-03-2025", "B"),
-       ("2", "01-01-2025", "A"), ("2", "01-01-2025", "B"), ("2", "01-02-2025", "A"),
-       ("3", "01-01-2025", "A"), ("3", "01-01-2025", "D"), ("4", "01-01-2025", "D"),
-       ("4", "01-02-2025", "A"), ("4", "01-02-2025", "B"), ("4", "01-03-2025", "A")]
-
-
-def test_gsp_example1(spark):
-    got = _patterns(sequences.mine_sequences(_gsp_rows(spark, EX1), 0.5))
-    assert got == {"{A}": 4, "{B}": 4, "{D}": 2, "{F}": 2, "{A, B}": 4, "{B, F}": 2,
-                   "<B -> A>": 2, "<B -> B>": 2, "<D -> A>": 2, "<D -> B>": 2,
-                   "<B -> {A, B}>": 2, "<D -> {A, B}>": 2,
-                   "<D -> B -> A>": 2, "<D -> B -> B>": 2, "<D -> B -> {A, B}>": 2}
-
-
-def test_gsp_example2(spark):
-    got = _patterns(sequences.mine_sequences(_gsp_rows(spark, EX2), 0.25))
-    assert got == {"{A}": 4, "{B}": 3, "{D}": 3, "{A, B}": 3, "{A, D}": 1,
-                   "<A -> A>": 2, "<B -> A>": 2, "<D -> A>": 2, "<D -> B>": 2,
-                   "<{A, B} -> A>": 2, "<D -> {A, B}>": 2,
-                   "<D -> A -> A>": 1, "<D -> B -> A>": 1, "<D -> {A, B} -> A>": 1}
-
-
-def test_spade_complete(spark):
-    rows = [(1, "1/1/2025", "C,D", 0), (1, "1/3/2025", "A,B,C", 1), (1, "1/4/2025", "A,B,F", 2),
-            (1, "1/4/2025", "A,C,D,F", 3), (2, "1/1/2025", "A,B,F", 4), (2, "1/1/2025", "E", 5),
-            (3, "1/1/2025", "A,B,F", 6), (4, "1/2/2025", "D,H,G", 7), (4, "1/2/2025", "B,F", 8),
-            (4, "1/3/2025", "A,G,H", 9)]
+def _random_sequences(seed, customers=6):
+    rnd = random.Random(seed)
+    return {str(c): [sorted(set(rnd.choices("KLMN", k=rnd.randint(1, 3)))) for _ in range(rnd.randint(1, 4))]
+            for c in range(customers)}
+
+
+def _holds(pattern, sequence):
+    at = 0
+    for part in pattern:
+        while at < len(sequence) and not set(part) <= set(sequence[at]):
+            at += 1
+        if at == len(sequence):
+            return False
+        at += 1
+    return True
+
+
+def _brute_sequences(data, support):
+    """Every pattern of any length that enough sequences hold, by growth."""
+    need, parts = support * len(data), [c for k in (1, 2, 3) for c in combinations("KLMN", k)]
+    count = lambda p: sum(_holds(p, s) for s in data.values())
+    out, level = {}, [(c,) for c in parts if count((c,)) >= need]
+    while level:
+        out.update({p: count(p) for p in level})
+        level = [p + (c,) for p in level for c in parts if count(p + (c,)) >= need]
+    show = lambda c: c[0] if len(c) == 1 else "{" + ", ".join(c) + "}"
+    return {("{" + ", ".join(p[0]) + "}") if len(p) == 1 else "<" + " -> ".join(map(show, p)) + ">": n for p, n in out.items()}
+
+
+@pytest.mark.parametrize("seed,support", [(1, 0.5), (2, 0.34), (4, 0.67)])
+def test_sequences_by_element(spark, seed, support):
+    data = _random_sequences(seed)
+    rows = [(c, f"{3 + 2 * i:02d}-0{1 + i % 3}-2024", x) for c, s in data.items() for i, e in enumerate(s) for x in e]
+    rows = [(c, f"05-{1 + int(d[:2]):02d}-2024", x) for c, d, x in rows]
+    got = _patterns(sequences.mine_sequences(_gsp_rows(spark, rows), support))
+    assert got == _brute_sequences(data, support)
+
+
+@pytest.mark.parametrize("seed,support", [(3, 0.5), (6, 0.34)])
+def test_sequences_by_row(spark, seed, support):
+    data = _random_sequences(seed)
+    rows = [(int(c), f"{1 + i // 2}/7/2024", ",".join(e), i) for c, s in data.items() for i, e in enumerate(s)]
     df = spark.createDataFrame(rows, "NAME long, INVOICEDATE string, PRODUCTNAME string, row long") \
         .withColumn("d", parse_timestamp("INVOICEDATE", "M/d/yyyy"))
     v = sequences.vertical_by_row(df, "NAME", ["d", "row"], "PRODUCTNAME")
-    got = _patterns(sequences.mine_sequences(v, 0.5))
-    assert got == {"{A}": 4, "{B}": 4, "{D}": 2, "{F}": 4, "{A, B}": 3, "{A, F}": 3, "{B, F}": 4,
-                   "<B -> A>": 2, "<D -> A>": 2, "<D -> B>": 2, "<D -> F>": 2, "<F -> A>": 2,
-                   "{A, B, F}": 3, "<{B, F} -> A>": 2, "<D -> {B, F}>": 2, "<D -> B -> A>": 2,
-                   "<D -> F -> A>": 2, "<D -> {B, F} -> A>": 2}
+    assert _patterns(sequences.mine_sequences(v, support)) == _brute_sequences(data, support)
 
 
 def test_pattern_format_and_length(spark):
@@ -152,7 +147,6 @@ def test_pattern_format_and_length(spark):
 
 
 def test_hybrid_small_and_big_baskets_agree(spark, monkeypatch):
-    import random
     rnd = random.Random(3)
     baskets = ["".join(sorted(set(rnd.choice("ABCDEFG") for _ in range(rnd.randint(1, 6))))) for _ in range(60)]
     tx = _tx(spark, baskets)
@@ -170,14 +164,3 @@ def test_edge_list_parser_edge_cases(spark, tmp_path):
     rows = graphs.parse_edge_list_text(spark, str(d)).collect()
     got = sorted((r.file.rsplit("/", 1)[-1], r.graph_id, r.src, r.dst) for r in rows)
     assert got == [("a.txt", 1, "A", "B"), ("a.txt", 2, "C", "D"), ("a.txt", 2, "C", "D"), ("b.txt", 1, "X", "Y")]
-
-
-def test_graph_apriori_data2(spark, tmp_path):
-    p = tmp_path / "data2.txt"
-    p.write_text("# Graph 1\nA B\nB C\nA D\n# Graph 2\nA B\nB C\nA D\n# Graph 3\nA B\nB C\nC D")
-    edges = graphs.parse_edge_list_text(spark, str(p))
-    tx = itemsets.basket_items(edges.select("graph_id", graphs.edge_label("src", "dst").alias("e")), "graph_id", "e")
-    m = itemsets.mine(tx, min_count=2, candidate_rule="extend")
-    got = {" ".join(r.items): r.support_count for r in m.frequent.collect()}
-    assert got == {"(A, B)": 3, "(A, D)": 2, "(B, C)": 3, "(A, B) (A, D)": 2, "(A, B) (B, C)": 3,
-                   "(A, D) (B, C)": 2, "(A, B) (A, D) (B, C)": 2}
