@@ -37,7 +37,7 @@ from tessera.operators.smoothing import series_positions
 
 BLOCK = 1024
 BITS = 30
-SLICE = 512
+SLICE = 256
 
 
 def passes_for(n: int, threshold: float, recall: float) -> tuple[int, int]:
@@ -105,11 +105,9 @@ def compare(frame: pd.DataFrame, threshold: float) -> pd.DataFrame:
         a, b = a + s, b + from_
         ok = a < b
         a, b = a[ok], b[ok]
-        same = lead[a] == lead[b]
-        met = same | (np.abs(block[a] - block[b]) <= 1)
-        fresh = ~met[:, :now].any(axis=1)
-        if j > i + 1:
-            fresh &= same[:, now]
+        fresh = lead[a, now] == lead[b, now] if j > i + 1 else np.ones(len(a), bool)
+        for q in range(now):                                  # not compared in an earlier pass
+            fresh &= (lead[a, q] != lead[b, q]) & (np.abs(block[a, q] - block[b, q]) > 1)
         a, b = a[fresh], b[fresh]
         links += np.bincount(a, m[b], len(cid)).astype(np.int64) + np.bincount(b, m[a], len(cid)).astype(np.int64)
         if len(a):                                            # keep a star per local component only

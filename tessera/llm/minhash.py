@@ -3,9 +3,9 @@
 A text's set holds the hashes of its distinct five-word shingles.  Instead of
 one independent group of minhashes per table, two small collections of ``m``
 half keys (three minhashes each) are computed, and each of the ``m * m`` tables
-is keyed by a pair of one half key of either collection: 64 tables from 48
-minhashes instead of 384.  Two texts of similarity s share a table with
-probability (1 - (1 - s^3)^m)^2, 0.999 at s = 0.85.
+is keyed by a pair of one half key of either collection: 100 tables from 60
+minhashes instead of 600.  Two texts of similarity s share a table with
+probability (1 - (1 - s^3)^m)^2: 0.9998 at s = 0.85, 0.998 at s = 0.8.
 
 Equal sets are one class before anything is compared.  Buckets of up to
 ``SMALL`` classes propose all their pairs of compatible size; a larger bucket
@@ -34,7 +34,7 @@ from tessera.llm.data import materialize
 from tessera.llm.flat import chunks, lower_table, mix, span_hashes, words
 
 WORDS = 5
-HALF, COLLECTION = 3, 8
+HALF, COLLECTION = 3, 10
 SMALL = 12
 BLOCK_SHINGLES = 2_000_000
 SEED = 0x5851F42D4C957F2D
@@ -261,29 +261,33 @@ def bucket_links(frame: pd.DataFrame, percent: int) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
 
-def unresolved(hot: DataFrame, labels: DataFrame, items: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+def unresolved(hot: DataFrame, labels: DataFrame, items: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     """Links of large buckets whose classes are still in several components.
-    A bucket is cut into blocks of bounded set volume and every two blocks are
-    compared in a task of their own."""
+
+    Classes of one bucket share a half key of the first collection, so they are
+    gathered by those few half keys instead of all their tables.  A group is
+    cut into blocks of bounded set volume and every two blocks are compared in
+    a task of their own."""
     members = (hot.select("slot", F.col("a").alias("sid")).union(hot.select("slot", F.col("b").alias("sid"))).distinct()
                .join(labels.withColumnRenamed("node", "sid"), "sid", "left")
-               .select("slot", "sid", F.coalesce("comp", "sid").alias("comp")).join(sizes, "sid"))
-    split = members.groupBy("slot").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi")
-    volume = F.sum("n").over(Window.partitionBy("slot").orderBy("n", "sid").rowsBetween(Window.unboundedPreceding, 0))
-    blocks = (members.join(split.select("slot"), "slot", "left_semi")
-              .select("slot", "sid", "comp", F.floor(volume / BLOCK_SHINGLES).alias("block")))
-    last = blocks.groupBy("slot").agg(F.max("block").alias("last"))
-    # block pair (i, j), i <= j: side 0 is block i, side 1 block j (one block alone compares with itself)
-    placed = (blocks.join(last, "slot")
-              .select("slot", "sid", "comp", "block", F.explode(F.sequence(F.lit(0), F.col("last").cast("int"))).alias("other"))
-              .select("slot", "sid", "comp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
-                      F.when(F.col("block") <= F.col("other"), 0).otherwise(1).alias("side"), "block", "other")
-              .withColumn("side", F.when(F.col("block") == F.col("other"), 1).otherwise(F.col("side"))))
-    return (placed.join(items, "sid").groupBy("slot", "i", "j")
+               .select("slot", "sid", F.coalesce("comp", "sid").alias("comp")))
+    lone = members.groupBy("slot").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi")
+    apart = members.join(lone.select("slot"), "slot", "left_semi").select("sid", "comp").distinct()
+    gathered = (apart.join(reps, "sid").select("sid", "comp", "n", F.explode(F.slice("halves", 1, COLLECTION)).alias("half")))
+    by = Window.partitionBy("half").orderBy("n", "sid").rowsBetween(Window.unboundedPreceding, 0)
+    blocks = gathered.select("half", "sid", "comp", F.floor(F.sum("n").over(by) / BLOCK_SHINGLES).alias("block"))
+    last = (blocks.groupBy("half").agg(F.max("block").alias("last"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+            .where("lo != hi"))
+    # block pair (i, j), i <= j: side 0 is block i, side 1 block j; a block alone is all side 1
+    placed = (blocks.join(last.select("half", "last"), "half")
+              .select("*", F.explode(F.sequence(F.lit(0), F.col("last").cast("int"))).alias("other"))
+              .select("half", "sid", "comp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
+                      F.when(F.col("block") < F.col("other"), 0).otherwise(1).alias("side")))
+    return (placed.join(items, "sid").groupBy("half", "i", "j")
             .applyInPandas(lambda frame: bucket_links(frame, percent), "a long, b long"))
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 85) -> DataFrame:
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 80) -> DataFrame:
     """One row per document: ``(key, n_shingles, component_id, kept)``."""
     rows = materialize(sketches(docs, key, text), "minhash-sketches")
     classes = rows.where("n > 0").groupBy("sid").agg(F.min("id").alias("id"), F.first("n").alias("n"),
@@ -291,14 +295,13 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     found = materialize(proposals(tables(classes), percent), "minhash-proposals")
     pairs = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a != b").distinct()
     nodes = found.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
-    reps = rows.where("n > 0").groupBy("sid").agg(F.min("id").alias("id"), F.first("n").alias("n")).join(nodes, "sid", "left_semi")
-    reps = materialize(reps, "minhash-classes")
+    reps = materialize(classes.join(nodes, "sid", "left_semi"), "minhash-classes")
     items = materialize(sets(docs, reps.select("id"), key, text), "minhash-sets")
     links = materialize(confirm(pairs, items, percent), "minhash-links")
     labels = components(links)
     hot = found.where("slot != 0 and a != b")
     if not hot.isEmpty():
-        more = materialize(unresolved(hot, labels, items, reps.select("sid", "n"), percent), "minhash-more")
+        more = materialize(unresolved(hot, labels, items, reps.select("sid", "n", "halves"), percent), "minhash-more")
         if not more.isEmpty():
             labels = components(labels.select(F.col("node").alias("a"), F.col("comp").alias("b")).union(more))
     named = (rows.select("id", "n", "sid").join(labels.withColumnRenamed("node", "sid"), "sid", "left")
