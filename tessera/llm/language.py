@@ -227,7 +227,7 @@ def fit(train: DataFrame, label: str = "lang", text: str = "text", key: str = "d
     rows = [(f, c / max(1, c.sum()) * SCALE * idf[f], languages.index(y), part) for y, part, f, c in _vectors(sample)]
     held = [r for r in rows if r[3] % 5 == 0]
     weights, bias = ftrl([r[:3] for r in rows if r[3] % 5], len(languages), WIDTH)
-    logits = np.array([(weights[f] * v[:, None]).sum(axis=0) + bias for f, v, _, _ in held]).reshape(len(held), -1)
+    logits = np.array([(weights[f] * v[:, None]).sum(axis=0) + bias for f, v, _, _ in held]).reshape(len(held), len(languages))
     t = temperature(logits, np.array([r[2] for r in held], np.int64))
     return LanguageModel(languages, (weights * idf[:, None]).astype(np.float32), bias, t)
 
