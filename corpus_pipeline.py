@@ -27,9 +27,10 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later repeats of runs of three or more lines are cut out of the texts;
-    a document that loses all its lines goes."""
-    got = lines.drop_repeated_lines(docs, prefix="lines__")
+    """Later repeats of runs of three or more lines, of one or two lines of 50
+    words or more, and of whole shorter texts are cut out of the texts; a
+    document that loses all its lines goes."""
+    got = lines.drop_repeated_lines(docs, prefix="lines__", min_words=50)
     changed = F.col("lines__n_removed") > 0
     got = got.where(~(changed & (F.col("lines__n_removed") == F.col("lines__n_lines"))))
     n_chars = F.when(changed, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)

@@ -11,6 +11,11 @@ are extended both ways over neighbouring windows into maximal runs.  Later runs
 are deleted: a line goes if it lies in a run of ``min_lines`` lines that also
 starts earlier.
 
+With ``min_words`` a shorter run counts too when it holds that many words (or
+``CHARS`` times as many characters, for writing without blanks), or when it is
+a whole text that equals an earlier whole text; each such run is a window of its
+own.  Without it, runs of fewer than ``min_lines`` lines stay.
+
 Hot windows are counted by partial aggregation, and their occurrences are
 spread over ``SALT`` join partitions.
 
@@ -29,6 +34,7 @@ from pyspark.sql import functions as F
 from tessera.llm.data import materialize
 
 SALT = 16
+CHARS = 8
 
 
 def _lines(text: Column) -> Column:
@@ -50,27 +56,55 @@ def windows(docs: DataFrame, key: str, text: str, min_lines: int) -> DataFrame:
                       F.xxhash64(*one).alias("win"))
 
 
-def runs(docs: DataFrame, key: str = "doc_id", text: str = "text", min_lines: int = 3) -> DataFrame:
+def short_windows(docs: DataFrame, key: str, text: str, min_lines: int, min_words: int) -> DataFrame:
+    """``(doc, part, at, win, span)``: windows of ``span < min_lines`` lines that
+    hold ``min_words`` words, or are a whole text with a word in it (its ``win``
+    equals that of whole texts only)."""
+    line = F.transform(_lines(F.col(text)), lambda x: F.trim(x))
+    size = lambda x: F.greatest(F.size(F.filter(F.split(x, "\\s+"), lambda w: w != "")), F.floor(F.length(x) / CHARS))
+    rows = docs.select(F.col(key).alias("doc"), F.xxhash64(text).alias("part"), line.alias("ls")).where("ls is not null")
+    rows = rows.select("doc", "part", F.transform("ls", lambda x: F.xxhash64(x)).alias("h"), F.transform("ls", size).alias("w"))
+
+    def of(span: int) -> Column:
+        def window(at):
+            words = reduce(lambda a, b: a + b, [F.get("w", at + i) for i in range(span)])
+            is_long, own = words >= min_words, [F.get("h", at + i) for i in range(span)]
+            win = F.when(is_long, F.xxhash64(F.lit(span), *own)).when(
+                (F.size("h") == span) & (words > 0), F.xxhash64(F.lit(-span), *own))
+            return F.struct(at.alias("at"), win.alias("win"), F.lit(span).alias("span"))
+        made = F.transform(F.sequence(F.lit(0), F.size("h") - 1), window)
+        return F.filter(made, lambda r: (r["at"] + span <= F.size("h")) & r["win"].isNotNull())
+
+    got = rows.select("doc", "part", F.explode(F.concat(*[of(k) for k in range(1, min_lines)])).alias("r"))
+    return got.select("doc", "part", "r.at", "r.win", "r.span").distinct()
+
+
+def runs(docs: DataFrame, key: str = "doc_id", text: str = "text", min_lines: int = 3,
+         min_words: int | None = None) -> DataFrame:
     """Repeated runs ``(doc, part, start, n_lines, source, source_line)``: lines
     ``start`` to ``start + n_lines - 1`` (from 0) of ``doc`` equal the lines from
     ``source_line`` on of the earlier occurrence ``source``.  Runs of one
-    document may overlap when they come from different sources."""
+    document may overlap when they come from different sources or are of
+    different window sizes."""
     made = materialize(windows(docs, key, text, min_lines), "line-windows")
     # selected fingerprints, one row per position whatever the number of windows that chose it
     chosen = made.select("doc", "part", "fp_at", "fp").distinct()
     again = chosen.groupBy("fp").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("fp")
     near = made.join(_salted(again), [F.col("fp") == F.col("fp_"), _salt("at", "part") == F.col("salt")]).drop("fp_", "salt")
+    near = near.select("doc", "part", "at", "win", F.lit(min_lines).alias("span"))
+    if min_words is not None and min_lines > 1:
+        near = near.union(materialize(short_windows(docs, key, text, min_lines, min_words), "line-short-windows"))
     first = (near.groupBy("win").agg(F.min(F.struct("doc", "part", "at")).alias("first"), F.count(F.lit(1)).alias("n"))
              .where("n > 1").select(F.col("win").alias("win_"), "first", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt")))
     match = near.join(first, [F.col("win") == F.col("win_"), _salt("at", "part") == F.col("salt")])
     match = match.where(F.struct("doc", "part", "at") != F.col("first")).select(
-        "doc", "part", "at", "first", (F.col("at") - F.col("first.at")).alias("shift"))
+        "doc", "part", "at", "span", "first", (F.col("at") - F.col("first.at")).alias("shift"))
     # extend both ways: neighbouring windows matched to the same source at the same shift are one run
-    by = Window.partitionBy("doc", "part", "first.doc", "first.part", "shift").orderBy("at")
+    by = Window.partitionBy("doc", "part", "first.doc", "first.part", "shift", "span").orderBy("at")
     island = match.withColumn("island", F.col("at") - F.row_number().over(by))
     return (island.groupBy("doc", "part", F.col("first.doc").alias("source"), F.col("first.part").alias("source_part"),
-                           "shift", "island")
-            .agg(F.min("at").alias("start"), (F.max("at") - F.min("at") + min_lines).alias("n_lines"))
+                           "shift", "span", "island")
+            .agg(F.min("at").alias("start"), (F.max("at") - F.min("at") + F.col("span")).alias("n_lines"))
             .select("doc", "part", "start", "n_lines", "source", (F.col("start") - F.col("shift")).alias("source_line")))
 
 
@@ -83,11 +117,11 @@ def _salted(keys: DataFrame) -> DataFrame:
 
 
 def drop_repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_lines: int = 3,
-                        prefix: str = "") -> DataFrame:
+                        prefix: str = "", min_words: int | None = None) -> DataFrame:
     """``docs`` with the later repeated runs deleted from ``text``, plus
     ``n_lines``, ``n_removed`` (lines) and ``n_runs`` (maximal removed runs), each
     name after ``prefix``; columns of ``docs`` with these names are replaced."""
-    found = runs(docs, key, text, min_lines).select("doc", "part", "start", (F.col("start") + F.col("n_lines")).alias("end"))
+    found = runs(docs, key, text, min_lines, min_words).select("doc", "part", "start", (F.col("start") + F.col("n_lines")).alias("end"))
     by = Window.partitionBy("doc", "part").orderBy("start", "end")
     reach = F.max("end").over(by.rowsBetween(Window.unboundedPreceding, -1))
     joined = (found.withColumn("fresh", F.coalesce(F.col("start") > reach, F.lit(True)).cast("int"))

@@ -124,6 +124,29 @@ def test_lines_against_brute_force(spark):
         assert got[i]["n_runs"] == sum(k - 1 not in gone for k in gone)
 
 
+def test_short_runs_of_many_words_against_brute_force(spark):
+    rnd = random.Random(5)
+    pool = ["aa", "b b", " c c c ", "", "d e f g h", "i j k l m n o", "漢" * 41, "p  q\tr s t"]
+    texts = ["\n".join(rnd.choice(pool) for _ in range(rnd.randint(1, 7))) for _ in range(80)]
+    texts += ["u v w x y\nown one", "z", "own two\nu v w x y", "z", "", "", None, "own three\nz\nz"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in drop_repeated_lines(docs, min_words=5).collect()}
+    seen = set()
+    for i, t in enumerate(texts):
+        own, gone = t.split("\n") if t is not None else [], set()
+        for n in (1, 2, 3):
+            for k in range(len(own) - n + 1):
+                w = tuple(x.strip(" ") for x in own[k:k + n])
+                words = sum(max(len(x.split()), len(x) // 8) for x in w)
+                for kind in ["run"] * (n == 3 or words >= 5) + ["whole"] * (n == len(own) and words > 0):
+                    if (kind, w) in seen:
+                        gone |= set(range(k, k + n))
+                    seen.add((kind, w))
+        kept = "\n".join(x for k, x in enumerate(own) if k not in gone) if t is not None else None
+        assert (got[i]["text"], got[i]["n_removed"], got[i]["n_runs"]) == (kept, len(gone), sum(k - 1 not in gone for k in gone))
+    assert got[82]["text"] == "own two" and got[83]["n_removed"] == 1 and got[87]["n_removed"] == 0
+
+
 def test_line_runs_name_their_source(spark):
     docs = spark.createDataFrame([(1, "q\na\nb\nc\nd\nr"), (2, "a\nb\nc\nd"), (None, None), (2, "a\nb\nc\nd")], "doc_id long, text string")
     got = [(r["doc"], r["start"], r["n_lines"], r["source"], r["source_line"]) for r in runs(docs).collect()]
