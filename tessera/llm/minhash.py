@@ -299,7 +299,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     items = materialize(sets(docs, reps.select("id"), key, text), "minhash-sets")
     links = materialize(confirm(pairs, items, percent), "minhash-links")
     labels = components(links)
-    hot = found.where("slot != 0 and a != b")
+    hot = found.where("slot != 0")                           # self pairs too: a class alone in its size band is a member
     if not hot.isEmpty():
         more = materialize(unresolved(hot, labels, items, reps.select("sid", "n", "halves"), percent), "minhash-more")
         if not more.isEmpty():

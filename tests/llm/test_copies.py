@@ -67,6 +67,22 @@ def test_minhash_repeated_rows_and_nulls(spark):
     assert minhash.near_duplicates(docs.limit(0)).count() == 0
 
 
+def _hashes(words):
+    raw = np.frombuffer(" ".join(words).encode(), np.uint8)
+    return minhash.shingles(raw, np.array([0, len(raw)]))
+
+
+def test_minhash_class_alone_in_its_size_band(spark):
+    # 106 shingles whose minima all lie in the first 100, so all texts below share every table of the longest,
+    # and at 95 percent the smallest class' band ends at 105
+    same = lambda w: (minhash.half_keys(*_hashes(w)) == minhash.half_keys(*_hashes(w[:104]))).all()
+    base = next(w for w in ([f"s{seed}w{i}" for i in range(110)] for seed in range(2000)) if same(w))
+    texts = [" ".join(base[:n]) for n in range(104, 111)] + [f"own{k} " + " ".join(base[:104]) for k in range(30)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(docs, percent=95).collect()}
+    assert got[6] == (106, 0) and {c for _, c in got.values()} == {0}
+
+
 def test_bucket_links_finds_every_join():
     import pandas as pd
     rnd = random.Random(8)
