@@ -99,21 +99,48 @@ def word_list(text: str) -> list[str]:
 
 
 def blocks(text: str) -> Iterator[tuple[int, str]]:
-    """``(first line, block)``: every sentence and line that mentions licensing,
-    and every paragraph of several lines that does."""
+    """``(number of words before it, block)``: every paragraph of several lines
+    that mentions licensing, then every line, then every sentence that does."""
     at = 0
     for par in _PARAGRAPH.split(text):
-        lines = par.split("\n")
-        if any(m in par.lower() for m in MENTIONS):
+        if mentions(par):
+            lines = par.split("\n")
             if len(lines) > 1:
                 yield at, par
-            for k, line in enumerate(lines):
-                low = line.lower()
-                if any(m in low for m in MENTIONS):
-                    yield at + k, line
+            for line in lines:
+                size = len(word_list(line))
+                if mentions(line):
+                    yield at, line
                     parts = _SENTENCE.split(line)
-                    yield from ((at + k, p) for p in parts if len(parts) > 1 and any(m in p.lower() for m in MENTIONS))
-        at += len(lines) + 1
+                    before = at
+                    for p in parts if len(parts) > 1 else []:
+                        if mentions(p):
+                            yield before, p
+                        before += len(word_list(p))
+                at += size
+        else:
+            at += len(word_list(par))
+
+
+def mentions(text: str) -> bool:
+    low = text.lower()
+    return any(m in low for m in MENTIONS)
+
+
+def lines_of(text: str, wanted: list[int]) -> list[int]:
+    """The line of each word number in ``wanted``."""
+    ends = np.cumsum([len(word_list(line)) for line in text.split("\n")])
+    return np.searchsorted(ends, wanted, "right").tolist()
+
+
+def best_places(hits: list[tuple]) -> list[tuple]:
+    """Of hits ``(first word, end, size, ...)`` that share words the largest
+    stays, of equal ones the last."""
+    kept: list[tuple] = []
+    for h in sorted(reversed(hits), key=lambda h: -h[2]):
+        if all(h[1] <= k[0] or k[1] <= h[0] for k in kept):
+            kept.append(h)
+    return sorted(kept, key=lambda h: h[0])
 
 
 class Scanner:
@@ -153,7 +180,7 @@ class Scanner:
         return 2 * hits / (len(want) + span), len(want) - hits, span - hits, start + found[0].b
 
     def scan(self, block: str, least: float, tries: int = 8):
-        """The best confirmed template: ``(template, saved, score, missing, added)``."""
+        """The best confirmed template: ``(template, saved, score, missing, added, first word)``."""
         words = word_list(block)
         if not words:
             return None
@@ -161,18 +188,35 @@ class Scanner:
         for saved, k in self.rank(block)[:tries]:
             if saved <= 0:
                 break
-            score, missing, added, _ = self.wording(words, -k)
+            score, missing, added, first = self.wording(words, -k)
             value = len(self.words[-k]) - 2 * missing - added  # words that agree less those that differ
             if score >= least and (best is None or value > best[0]):
-                best = value, (-k, saved, score, missing, added)
+                best = value, (-k, saved, score, missing, added, first)
         return best and best[1]
 
+    def scan_all(self, block: str, least: float) -> Iterator[tuple]:
+        """Hits ``(first word, end, size, template, saved, score, missing, added)``: the
+        best of the block, then those of what stands before and after it."""
+        todo = [(0, block.lower())]
+        while todo:
+            at, part = todo.pop()
+            hit = self.scan(part, least)
+            if not hit:
+                continue
+            k, saved, score, missing, added, first = hit
+            end = first + len(self.words[k]) - missing + added
+            yield at + first, at + end, score * len(self.words[k]), k, saved, score, missing, added
+            place = [m.span() for m in _WORD.finditer(part)]
+            rest = [(at, part[:place[first][0]]), (at + end, part[place[end - 1][1]:])]
+            todo += [r for r in rest if mentions(r[1])]
+
 
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = 0.85,
          templates: dict[tuple[str, str], str] | None = None) -> DataFrame:
-    """One row per confirmed block: ``(key, line, license, form, saved, score,
-    n_missing, n_added, exact)``.  A paragraph and its lines count as one
-    notice: a line's row stands unless its paragraph holds a longer template."""
+    """One row per notice: ``(key, line, license, form, saved, score, n_missing,
+    n_added, exact)``, ``line`` being where its wording starts.  Hits of a
+    paragraph, its lines and their sentences that share words are one notice,
+    the longest template's; notices side by side are all reported."""
     table = dict(templates or TEMPLATES)
     low = F.lower(F.col(text))
     some = reduce(lambda a, b: a | b, [F.contains(low, F.lit(m)) for m in MENTIONS])
@@ -184,18 +228,11 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float
         for batch in batches:
             rows = []
             for i, text in enumerate(batch.column("text").to_pylist()):
-                found: dict[int, tuple] = {}
-                for line, block in blocks(text):
-                    hit = scanner.scan(block, least)
-                    if hit:
-                        size = lambda h: h[2] * len(scanner.words[h[0]])
-                        covers = [n for n in found if n <= line <= n + found[n][1]]
-                        if covers and size(found[covers[0]][0]) > size(hit):
-                            continue
-                        for n in covers:
-                            del found[n]
-                        found[line] = hit, block.count("\n")
-                rows += [(i, line, *hit) for line, (hit, _) in sorted(found.items())]
+                hits = [(at + h[0], at + h[1], *h[2:]) for at, block in blocks(text)
+                        for h in scanner.scan_all(block, least)]
+                hits = best_places(hits)
+                if hits:
+                    rows += [(i, line, *h[3:]) for line, h in zip(lines_of(text, [h[0] for h in hits]), hits)]
             if rows:
                 i, line, k, saved, score, missing, added = zip(*rows)
                 yield pa.RecordBatch.from_arrays(

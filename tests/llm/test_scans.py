@@ -28,6 +28,23 @@ def test_license_wording_differences_and_edges(spark):
     assert scan(docs.limit(0)).count() == 0
 
 
+def test_every_notice_of_a_text_is_found(spark):
+    mit, apache = "Released under the MIT License.", "Licensed under the Apache License, Version 2.0."
+    header = TEMPLATES["Apache-2.0", "header"].replace(" you may", "\nyou may").replace(" Unless", "\nUnless")
+    gpl = TEMPLATES["GPL-3.0", "header"].replace(" the Free", "\nthe Free")
+    rows = [(1, f"{mit}\nprose\n{apache}"), (2, f"{apache}\nprose\n{mit}"), (3, f"{mit} {apache}"), (4, f"İ prose\n\nx\n{apache} Prose. {mit}"),
+            (5, f"{mit[:-1]} and {apache[:-1]} and {mit}"), (6, f"prose\n{header}\nprose\n{gpl}\n{mit}"), (7, f"{mit}\n{mit}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {}
+    for r in scan(docs).collect():
+        assert r["exact"]
+        got.setdefault(r["doc_id"], []).append((r["line"], r["license"], r["form"]))
+    m, a = ("MIT", "line"), ("Apache-2.0", "line")
+    assert got == {1: [(0, *m), (2, *a)], 2: [(0, *a), (2, *m)], 3: [(0, *m), (0, *a)], 4: [(3, *a), (3, *m)],
+                   5: [(0, *m), (0, *a), (0, *m)], 6: [(1, "Apache-2.0", "header"), (5, "GPL-3.0", "header"), (7, *m)],
+                   7: [(0, *m), (1, *m)]}
+
+
 def smith_waterman(a, b):
     h, best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)], 0
     for i in range(1, len(a) + 1):
