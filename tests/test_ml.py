@@ -152,3 +152,25 @@ def test_knn_affinity(spark):
     got = {(r.src, r.dst): r.weight for r in clustering.knn_affinity(pairs, 1).collect()}
     # nearest of 1 is 2; of 2 is 3; of 3 is 2 -> (1,2) once, (2,3) from both sides
     assert got == {(1, 2): 0.5, (2, 3): 1.0}
+
+
+def test_nearest_pairs_of_sparse_points(spark):
+    rng = np.random.default_rng(2)
+    xy = np.vstack([rng.normal(0, 0.05, (40, 2)), rng.uniform(-30, 30, (12, 2)), [[400.0, -400.0]] * 2])
+    pts = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(xy)] + [(99, None, 1.0)], "id long, x1 double, x2 double")
+    got = {}
+    for r in clustering.nearest_pairs(pts, "id", ["x1", "x2"], 5, 0.1).collect():
+        got.setdefault(r.a, set()).add(r.b)
+    dist = np.sqrt(((xy[:, None] - xy[None]) ** 2).sum(-1))
+    want = {i: set(sorted((j for j in range(len(xy)) if j != i), key=lambda j: (dist[i, j], j))[:5]) for i in range(len(xy))}
+    assert got == want
+    assert clustering.nearest_pairs(pts.limit(1), "id", ["x1", "x2"], 5, 0.1).count() == 0
+    assert {r.a for r in clustering.nearest_pairs(pts.limit(3), "id", ["x1", "x2"], 5, 0.1).collect()} == {0, 1, 2}
+
+
+def test_spectral_labels_every_row(spark):
+    from conftest import SF001
+    from tessera.plans.clustering import spectral
+    got = spectral(spark, SF001)
+    n = spark.read.parquet(f"{SF001}/events.parquet").count()
+    assert got.count() == n and got.where("cluster is null").count() == 0 and got.distinct().count() == n
