@@ -163,3 +163,10 @@ def op11_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.ranking import ranked
 
     return ranked(load_table(spark, sf_dir, "documents"), load_table(spark, sf_dir, "benchmark"), k=20)
+
+
+@query("op12_mixture")
+def op12_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.mixing import mix
+
+    return mix(load_table(spark, sf_dir, "documents"), weights=(3, 1, 2), share=1.5)
