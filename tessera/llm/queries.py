@@ -170,3 +170,33 @@ def op12_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.mixing import mix
 
     return mix(load_table(spark, sf_dir, "documents"), weights=(3, 1, 2), share=1.5)
+
+
+COLLOCATIONS_SQL = r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+             translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+g AS (SELECT lang, k, w[i:i + k - 1] AS ws FROM (
+        SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, (VALUES (1), (2), (3), (4), (5)) v(k) WHERE len(w) >= k)),
+total AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang),
+f AS (SELECT lang, k, ws, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 100),
+cut AS (SELECT lang, k, ws, f AS a, unnest(range(1, k)) AS j FROM f WHERE k > 1),
+s AS (SELECT c.lang, c.k, c.ws, c.a, c.j, x.f AS l, y.f AS r, t.n,
+             CAST((1000::HUGEINT * c.a * t.n) // (x.f::HUGEINT * y.f) AS BIGINT) AS score
+      FROM cut c JOIN f x ON x.lang = c.lang AND x.ws = c.ws[1:c.j] JOIN f y ON y.lang = c.lang AND y.ws = c.ws[c.j + 1:c.k]
+      JOIN total t ON t.lang = c.lang),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, ws ORDER BY score, j) = 1),
+inside AS (SELECT f.lang, f.ws[i:i + m - 1] AS ws, max(f.f) AS most
+           FROM f, (VALUES (2), (3), (4)) v(m), (VALUES (1), (2), (3), (4)) o(i) WHERE m < f.k AND i + m - 1 <= f.k GROUP BY ALL)
+SELECT b.lang, row_number() OVER (PARTITION BY b.lang ORDER BY b.score DESC, b.a DESC, array_to_string(b.ws, ' ')) AS rank,
+       array_to_string(b.ws, ' ') AS phrase, b.a, b.l, b.r, b.n, b.score
+FROM b LEFT JOIN inside ON inside.lang = b.lang AND inside.ws = b.ws
+WHERE inside.most IS NULL OR 100 * inside.most < 100 * b.a QUALIFY rank <= 2000
+"""
+
+
+@query("op13_collocations", COLLOCATIONS_SQL)
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.collocations import collocations
+
+    return collocations(load_table(spark, sf_dir, "documents"), least=100, most=2000)
