@@ -8,12 +8,12 @@ shard, and is complete after one full cycle.  Mining ends when nothing has been
 activated for a whole cycle.
 
 Texts are tokenised once, into chunks that hold the distinct words and flat
-codes of one language.  A scan step is a map over one shard: it adds up the
-active phrases inside each chunk and sends ``(phrase, count)`` rows, which are
-summed with the table of open counts.  What a task must know about the active
+codes of one language, and a 128-bit key per word.  A scan step is a map over one
+shard: it adds up the active phrases inside each chunk and sends arrays of 128-bit
+keys and counts by range of keys, which are added to the table of open counts.  At the end one more scan gives the frequent keys their words.  What a task must know about the active
 phrases is one byte per slot of a fixed table: the step at which a phrase hashing
 there was first activated.  A phrase counts as active from the later of its two
-slots on.  Since slots only ever go from empty to set, every task at every step
+slots on, and not before its parts.  Since slots only ever go from empty to set, every task at every step
 takes the same decision; a clash can only start a phrase early, and it is still
 counted for exactly one cycle.  So counts are exact, and the table (at most
 ``MOST_SLOTS`` bytes) is all that is broadcast.
@@ -32,32 +32,41 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from xxhash import xxh3_128_digest
 
 from tessera.llm.data import discard, materialize
-from tessera.llm.flat import mix, span_hashes, text_bytes
-from tessera.llm.vocab import byte_class, encode, lists
+from tessera.llm.flat import mix, text_bytes
+from tessera.llm.vocab import byte_class, encode, lists, packed, unpacked
 
 LONGEST = 5
 CHUNK_BYTES = 8 << 20
 MOST_SLOTS = 1 << 26
+BUCKET_WORDS = 1 << 19
 #: Bytes that end a piece, and bytes that part words.
 BREAKS = byte_class(b".,;:!?\x0a\x0b\x0c\x0d")
 SOLID = ~(BREAKS | byte_class(b" \t"))
 
 
+def _keys(words: list[str]) -> np.ndarray:
+    """128-bit key of each word, one per column of two 64-bit halves."""
+    return np.frombuffer(b"".join(xxh3_128_digest(w.encode()) for w in words), np.uint64).reshape(-1, 2).T
+
+
 def encoded(docs: DataFrame, shards: int, text: str = "text", lang: str = "lang") -> DataFrame:
-    """``(shard, lang, words, codes, n)`` chunks: distinct words, each word
-    occurrence's place in them with -1 between pieces, number of occurrences."""
+    """``(shard, lang, words, hi, lo, codes, n)`` chunks: distinct words and their
+    keys, each word occurrence's place in them with -1 between pieces, number of
+    occurrences; arrays of numbers are packed."""
 
     def chunk(lang: str, texts: list[pa.Array], shard: int) -> pa.RecordBatch:
         raw, off = text_bytes(pa.concat_arrays(texts))
         words, code, starts = encode(raw, off, SOLID)
         piece = np.cumsum(BREAKS[raw], dtype=np.int32)[starts] + np.searchsorted(off, starts, "right")
         code = np.insert(code, np.flatnonzero(np.diff(piece)) + 1, -1)
+        hi, lo = _keys(words.to_pylist())
         return pa.RecordBatch.from_arrays(
             [pa.array([shard], pa.int32()), pa.array([lang]), pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words),
-             lists(code, np.array([len(code)]), pa.int32()), pa.array([len(starts)], pa.int64())],
-            names=["shard", "lang", "words", "codes", "n"])
+             packed(hi), packed(lo), packed(code.astype(np.int32)), pa.array([len(starts)], pa.int64())],
+            names=["shard", "lang", "words", "hi", "lo", "codes", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = TaskContext.get().partitionId()
@@ -82,92 +91,144 @@ def encoded(docs: DataFrame, shards: int, text: str = "text", lang: str = "lang"
         for name in held:
             yield chunk(name, held[name], shard % shards)
             shard += 1
+        pa.default_memory_pool().release_unused()
 
     return (docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-            .mapInArrow(run, "shard int, lang string, words array<string>, codes array<int>, n long"))
-
+            .mapInArrow(run, "shard int, lang string, words array<string>, hi binary, lo binary, codes binary, n long"))
 
-def _word_hashes(words: pa.Array) -> np.ndarray:
-    raw, off = text_bytes(words)
-    return span_hashes(raw, off[:-1], off[1:])
 
+#: Multipliers of the two halves of a key.
+FACTORS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
 
-def _chain(before: np.ndarray, word: np.ndarray) -> np.ndarray:
-    """Hash of a phrase from those of all but its last word and its last word."""
-    return mix(before * np.uint64(0x9E3779B97F4A7C15) + word)
 
+def _chain(before: tuple, word: tuple) -> tuple:
+    """Key of a phrase from those of all but its last word and its last word."""
+    return tuple(mix(b * f + w) for b, w, f in zip(before, word, FACTORS))
 
-def _start_hash(lang: str) -> np.uint64:
-    return _word_hashes(pa.array([lang]))[0]
 
-
-def _active_from(table: np.ndarray, phrase: np.ndarray) -> np.ndarray:
-    """The step from which phrases of these hashes count as active; 0: not yet."""
+def _active_from(table: np.ndarray, key: tuple) -> np.ndarray:
+    """The step from which phrases of these keys count as active; 0: not yet."""
     bits = np.uint64(64 - (len(table).bit_length() - 1))
-    a, b = table[phrase >> bits], table[mix(phrase) >> bits]
+    a, b = table[key[0] >> bits], table[key[1] >> bits]
     return np.where((a > 0) & (b > 0), np.maximum(a, b), 0).astype(np.int32)
 
 
-def _slots(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    """Slots of phrases in rows ``(lang, phrase, k)``."""
-    bits = np.uint64(64 - (size.bit_length() - 1))
-    for batch in batches:
-        phrases = pc.split_pattern(batch.column("phrase"), " ")
-        word = _word_hashes(phrases.flatten())
-        first = np.r_[0, np.cumsum(phrases.value_lengths().to_numpy())]
-        langs = batch.column("lang").dictionary_encode()
-        starts = np.array([_start_hash(x) for x in langs.dictionary.to_pylist()], np.uint64)
-        h = starts[langs.indices.to_numpy()] if len(batch) else np.zeros(0, np.uint64)
-        for k in range(LONGEST - 1):
-            more = np.flatnonzero(np.diff(first) > k)
-            h[more] = _chain(h[more], word[first[:-1][more] + k])
-        yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.r_[h >> bits, mix(h) >> bits]).astype(np.int64))], names=["slot"])
-
-
-def _scan(batches: Iterator[pa.RecordBatch], now: int, shards: int, table: np.ndarray, longest: int) -> Iterator[pa.RecordBatch]:
-    """Counts of one step in rows ``(lang, phrase, k, n, due)``; ``due`` is the
-    step that completes the phrase's cycle."""
-
-    def rows(lang: str, phrase: pa.Array, k: int, n: np.ndarray, due: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays(
-            [pa.array([lang] * len(phrase), pa.string()), phrase, pa.array(np.full(len(phrase), k), pa.int32()),
-             pa.array(n, pa.int64()), pa.array(due, pa.int32())], names=["lang", "phrase", "k", "n", "due"])
-
+def _phrases(batch: pa.RecordBatch, r: int, table: np.ndarray, longest: int, wanted=None):
+    """Of each length, ``(k, first words' places, keys, since)`` of a chunk's phrases
+    whose parts are active; ``wanted(since)`` selects what is returned, not what
+    is extended."""
+    code = unpacked(batch.column("codes"), r, np.int32)
+    word = tuple(unpacked(batch.column(x), r, np.uint64) for x in ("hi", "lo"))
+    if not len(word[0]):
+        return
+    start = _keys([batch.column("lang")[r].as_py()])
+    key = _chain((start[0], start[1]), word)
+    active = np.r_[_active_from(table, key), 0]               # the last place is that of -1
+    pos = np.flatnonzero(active[code])
+    since, key = active[code[pos]], tuple(x[code[pos]] for x in key)
+    yield 1, pos, key, since
+    for k in range(2, longest + 1):                           # phrases of k words from two of k - 1
+        pair = np.flatnonzero(np.diff(pos) == 1)
+        pos, since = pos[pair], np.maximum(since[pair], since[pair + 1])
+        key = _chain(tuple(x[pair] for x in key), tuple(x[code[pos + k - 1]] for x in word))
+        yield k, pos, key, since
+        own = _active_from(table, key)
+        keep = np.flatnonzero(own)                            # never active before its parts, clash or not
+        pos, key, since = pos[keep], tuple(x[keep] for x in key), np.maximum(own[keep], since[keep])
+
+
+#: A row of counts holds the phrases of one bucket (a range of keys) as packed
+#: arrays: halves of the keys in order, counts, and ``due * 8 + k``, where ``due``
+#: is the step that completes the phrase's cycle and ``k`` its length.
+COUNTS = "bucket long, hi binary, lo binary, n binary, tag binary"
+KINDS = {"hi": np.uint64, "lo": np.uint64, "n": np.int64, "tag": np.int32}
+
+
+def _scan(batches: Iterator[pa.RecordBatch], now: int, shards: int, table: np.ndarray, longest: int, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Counts of one step, added up inside each chunk."""
     for batch in batches:
         for r in range(batch.num_rows):
-            lang = batch.column("lang")[r].as_py()
-            words = batch.column("words")[r].values
-            code = batch.column("codes")[r].values.to_numpy()
-            if not len(words):
-                continue
-            if now <= shards:
-                yield rows(lang, words, 1, np.bincount(code[code >= 0], minlength=len(words)), np.full(len(words), shards))
-            word = _word_hashes(words)
-            h = _chain(np.full(len(words), _start_hash(lang)), word)
-            active = np.r_[_active_from(table, h), 0]         # the last place is that of -1
-            pos = np.flatnonzero(active[code])
-            since, h = active[code[pos]], h[code[pos]]
-            for k in range(2, longest + 1):                   # phrases of k words from two of k - 1
-                pair = np.flatnonzero(np.diff(pos) == 1)
-                pos, h = pos[pair], h[pair]
-                since = np.maximum(since[pair], since[pair + 1])
-                counted = np.flatnonzero(now - since <= shards)
+            found = []
+            word = tuple(unpacked(batch.column(x), r, np.uint64) for x in ("hi", "lo"))
+            if now <= shards and len(word[0]):
+                code = unpacked(batch.column("codes"), r, np.int32)
+                start = _keys([batch.column("lang")[r].as_py()])
+                n = np.bincount(code[code >= 0], minlength=len(word[0]))
+                found.append((*_chain((start[0], start[1]), word), n, np.full(len(n), shards * 8 + 1)))
+            for k, pos, key, since in _phrases(batch, r, table, longest):
+                counted = np.flatnonzero(now - since <= shards) if k > 1 else ()
                 if len(counted):
-                    at = pos[counted]
-                    key = code[at].astype(np.int64)
-                    for j in range(1, k):
-                        if j > 1:
-                            key = np.unique(key, return_inverse=True)[1]
-                        key = key * len(words) + code[at + j]
-                    _, first, n = np.unique(key, return_index=True, return_counts=True)
-                    at = at[first]
-                    phrase = pc.binary_join_element_wise(*[words.take(pa.array(code[at + j])) for j in range(k)], " ")
-                    yield rows(lang, phrase, k, n, since[counted][first] + shards)
-                if k < longest:
-                    h = _chain(h, word[code[pos + k - 1]])
-                    since = _active_from(table, h)
-                    keep = np.flatnonzero(since)
-                    pos, h, since = pos[keep], h[keep], since[keep]
+                    first, n = _runs(key[0][counted], key[1][counted])
+                    at = counted[first]
+                    found.append((key[0][at], key[1][at], n, (since[at] + shards) * 8 + k))
+            if found:
+                hi, lo, n, tag = (np.concatenate(x) for x in zip(*found))
+                order = np.argsort(hi)
+                hi = hi[order]
+                bucket = ((hi >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+                first = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+                size = np.diff(np.r_[first, len(hi)])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(bucket[first]), packed(hi, size), packed(lo[order], size), packed(n[order], size),
+                     packed(tag[order].astype(np.int32), size)], names=["bucket", *KINDS])
+    pa.default_memory_pool().release_unused()
+
+
+def _add(group: pa.Table, now: int, least: int, bits: int) -> pa.Table:
+    """The counts of a bucket added up: rows ``was`` of the table of open counts and
+    those of the step.  Rare phrases whose cycle is complete are closed.  ``slots``
+    are those of the phrases that reached the threshold in this step, with the
+    least length of them in ``shortest``."""
+    pieces = {x: [unpacked(group[x], r, kind) for r in range(len(group))] for x, kind in KINDS.items()}
+    hi, lo, n, tag = (np.concatenate(p) for p in pieces.values())
+    was = np.repeat(group["was"].to_numpy(), [len(p) for p in pieces["n"]])
+    order = np.lexsort((lo, hi))
+    hi, lo, n, tag, was = hi[order], lo[order], n[order], tag[order], was[order]
+    first = np.flatnonzero(np.r_[True, (hi[1:] != hi[:-1]) | (lo[1:] != lo[:-1])])
+    old = np.add.reduceat(np.where(was, n, 0), first) >= least
+    hi, lo, n, tag = hi[first], lo[first], np.add.reduceat(n, first), tag[first]
+    new = (n >= least) & ~old
+    slots = np.unique(np.r_[hi[new], lo[new]] >> np.uint64(64 - bits)).astype(np.int64)
+    keep = (n >= least) | (tag // 8 > now)
+    return pa.table({"bucket": group["bucket"].slice(0, 1), "hi": packed(hi[keep]), "lo": packed(lo[keep]), "n": packed(n[keep]),
+                     "tag": packed(tag[keep]), "slots": lists(slots, np.array([len(slots)]), pa.int64()), "shortest": pa.array([int((tag[new] % 8).min()) if new.any() else 0], pa.int32())})
+
+
+def _runs(hi: np.ndarray, lo: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``(a place, number)`` of each distinct key."""
+    order = np.argsort(hi)
+    if (np.diff(hi[order].view(np.int64)) == 0).any():
+        order = np.lexsort((lo, hi))
+    fresh = np.flatnonzero(np.r_[True, (hi[order][1:] != hi[order][:-1]) | (lo[order][1:] != lo[order][:-1])])
+    return order[fresh], np.diff(np.r_[fresh, len(order)])
+
+
+def _names(batches: Iterator[pa.RecordBatch], table: np.ndarray, longest: int) -> Iterator[pa.RecordBatch]:
+    """The words of the active phrases: ``(hi, lo, lang, phrase)``, once a chunk."""
+    for batch in batches:
+        for r in range(batch.num_rows):
+            code, words = unpacked(batch.column("codes"), r, np.int32), batch.column("words")[r].values
+            for k, pos, key, _ in _phrases(batch, r, table, longest):
+                some = np.flatnonzero(_active_from(table, key))
+                if not len(some):
+                    continue
+                some = some[_runs(key[0][some], key[1][some])[0]]
+                at = [words.take(pa.array(code[pos[some] + j])) for j in range(k)]
+                phrase = pc.binary_join_element_wise(*at, " ") if k > 1 else at[0]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(key[0][some].view(np.int64)), pa.array(key[1][some].view(np.int64)),
+                     pa.array([batch.column("lang")[r].as_py()] * len(some), pa.string()), phrase], names=["hi", "lo", "lang", "phrase"])
+
+
+def _unpack(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """One row for each frequent phrase of packed counts."""
+    for batch in batches:
+        for r in range(batch.num_rows):
+            hi, lo, n, tag = (unpacked(batch.column(x), r, kind) for x, kind in KINDS.items())
+            some = n >= least
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(hi[some].view(np.int64)), pa.array(lo[some].view(np.int64)), pa.array(tag[some] % 8), pa.array(n[some])],
+                names=["hi", "lo", "k", "n"])
 
 
 def frequent_phrases(chunks: DataFrame, shards: int, least: int = 100, longest: int = LONGEST) -> DataFrame:
@@ -176,36 +237,44 @@ def frequent_phrases(chunks: DataFrame, shards: int, least: int = 100, longest:
     if (longest + 1) * shards > 255:
         raise ValueError("too many shards: a step must fit a byte")
     n_words = int(chunks.agg(F.sum("n")).first()[0] or 0)
-    size = 1 << min(max((n_words // 32).bit_length(), 12), MOST_SLOTS.bit_length() - 1)
-    table = np.zeros(size, np.uint8)
-    spark, kind = chunks.sparkSession, "lang string, phrase string, k int, n long, due int"
+    bits = min(max((n_words // 32).bit_length(), 12), MOST_SLOTS.bit_length() - 1)
+    buckets = max(1, n_words // BUCKET_WORDS)
+    table = np.zeros(1 << bits, np.uint8)
+    spark = chunks.sparkSession
     state, now, last = None, 0, 0
     while now < shards or now - last < shards:
         now += 1
         known = spark.sparkContext.broadcast(table)
 
-        def scan(batches, now=now, known=known):
-            return _scan(batches, now, shards, known.value, longest)
+        def scan(batches):                                    # both are pickled and run within this step
+            return _scan(batches, now, shards, known.value, longest, buckets)
+
+        def add(group):
+            return _add(group, now, least, bits)
 
-        rows = chunks.where(F.col("shard") == (now - 1) % shards).select("lang", "words", "codes").mapInArrow(scan, kind)
-        rows = rows.withColumn("old", F.lit(False))
+        rows = chunks.where(F.col("shard") == (now - 1) % shards).select("lang", "hi", "lo", "codes")
+        rows = rows.mapInArrow(scan, COUNTS).withColumn("was", F.lit(False))
         if state is not None:
-            rows = rows.unionByName(state.withColumn("old", F.col("n") >= least))
-        summed = rows.groupBy("lang", "phrase", "k").agg(F.sum("n").alias("n"), F.max("due").alias("due"), F.max("old").alias("old"))
-        summed = summed.where(~((F.col("due") <= now) & (F.col("n") < least)))        # complete and rare: closed
-        kept = materialize(summed, "phrase-counts")
-        new = kept.where(f"not old and n >= {least} and k < {longest}").select("lang", "phrase", "k")
-        got = new.mapInArrow(lambda batches: _slots(batches, size), "slot long").distinct().toArrow()["slot"].to_numpy()
+            rows = rows.unionByName(state.withColumn("was", F.lit(True)))
+        kept = materialize(rows.groupBy("bucket").applyInArrow(add, f"{COUNTS}, slots array<long>, shortest int"), "phrase-counts")
+        got = kept.select(F.explode("slots").alias("slot"), "shortest").groupBy("slot").agg(F.min("shortest").alias("k")).toArrow()
         if len(got):
-            last, table = now, table.copy()
-            table[got] = np.where(table[got] == 0, now, table[got])
+            table, slots = table.copy(), got["slot"].to_numpy()
+            table[slots] = np.where(table[slots] == 0, now, table[slots])
+            last = now if (got["k"].to_numpy() < longest).any() else last
         discard(state)
         known.destroy()
-        state = kept.drop("old")
-    return state.where(f"n >= {least}").select("lang", "phrase", "k", "n")
+        state = kept.select("bucket", "hi", "lo", "n", "tag").where(F.length("n") > 0)
+    names = chunks.select("lang", "words", "hi", "lo", "codes").mapInArrow(
+        lambda batches: _names(batches, table, longest), "hi long, lo long, lang string, phrase string")
+    names = names.groupBy("hi", "lo").agg(F.min("lang").alias("lang"), F.min("phrase").alias("phrase"))
+    counts = state.mapInArrow(lambda batches: _unpack(batches, least), "hi long, lo long, k int, n long")
+    freq = materialize(counts.join(names, ["hi", "lo"]).select("lang", "phrase", "k", "n"), "phrase-frequencies")
+    discard(state)
+    return freq
 
 
-def collocations(docs: DataFrame, least: int = 100, most: int = 2000, shards: int = 4, text: str = "text",
+def collocations(docs: DataFrame, least: int = 100, most: int = 2000, shards: int = 3, text: str = "text",
                  lang: str = "lang") -> DataFrame:
     """``(lang, rank, phrase, a, l, r, n, score)``: each language's ``most`` best
     phrases of 2 to 5 words.  A phrase is scored by the cut where its two

@@ -45,3 +45,16 @@ def lists(values: np.ndarray, sizes: np.ndarray, kind: pa.DataType) -> pa.Array:
     """List array of consecutive pieces of ``values`` with these sizes."""
     ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(values, kind))
+
+
+def packed(values: np.ndarray, sizes: np.ndarray | None = None) -> pa.Array:
+    """Binary array of consecutive pieces of ``values`` with these sizes (default:
+    one piece); ``unpacked`` reads a piece again."""
+    sizes = np.array([len(values)]) if sizes is None else sizes
+    ends = np.concatenate([[0], np.cumsum(sizes) * values.itemsize]).astype(np.int32)
+    data = pa.py_buffer(np.ascontiguousarray(values))
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends), data])
+
+
+def unpacked(column: pa.Array | pa.ChunkedArray, row: int, kind: type) -> np.ndarray:
+    return np.frombuffer(column[row].as_buffer(), kind)

@@ -133,10 +133,11 @@ def test_collocations_are_exact(spark, monkeypatch, shards, chunk):
     assert sorted(tuple(r) for r in got) == brute_phrases(docs, 8, 30)
 
 
-def test_clashes_in_the_table_of_active_phrases_change_nothing(spark, monkeypatch):
-    """Two slots for everything: phrases start early, counts stay exact."""
-    monkeypatch.setattr(col, "CHUNK_BYTES", 500)
-    monkeypatch.setattr(col, "MOST_SLOTS", 2)
+@pytest.mark.parametrize("slots", [2, 32, 128])
+def test_clashes_in_the_table_of_active_phrases_change_nothing(spark, monkeypatch, slots):
+    """Few slots for everything: phrases start early, counts stay exact."""
+    monkeypatch.setattr(col, "CHUNK_BYTES", 500 if slots == 2 else 1 << 20)
+    monkeypatch.setattr(col, "MOST_SLOTS", slots)
     docs = phrase_docs(4)
     got = col.collocations(spark.createDataFrame(docs, "text string, lang string").repartition(3), least=8, most=50, shards=3)
     assert sorted(tuple(r) for r in got.collect()) == brute_phrases(docs, 8, 50)
