@@ -8,8 +8,8 @@ shard, and is complete after one full cycle.  Mining ends when nothing has been
 activated for a whole cycle.
 
 Texts are tokenised once, into chunks that hold the distinct words and flat
-codes of one language, and a 128-bit key per word.  A scan step is a map over one
-shard: it adds up the active phrases inside each chunk and sends arrays of 128-bit
+codes of one language, and a 96-bit key per word.  A scan step is a map over one
+shard: it adds up the active phrases inside each chunk and sends arrays of 96-bit
 keys and counts by range of keys, which are added to the table of open counts.  At the end one more scan gives the frequent keys their words.  What a task must know about the active
 phrases is one byte per slot of a fixed table: the step at which a phrase hashing
 there was first activated.  A phrase counts as active from the later of its two
@@ -39,17 +39,20 @@ from tessera.llm.flat import mix, text_bytes
 from tessera.llm.vocab import byte_class, encode, lists, packed, unpacked
 
 LONGEST = 5
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 MOST_SLOTS = 1 << 26
 BUCKET_WORDS = 1 << 19
+ADD_BYTES = 8 << 20
+ROW_KEYS = 1 << 13
 #: Bytes that end a piece, and bytes that part words.
 BREAKS = byte_class(b".,;:!?\x0a\x0b\x0c\x0d")
 SOLID = ~(BREAKS | byte_class(b" \t"))
 
 
 def _keys(words: list[str]) -> np.ndarray:
-    """128-bit key of each word, one per column of two 64-bit halves."""
-    return np.frombuffer(b"".join(xxh3_128_digest(w.encode()) for w in words), np.uint64).reshape(-1, 2).T
+    """Key of each word: 64 and 32 bits of its hash, the latter in 64-bit numbers."""
+    hi, lo = np.frombuffer(b"".join(xxh3_128_digest(w.encode()) for w in words), np.uint64).reshape(-1, 2).T
+    return np.stack([hi, lo >> np.uint64(32)])
 
 
 def encoded(docs: DataFrame, shards: int, text: str = "text", lang: str = "lang") -> DataFrame:
@@ -97,19 +100,21 @@ def encoded(docs: DataFrame, shards: int, text: str = "text", lang: str = "lang"
             .mapInArrow(run, "shard int, lang string, words array<string>, hi binary, lo binary, codes binary, n long"))
 
 
-#: Multipliers of the two halves of a key.
+#: Multipliers of the two parts of a key.  Of 10^12 phrases two share a key with
+#: probability 10^-5.
 FACTORS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
 
 
 def _chain(before: tuple, word: tuple) -> tuple:
     """Key of a phrase from those of all but its last word and its last word."""
-    return tuple(mix(b * f + w) for b, w, f in zip(before, word, FACTORS))
+    hi, lo = (mix(b * f + w) for b, w, f in zip(before, word, FACTORS))
+    return hi, lo >> np.uint64(32)
 
 
 def _active_from(table: np.ndarray, key: tuple) -> np.ndarray:
     """The step from which phrases of these keys count as active; 0: not yet."""
-    bits = np.uint64(64 - (len(table).bit_length() - 1))
-    a, b = table[key[0] >> bits], table[key[1] >> bits]
+    bits = len(table).bit_length() - 1
+    a, b = table[key[0] >> np.uint64(64 - bits)], table[key[1] >> np.uint64(32 - bits)]
     return np.where((a > 0) & (b > 0), np.maximum(a, b), 0).astype(np.int32)
 
 
@@ -137,11 +142,11 @@ def _phrases(batch: pa.RecordBatch, r: int, table: np.ndarray, longest: int, wan
         pos, key, since = pos[keep], tuple(x[keep] for x in key), np.maximum(own[keep], since[keep])
 
 
-#: A row of counts holds the phrases of one bucket (a range of keys) as packed
-#: arrays: halves of the keys in order, counts, and ``due * 8 + k``, where ``due``
+#: A row of counts holds phrases of one bucket (a range of keys) as packed
+#: arrays: the parts of the keys in order, counts, and ``due * 8 + k``, where ``due``
 #: is the step that completes the phrase's cycle and ``k`` its length.
 COUNTS = "bucket long, hi binary, lo binary, n binary, tag binary"
-KINDS = {"hi": np.uint64, "lo": np.uint64, "n": np.int64, "tag": np.int32}
+KINDS = {"hi": np.uint64, "lo": np.uint32, "n": np.int64, "tag": np.int32}
 
 
 def _scan(batches: Iterator[pa.RecordBatch], now: int, shards: int, table: np.ndarray, longest: int, buckets: int) -> Iterator[pa.RecordBatch]:
@@ -169,29 +174,63 @@ def _scan(batches: Iterator[pa.RecordBatch], now: int, shards: int, table: np.nd
                 first = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
                 size = np.diff(np.r_[first, len(hi)])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(bucket[first]), packed(hi, size), packed(lo[order], size), packed(n[order], size),
+                    [pa.array(bucket[first]), packed(hi, size), packed(lo[order].astype(np.uint32), size), packed(n[order], size),
                      packed(tag[order].astype(np.int32), size)], names=["bucket", *KINDS])
     pa.default_memory_pool().release_unused()
 
 
-def _add(group: pa.Table, now: int, least: int, bits: int) -> pa.Table:
-    """The counts of a bucket added up: rows ``was`` of the table of open counts and
-    those of the step.  Rare phrases whose cycle is complete are closed.  ``slots``
-    are those of the phrases that reached the threshold in this step, with the
-    least length of them in ``shortest``."""
-    pieces = {x: [unpacked(group[x], r, kind) for r in range(len(group))] for x, kind in KINDS.items()}
-    hi, lo, n, tag = (np.concatenate(p) for p in pieces.values())
-    was = np.repeat(group["was"].to_numpy(), [len(p) for p in pieces["n"]])
-    order = np.lexsort((lo, hi))
-    hi, lo, n, tag, was = hi[order], lo[order], n[order], tag[order], was[order]
+def _add(batches: Iterator[pa.RecordBatch], now: int, least: int, bits: int) -> Iterator[pa.RecordBatch]:
+    """Counts added up bucket by bucket, from rows sorted by bucket: ``was`` marks
+    those of the table of open counts, the others are of the step.  Rare phrases
+    whose cycle is complete are closed.  ``slots`` are those of the phrases that
+    reached the threshold in this step, with their least length in ``shortest``."""
+    held: list[pa.RecordBatch] = []                           # all rows so far of a bucket that may go on
+    for batch in batches:
+        bucket = batch.column("bucket").to_numpy()
+        i = 0
+        while i < len(bucket):                                # whole buckets, a bounded number of bytes at a time
+            j = min(len(bucket), i + max(1, int(np.searchsorted(np.cumsum(_sizes(batch)[i:]), ADD_BYTES))))
+            last = bucket[j - 1]
+            cut = i + int(np.searchsorted(bucket[i:j], last))
+            if held and held[-1].column("bucket")[0].as_py() != bucket[i]:
+                yield _added(held, now, least, bits)
+                held = []
+            if cut > i:
+                yield _added([*held, batch.slice(i, cut - i)], now, least, bits)
+                held = []
+            held.append(batch.slice(cut, j - cut))
+            i = j
+    if held:
+        yield _added(held, now, least, bits)
+    pa.default_memory_pool().release_unused()
+
+
+def _sizes(batch: pa.RecordBatch) -> np.ndarray:
+    return pc.binary_length(batch.column("hi")).to_numpy()
+
+
+def _added(rows: list[pa.RecordBatch], now: int, least: int, bits: int) -> pa.RecordBatch:
+    hi, lo, n, tag = (np.concatenate([unpacked(b.column(x), r, kind) for b in rows for r in range(b.num_rows)]) for x, kind in KINDS.items())
+    size = np.concatenate([_sizes(b) for b in rows]) // 8
+    was = np.repeat(np.concatenate([b.column("was").to_numpy(zero_copy_only=False) for b in rows]), size)
+    bucket = np.repeat(np.concatenate([b.column("bucket").to_numpy() for b in rows]), size)
+    order = np.lexsort((lo, hi))                              # buckets are ranges of hi
+    hi, lo, n, tag, was, bucket = hi[order], lo[order], n[order], tag[order], was[order], bucket[order]
     first = np.flatnonzero(np.r_[True, (hi[1:] != hi[:-1]) | (lo[1:] != lo[:-1])])
     old = np.add.reduceat(np.where(was, n, 0), first) >= least
-    hi, lo, n, tag = hi[first], lo[first], np.add.reduceat(n, first), tag[first]
+    hi, lo, n, tag, bucket = hi[first], lo[first], np.add.reduceat(n, first), tag[first], bucket[first]
     new = (n >= least) & ~old
-    slots = np.unique(np.r_[hi[new], lo[new]] >> np.uint64(64 - bits)).astype(np.int64)
     keep = (n >= least) | (tag // 8 > now)
-    return pa.table({"bucket": group["bucket"].slice(0, 1), "hi": packed(hi[keep]), "lo": packed(lo[keep]), "n": packed(n[keep]),
-                     "tag": packed(tag[keep]), "slots": lists(slots, np.array([len(slots)]), pa.int64()), "shortest": pa.array([int((tag[new] % 8).min()) if new.any() else 0], pa.int32())})
+    slots = np.unique(np.r_[hi[new] >> np.uint64(64 - bits), lo[new].astype(np.uint64) >> np.uint64(32 - bits)]).astype(np.int64)
+    shortest = int((tag[new] % 8).min()) if new.any() else 0
+    hi, lo, n, tag, bucket = hi[keep], lo[keep], n[keep], tag[keep], bucket[keep]
+    first = np.union1d(np.flatnonzero(np.r_[-1, bucket[:-1]] != bucket), np.arange(0, len(bucket), ROW_KEYS))
+    size = np.diff(np.r_[first, len(bucket)])
+    blank = np.zeros(len(size), np.int64)                     # the slots are a row of their own
+    return pa.RecordBatch.from_arrays(
+        [pa.array(np.r_[bucket[first], -1]), *(packed(x, np.r_[size, 0]) for x in (hi, lo, n, tag)),
+         lists(slots, np.r_[blank, len(slots)], pa.int64()), pa.array(np.r_[blank, shortest], pa.int32())],
+        names=["bucket", *KINDS, "slots", "shortest"])
 
 
 def _runs(hi: np.ndarray, lo: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -227,7 +266,7 @@ def _unpack(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Record
             hi, lo, n, tag = (unpacked(batch.column(x), r, kind) for x, kind in KINDS.items())
             some = n >= least
             yield pa.RecordBatch.from_arrays(
-                [pa.array(hi[some].view(np.int64)), pa.array(lo[some].view(np.int64)), pa.array(tag[some] % 8), pa.array(n[some])],
+                [pa.array(hi[some].view(np.int64)), pa.array(lo[some].astype(np.int64)), pa.array(tag[some] % 8), pa.array(n[some])],
                 names=["hi", "lo", "k", "n"])
 
 
@@ -249,14 +288,15 @@ def frequent_phrases(chunks: DataFrame, shards: int, least: int = 100, longest:
         def scan(batches):                                    # both are pickled and run within this step
             return _scan(batches, now, shards, known.value, longest, buckets)
 
-        def add(group):
-            return _add(group, now, least, bits)
+        def add(batches):
+            return _add(batches, now, least, bits)
 
         rows = chunks.where(F.col("shard") == (now - 1) % shards).select("lang", "hi", "lo", "codes")
         rows = rows.mapInArrow(scan, COUNTS).withColumn("was", F.lit(False))
         if state is not None:
             rows = rows.unionByName(state.withColumn("was", F.lit(True)))
-        kept = materialize(rows.groupBy("bucket").applyInArrow(add, f"{COUNTS}, slots array<long>, shortest int"), "phrase-counts")
+        kept = materialize(rows.repartition("bucket").sortWithinPartitions("bucket")
+                           .mapInArrow(add, f"{COUNTS}, slots array<long>, shortest int"), "phrase-counts")
         got = kept.select(F.explode("slots").alias("slot"), "shortest").groupBy("slot").agg(F.min("shortest").alias("k")).toArrow()
         if len(got):
             table, slots = table.copy(), got["slot"].to_numpy()
@@ -264,7 +304,8 @@ def frequent_phrases(chunks: DataFrame, shards: int, least: int = 100, longest:
             last = now if (got["k"].to_numpy() < longest).any() else last
         discard(state)
         known.destroy()
-        state = kept.select("bucket", "hi", "lo", "n", "tag").where(F.length("n") > 0)
+        spark._jvm.System.gc()                                # lets Spark delete the shuffle files of finished steps
+        state = kept.select("bucket", "hi", "lo", "n", "tag").where("bucket >= 0")
     names = chunks.select("lang", "words", "hi", "lo", "codes").mapInArrow(
         lambda batches: _names(batches, table, longest), "hi long, lo long, lang string, phrase string")
     names = names.groupBy("hi", "lo").agg(F.min("lang").alias("lang"), F.min("phrase").alias("phrase"))
