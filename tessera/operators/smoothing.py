@@ -104,38 +104,61 @@ def moving_average(df: DataFrame, series: list[str], order: list[str], columns:
 
 
 def ewm_terms(window: int, tol_digits: int = 12) -> tuple[float, int]:
-    """(decay 1-alpha, rows K) of a span-``window`` EWMA truncated where the
-    weight falls under 10^-tol_digits (alpha = 2/(span+1))."""
+    """(decay 1-alpha, rows K) of a span-``window`` EWMA: terms K rows back weigh
+    under 10^-tol_digits (alpha = 2/(span+1))."""
     alpha = 2.0 / (window + 1.0)
     decay = 1.0 - alpha
     k = math.ceil(tol_digits * math.log(10) / -math.log(decay)) if decay > 0 else 1
     return decay, max(k, 1)
 
 
+_EWM_DIGITS = 100     # weights inside a block span at most so many decimal digits
+_EWM_EXACT = 18       # terms of smaller weight (digits) do not reach a double
+
+
 def ewm_mean(df: DataFrame, series: list[str], order: list[str], columns: list[str],
              window: int = 5, block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
     """Bias-adjusted EWMA with span ``window``:
     y_t = sum_i decay^i x_{t-i} / sum_i decay^i over non-null x (i by row
-    distance); terms more than K rows back weigh below 1e-12 of the row's own.
-    A null row repeats the last value, however long the run of nulls."""
-    decay, k = ewm_terms(window)
-
-    def compute(d, w):
-        frame = w.rowsBetween(-(k - 1), 0)
-        out = []
-        for c in columns:
-            hist = F.collect_list(F.struct(F.col("_rn").alias("rn"), F.col(c).cast("double").alias("x"))) \
-                .over(frame)
-            kept = F.filter(hist, lambda e: e["x"].isNotNull())
-            num = F.aggregate(kept, F.lit(0.0),
-                              lambda acc, e: acc + e["x"] * F.pow(F.lit(decay), F.col("_rn") - e["rn"]))
-            den = F.aggregate(kept, F.lit(0.0),
-                              lambda acc, e: acc + F.pow(F.lit(decay), F.col("_rn") - e["rn"]))
-            out.append(F.when(F.col(c).isNotNull(), num / den).alias(f"{c}_smoothed"))
-        return d.select("*", *out)
-
-    smoothed = stencil(df, series, order, k - 1, 0, compute, block_rows).drop("_n")
-    return _carry_forward(smoothed, series, [f"{c}_smoothed" for c in columns], block_rows)
+    distance).  A null or NaN row repeats the last value, however long the gap.
+
+    A scan of affine steps: inside a block, numerator and denominator are running
+    sums of values scaled by ``decay^-position``; a block's pair at its end, decayed by
+    the distance, is carried into the blocks after it that it still reaches
+    (one, unless the span is longer than a block).  Work per row does not
+    depend on the span, and no task sees more than a block of a series."""
+    decay, longest = ewm_terms(window, _EWM_DIGITS)
+    size = min(max(block_rows, 1), longest)
+    reach = max(1, math.ceil(ewm_terms(window, _EWM_EXACT)[1] / size))
+    pos = series_positions(df, series, order)
+    if decay <= 0:                                            # span 1: every value is its own mean
+        own = pos.select("*", *[_number(c).alias(f"{c}_smoothed") for c in columns]).drop("_n")
+        return _carry_forward(own, series, [f"{c}_smoothed" for c in columns], block_rows)
+    at = F.pmod(F.col("_rn") - 1, F.lit(size))
+    rows = pos.withColumn("_blk", F.floor((F.col("_rn") - 1) / size)).withColumn("_up", F.pow(F.lit(1.0 / decay), at))
+    down = F.pow(F.lit(decay), at)
+    pairs = [(i, c, _number(c) * F.col("_up"), F.when(_number(c).isNotNull(), F.col("_up"))) for i, c in enumerate(columns)]
+    last = F.lit(decay) ** F.lit(size - 1)
+    ends = rows.groupBy(*series, "_blk").agg(*[x for i, _, num, den in pairs for x in (
+        (F.sum(num) * last).alias(f"_en{i}"), (F.sum(den) * last).alias(f"_ed{i}"))])
+    ends = ends.withColumn("_j", F.explode(F.sequence(F.lit(1), F.lit(reach))))
+    far = F.pow(F.lit(decay), (F.col("_j") - 1) * size + 1)
+    ends = ends.groupBy(*series, (F.col("_blk") + F.col("_j")).alias("_blk")).agg(*[x for i, *_ in pairs for x in (
+        F.sum(F.col(f"_en{i}") * far).alias(f"_cn{i}"), F.sum(F.col(f"_ed{i}") * far).alias(f"_cd{i}"))])
+    run = Window.partitionBy(*series, "_blk").orderBy("_rn").rowsBetween(Window.unboundedPreceding, 0)
+    sums = rows.select("*", *[x for i, _, num, den in pairs for x in (
+        F.sum(num).over(run).alias(f"_rn{i}"), F.sum(den).over(run).alias(f"_rd{i}"))])
+    got = sums.join(ends, [*series, "_blk"], "left")
+    total = lambda kind, i: F.coalesce(F.col(f"_r{kind}{i}"), F.lit(0.0)) + F.coalesce(F.col(f"_c{kind}{i}"), F.lit(0.0))
+    got = got.select(*df.columns, "_rn", *[
+        F.when(_number(c).isNotNull(), (total("n", i) * down) / (total("d", i) * down)).alias(f"{c}_smoothed") for i, c, *_ in pairs])
+    return _carry_forward(got, series, [f"{c}_smoothed" for c in columns], block_rows)
+
+
+def _number(column: str) -> Column:
+    """The value as a double; NaN counts as missing."""
+    x = F.col(column).cast("double")
+    return F.when(~F.isnan(x), x)
 
 
 def _carry_forward(pos: DataFrame, series: list[str], columns: list[str], block_rows: int) -> DataFrame:

@@ -50,6 +50,20 @@ def smooth_ewm(spark, sf):
     return _out(smoothing.ewm_mean(_events(spark, sf), SERIES, ORDER, ["value"], WINDOW))
 
 
+LONG_SPAN = 200
+
+
+@register("smooth_ewm_long", _RN_SQL + f"""
+SELECT a.event_id, a.user_id, a.value,
+       ROUND(SUM(b.value * pow(1 - 2.0 / ({LONG_SPAN} + 1), a.rn - b.rn))
+             / SUM(pow(1 - 2.0 / ({LONG_SPAN} + 1), a.rn - b.rn)), 6) AS value_smoothed
+FROM e a JOIN e b ON a.user_id = b.user_id AND b.rn <= a.rn AND b.value IS NOT NULL
+GROUP BY a.event_id, a.user_id, a.value""")
+def smooth_ewm_long(spark, sf):
+    """EWMA with a long span: same plan and cost a row as the short one."""
+    return _out(smoothing.ewm_mean(_events(spark, sf), SERIES, ORDER, ["value"], LONG_SPAN))
+
+
 def _gauss_sql() -> str:
     _, r = smoothing.gaussian_kernel(WINDOW)
     sigma = f"({WINDOW} / 3.0)"

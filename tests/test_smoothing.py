@@ -116,3 +116,36 @@ def test_series_prefix_sum_skewed(spark):
         run += t % 3
         assert out[(1, t)] == run
     assert [out[(2, t)] for t in range(5)] == [1, 2, 3, 4, 5]
+
+
+def _plain_ewm(xs, span):
+    """The definition, term by term; gaps repeat the last value."""
+    decay, out, last = 1 - 2 / (span + 1), [], None
+    for t, x in enumerate(xs):
+        if x is not None and x == x:
+            terms = [(decay ** (t - i), y) for i, y in enumerate(xs[:t + 1]) if y is not None and y == y]
+            last = sum(w * y for w, y in terms) / sum(w for w, _ in terms)
+        out.append(last)
+    return out
+
+
+@pytest.mark.parametrize("span,block", [(1, 100_000), (2, 100_000), (5, 7), (5, 100_000), (60, 16), (200, 50), (200, 100_000)])
+def test_ewm_scan_equals_the_definition(spark, span, block):
+    """Short and long spans, blocks shorter than the span's reach, gaps longer than a block."""
+    import math
+    import random
+    rnd = random.Random(span)
+    xs = [rnd.uniform(-50, 1e6) if rnd.random() < 0.7 else rnd.choice([None, math.nan]) for _ in range(260)]
+    xs[100:180] = [None] * 80
+    xs[:3] = [None, math.nan, 5.0]
+    got = _vals(smoothing.ewm_mean(_series(spark, xs), ["sid"], ["t"], ["x"], span, block_rows=block))
+    want = _plain_ewm(xs, span)
+    assert [g is None for g in got] == [w is None for w in want]
+    assert [g for g in got if g is not None] == pytest.approx([w for w in want if w is not None], rel=1e-11)
+
+
+def test_ewm_plan_does_not_grow_with_the_span(spark):
+    df = _series(spark, [float(i) for i in range(50)])
+    plans = [smoothing.ewm_mean(df, ["sid"], ["t"], ["x"], span)._jdf.queryExecution().optimizedPlan().toString() for span in (5, 200)]
+    assert all("collect_list" not in p for p in plans)
+    assert plans[0].count("Window") == plans[1].count("Window")
