@@ -48,6 +48,51 @@ def test_dbscan_matches_brute_force(spark):
     assert [got[i] for i in range(len(X))] == _brute_dbscan(X, 0.5, 5)
 
 
+def _check_dbscan(spark, X, eps, min_samples):
+    names = [f"f{i}" for i in range(X.shape[1])]
+    rows = [(i, *map(float, x)) for i, x in enumerate(X)]
+    df = spark.createDataFrame(rows, "id long, " + ", ".join(f"{f} double" for f in names))
+    got = {r.id: r.cluster for r in clustering.dbscan(df, "id", names, eps, min_samples).collect()}
+    assert [got[i] for i in range(len(X))] == _brute_dbscan(X, eps, min_samples)
+    d = np.sqrt(((X[:, None, :] - X[None, :, :]) ** 2).sum(-1))
+    core = {r.id: r.core for r in clustering.core_points(df, "id", names, eps, min_samples).collect()}
+    assert [core[i] for i in range(len(X))] == [bool((row <= eps).sum() >= min_samples) for row in d]
+
+
+@pytest.mark.parametrize("case", ["line", "ladder", "copies", "moons", "three", "five", "tiny"])
+def test_dbscan_without_pairs_on_hard_shapes(spark, monkeypatch, case):
+    """Distances of exactly eps, repeated points, full cells facing each other at
+    just under and just over eps, more dimensions, cells dealt out to many tasks."""
+    monkeypatch.setattr(clustering, "CELL_ROWS", 7)
+    rng = np.random.default_rng(11)
+    if case == "line":
+        _check_dbscan(spark, np.array([[i] for i in [*range(20), 22, 23, 24, 27, 27, 27, 27]], float), 1.0, 3)
+    elif case == "ladder":
+        _check_dbscan(spark, np.array([[i * 0.5, j] for i in range(12) for j in (0, 1, 2.5)], float), 1.0, 4)
+    elif case == "copies":
+        X = np.repeat(np.array([[0, 0], [0.5, 0], [0.999999, 0], [2.0, 0], [3.0000001, 0]]), [40, 1, 9, 30, 12], axis=0)
+        _check_dbscan(spark, X, 1.0, 5)
+    elif case == "moons":
+        t = rng.uniform(0, np.pi, 150)
+        X = np.vstack([np.c_[np.cos(t), np.sin(t)], np.c_[1 - np.cos(t), 0.5 - np.sin(t)]]) + rng.normal(0, 0.05, (300, 2))
+        for eps in (0.08, 0.2, 0.31):
+            _check_dbscan(spark, X, eps, 5)
+    elif case == "three":
+        _check_dbscan(spark, np.vstack([rng.normal(0, 1, (90, 3)), rng.normal(4, 0.4, (90, 3))]), 0.9, 6)
+    elif case == "five":
+        _check_dbscan(spark, np.vstack([rng.normal(0, 1, (70, 5)), rng.normal(3, 0.5, (70, 5))]), 1.7, 5)
+    else:
+        _check_dbscan(spark, np.vstack([rng.uniform(-1e-9, 1e-9, (40, 2)), rng.uniform(1e6, 1e6 + 1e-3, (40, 2))]), 3e-10, 4)
+
+
+def test_dbscan_edges(spark):
+    kind = "id long, x double, y double"
+    assert clustering.dbscan(spark.createDataFrame([], kind), "id", ["x", "y"], 1.0, 2).count() == 0
+    rows = [(1, 0.0, 0.0), (2, 0.0, -0.0), (3, None, 0.0), (4, math.nan, 0.0), (5, math.inf, 0.0), (6, 50.0, 0.0)]
+    got = {r.id: r.cluster for r in clustering.dbscan(spark.createDataFrame(rows, kind), "id", ["x", "y"], 1.0, 2).collect()}
+    assert got == {1: 0, 2: 0, 3: -1, 4: -1, 5: -1, 6: -1}
+
+
 def test_squared_silhouette_matches_brute_force(spark):
     rng = np.random.default_rng(3)
     X = rng.normal(0, 1, (60, 2))
