@@ -22,6 +22,7 @@ from tessera.session import cut_lineage
 
 CANDIDATE_BROADCAST_ROWS = 500_000
 SMALL_BASKET = 64  # baskets up to this many items extend their own frequent sets
+PAIR_BUCKETS = 1 << 18  # hashed pair counters of the second level
 
 
 @dataclass
@@ -94,16 +95,12 @@ def count_support(tx: DataFrame, cands: DataFrame, k: int) -> DataFrame:
 
 
 def _prefix_candidates(freq: DataFrame, k: int) -> DataFrame:
-    """(k+1)-candidates: two frequent k-sets sharing their first k-1 items,
+    """(k+1)-candidates, k > 1: two frequent k-sets sharing their first k-1 items,
     then pruned to those whose every k-subset is frequent."""
-    a = freq.select(F.col("items").alias("a"))
-    b = freq.select(F.col("items").alias("b"))
-    joined = a.join(b, (F.slice("a", 1, k - 1) == F.slice("b", 1, k - 1))
-                    & (F.element_at("a", k) < F.element_at("b", k))) if k > 1 else \
-        a.join(b, F.element_at("a", 1) < F.element_at("b", 1))
-    cands = joined.select(F.concat("a", F.array(F.element_at("b", k))).alias("items"))
-    if k < 2:
-        return cands
+    a = freq.select(F.col("items").alias("a"), F.slice("items", 1, k - 1).alias("prefix"))
+    b = freq.select(F.element_at("items", k).alias("b"), F.slice("items", 1, k - 1).alias("prefix"))
+    joined = a.join(b, "prefix").where(F.element_at("a", k) < F.col("b"))
+    cands = joined.select(F.concat("a", F.array("b")).alias("items"))
     subsets = cands.select("items", F.explode(F.transform(
         F.sequence(F.lit(0), F.lit(k)),
         lambda i: F.filter("items", lambda x, j: j != i))).alias("sub"))
@@ -111,6 +108,38 @@ def _prefix_candidates(freq: DataFrame, k: int) -> DataFrame:
     return cands.join(missing.distinct(), "items", "left_anti")
 
 
+def _pair_occurrences(hits: DataFrame, big: DataFrame | None, enough, extra: list[str]) -> DataFrame:
+    """``(items, basket[, unit])`` of the pairs in small baskets that may be frequent.
+
+    Pairs are first counted by hash into ``PAIR_BUCKETS`` counters; only those whose
+    counter, with what large baskets (``big``: item and number of its large
+    baskets) can add, reaches the threshold go on to exact counting."""
+    own = hits.select(F.element_at("items", 1).alias("a"), "basket", *extra)
+    if big is not None:
+        own = own.join(big.select(F.col("item").alias("a"), "more"), "a", "left").withColumn("more", F.coalesce("more", F.lit(0)))
+    else:
+        own = own.withColumn("more", F.lit(0))
+    other = own.select(F.col("a").alias("b"), F.col("more").alias("more_b"), "basket")
+    pairs = own.join(other, "basket").where(F.col("a") < F.col("b")).withColumn(
+        "bucket", F.pmod(F.xxhash64("a", "b"), F.lit(PAIR_BUCKETS)).cast("int"))
+    counters = pairs.groupBy("bucket").agg(F.count(F.lit(1)).alias("in_bucket"))     # at most PAIR_BUCKETS rows
+    if big is None:
+        counters = counters.where(enough(F.col("in_bucket")))
+    pairs = pairs.join(F.broadcast(counters), "bucket").where(enough(F.col("in_bucket") + F.least("more", "more_b")))
+    return pairs.select(F.array("a", "b").alias("items"), "basket", *extra)
+
+
+def _heavy_pairs(items: DataFrame, block: int = 1000) -> DataFrame:
+    """All pairs of the items, block of items by block."""
+    from tessera.operators.smoothing import series_positions
+    numbered = cut_lineage(series_positions(items.select("item"), [], ["item"]).select("item", F.floor((F.col("_rn") - 1) / block).alias("blk")))
+    blocks = numbered.groupBy("blk").agg(F.collect_list("item").alias("others"))
+    top = (numbered.agg(F.max("blk")).first()[0] or 0)
+    wide = numbered.select("item", F.explode(F.sequence("blk", F.lit(top))).alias("blk")).join(blocks, "blk")
+    pairs = wide.select("item", F.explode("others").alias("o")).where(F.col("item") < F.col("o"))
+    return pairs.select(F.array("item", "o").alias("items"))
+
+
 def _extend_candidates(freq: DataFrame, singles: DataFrame) -> DataFrame:
     """Candidates = a frequent set plus one frequent single item not in it
     (sorted, deduplicated).  Both sides are frequent sets: small."""
@@ -128,7 +157,8 @@ def mine(tx: DataFrame, min_support: float | None = None, min_count: int | None
 
     Frequent iff ``count / n_baskets >= min_support`` (relative) or
     ``count >= min_count`` (absolute).  ``candidate_rule`` is ``prefix``
-    (Apriori join + subset prune) or ``extend`` (frequent set + one frequent
+    (hashed pair counters, then Apriori join + subset prune; pairs that the
+    counters rule out are not listed) or ``extend`` (frequent set + one frequent
     item; lists every such candidate, also the infrequent ones)."""
     if (min_support is None) == (min_count is None):
         raise ValueError("give exactly one of min_support / min_count")
@@ -140,10 +170,12 @@ def mine(tx: DataFrame, min_support: float | None = None, min_count: int | None
         e = spark.createDataFrame([], empty_schema)
         return Mined(e, e, 0)
 
+    def enough(count):
+        return (count / F.lit(n) >= F.lit(min_support)) if min_support is not None else (count >= F.lit(min_count))
+
     def label(counts: DataFrame, level: int) -> DataFrame:
         sup = F.col("support_count") / F.lit(n)
-        ok = (sup >= F.lit(min_support)) if min_support is not None else \
-            (F.col("support_count") >= F.lit(min_count))
+        ok = enough(F.col("support_count"))
         return counts.select(F.lit(level).alias("level"), "items", "support_count",
                              sup.alias("support"), ok.alias("frequent"))
 
@@ -169,7 +201,15 @@ def mine(tx: DataFrame, min_support: float | None = None, min_count: int | None
                            .select(F.array("item").alias("items"), "basket", *extra))
     k = 1
     while (max_level is None or k < max_level) and freq.limit(1).count() > 0:
-        if candidate_rule == "prefix":
+        ext = None
+        if candidate_rule == "prefix" and k == 1:
+            big = (tx_big.groupBy("item").agg(F.count(F.lit(1)).alias("more")) if has_big else None)
+            ext = cut_lineage(_pair_occurrences(hits, big, enough, extra))
+            cands = ext.select("items").distinct()
+            if has_big:
+                heavy = big.where(enough(F.col("more"))).join(freq.select(F.element_at("items", 1).alias("item")), "item", "left_semi")
+                cands = cands.union(_heavy_pairs(heavy)).distinct()
+        elif candidate_rule == "prefix":
             cands = _prefix_candidates(freq, k)
         elif candidate_rule == "extend":
             cands = _extend_candidates(freq, singles)
@@ -180,11 +220,12 @@ def mine(tx: DataFrame, min_support: float | None = None, min_count: int | None
             break
         k += 1
         if candidate_rule == "prefix":
-            nxt = tx_small.select("basket", F.col("item").alias("_nx"))
-            ext = (hits.join(nxt, "basket").where(F.col("_nx") > F.element_at("items", -1))
-                   .select(F.concat("items", F.array("_nx")).alias("items"), "basket", *extra)
-                   .join(broadcast_if_bounded(cands, CANDIDATE_BROADCAST_ROWS), "items", "left_semi"))
-            ext = cut_lineage(ext)
+            if ext is None:
+                nxt = tx_small.select("basket", F.col("item").alias("_nx"))
+                ext = (hits.join(nxt, "basket").where(F.col("_nx") > F.element_at("items", -1))
+                       .select(F.concat("items", F.array("_nx")).alias("items"), "basket", *extra)
+                       .join(broadcast_if_bounded(cands, CANDIDATE_BROADCAST_ROWS), "items", "left_semi"))
+                ext = cut_lineage(ext)
             found = ext
             if has_big:
                 found = found.unionByName(containing_baskets(tx_big, cands))

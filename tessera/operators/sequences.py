@@ -84,15 +84,24 @@ def frequent_elements(vertical: DataFrame, min_support: float) -> tuple[itemsets
 
 
 def _gsp_candidates(freq: DataFrame, k: int) -> DataFrame:
-    """``(prefix, elem)`` pairs of frequent (k-1)-sequences whose last k-2
-    elements of the first equal the first k-2 of the second (GSP join; for
-    k=2 the overlap is empty, so every ordered pair of frequent elements).
+    """``(prefix, elem)`` pairs, k > 2, of frequent (k-1)-sequences whose last k-2
+    elements of the first equal the first k-2 of the second (GSP join).
     Both sides are frequent patterns, so the join is small."""
-    a = freq.select(F.col("pattern").alias("prefix"))
-    b = freq.select(F.col("pattern").alias("p2"))
-    j = a.join(broadcast_if_bounded(b, CANDIDATE_BROADCAST_ROWS),
-               F.slice("prefix", 2, k - 2) == F.slice("p2", 1, k - 2))
-    return j.select("prefix", F.element_at("p2", k - 1).alias("elem")).distinct()
+    a = freq.select(F.col("pattern").alias("prefix"), F.slice("pattern", 2, k - 2).alias("overlap"))
+    b = freq.select(F.element_at("pattern", k - 1).alias("elem"), F.slice("pattern", 1, k - 2).alias("overlap"))
+    return a.join(b, "overlap").select("prefix", "elem").distinct()
+
+
+def _element_pairs(occ: DataFrame) -> DataFrame:
+    """``(prefix, elem, support_count)`` of the ordered pairs that occur: the first
+    place of one element lies before the last place of the other in a sequence.
+    Pairs are counted from the occurrences, never listed beforehand."""
+    ends = occ.groupBy("elem", "sid").agg(F.min("eid").alias("first"), F.max("eid").alias("last"))
+    a = ends.select("sid", "first", F.col("elem").alias("x"))
+    b = ends.select("sid", "last", F.col("elem").alias("y"))
+    pairs = a.join(b, "sid").where(F.col("first") < F.col("last"))
+    return pairs.groupBy("x", "y").agg(F.count(F.lit(1)).alias("support_count")).select(
+        F.array("x").alias("prefix"), F.col("y").alias("elem"), "support_count")
 
 
 def mine_sequences(vertical: DataFrame, min_support: float,
@@ -116,10 +125,17 @@ def mine_sequences(vertical: DataFrame, min_support: float,
                         .select(F.array("elem").alias("pattern"), "sid", "end"))
     freq = levels[0].select("pattern")
     k = 1
-    while (max_elements is None or k < max_elements) and freq.limit(1).count() > 0:
+    while (max_elements is None or k < max_elements) and not freq.isEmpty():
         k += 1
-        cands = cut_lineage(_gsp_candidates(freq, k))
-        if cands.limit(1).count() == 0:
+        if k == 2:                                            # only frequent pairs need a state
+            pairs = cut_lineage(_element_pairs(occ).withColumn("support", sup))
+            cands = pairs.where(F.col("support") >= F.lit(min_support)).select("prefix", "elem")
+        else:
+            cands = cut_lineage(_gsp_candidates(freq, k))
+        if cands.isEmpty():
+            if k == 2:
+                levels.append(pairs.select(F.lit(k).alias("level"), F.concat("prefix", F.array("elem")).alias("pattern"),
+                                           "support_count", "support", F.lit(False).alias("frequent")))
             break
         grown = (state.withColumnRenamed("pattern", "prefix")
                  .join(broadcast_if_bounded(cands, CANDIDATE_BROADCAST_ROWS), "prefix")
@@ -128,6 +144,12 @@ def mine_sequences(vertical: DataFrame, min_support: float,
                  .groupBy("prefix", "elem", "sid").agg(F.min("e").alias("end")))
         new_state = cut_lineage(grown.select(
             F.concat("prefix", F.array("elem")).alias("pattern"), "sid", "end"))
+        if k == 2:
+            allc = pairs.select(F.lit(k).alias("level"), F.concat("prefix", F.array("elem")).alias("pattern"), "support_count", "support",
+                                (F.col("support") >= F.lit(min_support)).alias("frequent"))
+            levels.append(allc)
+            freq, state = allc.where("frequent").select("pattern"), new_state
+            continue
         counts = new_state.groupBy("pattern").agg(F.count(F.lit(1)).alias("support_count"))
         allc = (cands.select(F.concat("prefix", F.array("elem")).alias("pattern"))
                 .join(counts, "pattern", "left")

@@ -164,3 +164,48 @@ def test_edge_list_parser_edge_cases(spark, tmp_path):
     rows = graphs.parse_edge_list_text(spark, str(d)).collect()
     got = sorted((r.file.rsplit("/", 1)[-1], r.graph_id, r.src, r.dst) for r in rows)
     assert got == [("a.txt", 1, "A", "B"), ("a.txt", 2, "C", "D"), ("a.txt", 2, "C", "D"), ("b.txt", 1, "X", "Y")]
+
+
+def _brute_itemsets(baskets, least):
+    from itertools import combinations
+    out, items = {}, sorted({i for b in baskets for i in b})
+    for k in (1, 2, 3, 4):
+        for c in combinations(items, k):
+            n = sum(set(c) <= set(b) for b in baskets)
+            if n >= least:
+                out[", ".join(c)] = n
+    return out
+
+
+@pytest.mark.parametrize("small,buckets", [(64, 1 << 18), (64, 3), (4, 3), (1, 1), (3, 1 << 18)])
+def test_pair_counters_lose_nothing(spark, monkeypatch, small, buckets):
+    """Counters that share buckets, baskets on both sides of the size limit, pairs
+    frequent only in large baskets or only in both kinds together."""
+    import random
+    monkeypatch.setattr(itemsets, "SMALL_BASKET", small)
+    monkeypatch.setattr(itemsets, "PAIR_BUCKETS", buckets)
+    rnd = random.Random(3)
+    baskets = ["".join(sorted(rnd.sample("ABCDEFGHIJ", rnd.choice([1, 2, 3, 5, 7])))) for _ in range(60)] + ["YZVWX"] * 9 + ["YZ"] * 2
+    mined = itemsets.mine(_tx(spark, baskets), min_count=9, max_level=4)
+    assert _sets(mined) == _brute_itemsets(baskets, 9)
+    assert "NestedLoop" not in mined.frequent._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pairs_of_heavy_items_come_block_by_block(spark):
+    df = spark.createDataFrame([(c,) for c in "DACBE"], "item string")
+    got = sorted("".join(r["items"]) for r in itemsets._heavy_pairs(df, block=2).collect())
+    assert got == ["AB", "AC", "AD", "AE", "BC", "BD", "BE", "CD", "CE", "DE"]
+
+
+def test_element_pairs_are_counted_from_occurrences(spark):
+    """Ordered pairs per sequence, an element after itself included."""
+    import random
+    rnd = random.Random(8)
+    seqs = {s: [rnd.choice("abcd") for _ in range(rnd.randint(1, 7))] for s in range(40)}
+    occ = spark.createDataFrame([([x], str(s), i) for s, xs in seqs.items() for i, x in enumerate(xs)], "elem array<string>, sid string, eid long")
+    got = {(r["prefix"][0][0], r["elem"][0]): r["support_count"] for r in sequences._element_pairs(occ).collect()}
+    want = {}
+    for xs in seqs.values():
+        for p in {(xs[i], xs[j]) for i in range(len(xs)) for j in range(i + 1, len(xs))}:
+            want[p] = want.get(p, 0) + 1
+    assert got == want
