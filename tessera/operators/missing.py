@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.columns import nan_to_null, numeric_columns, require_columns
-from tessera.functions.quantiles import median
+from tessera.functions.quantiles import medians
 from tessera.session import cut_lineage
 
 
@@ -89,8 +89,10 @@ def fill_statistic(df: DataFrame, strategy: str = "mean", columns: list[str] | N
 
     Filled numeric columns become double (pandas turns a numeric column with
     missing values into float64)."""
-    cols = columns if columns is not None else [
-        c for c in numeric_columns(df) if null_counts(df, [c])[c] > 0]
+    if columns is None:
+        counts = null_counts(df, numeric_columns(df))         # one scan for all columns
+        columns = [c for c in numeric_columns(df) if counts[c] > 0]
+    cols = columns
     if not cols:
         return df, {}
     df = nan_to_null(df, cols)                                # NaN counts as missing and is filled
@@ -99,21 +101,19 @@ def fill_statistic(df: DataFrame, strategy: str = "mean", columns: list[str] | N
         row = df.agg(*[F.avg(c).alias(c) for c in cols]).first()
         values = {c: row[c] for c in cols}
     elif strategy == "median":
-        values = {c: median(df, c, approx=approx) for c in cols}
+        values = dict(medians(df, cols, approx=approx))
     elif strategy == "mode":
         total = df.count()
         thr = discrete_threshold(total)
         stats = df.agg(*[F.count_distinct(c).alias(f"u_{c}") for c in cols],
                        *[F.count(c).alias(f"n_{c}") for c in cols]).first()
-        for c in cols:
-            nn = stats[f"n_{c}"]
-            ratio = stats[f"u_{c}"] / nn if nn else 0.0
-            if ratio < thr:
-                values[c] = mode_value(df, c)
-            elif continuous == "mean":
-                values[c] = df.agg(F.avg(c)).first()[0]
-            else:
-                values[c] = median(df, c, approx=approx)
+        ratio = {c: stats[f"u_{c}"] / stats[f"n_{c}"] if stats[f"n_{c}"] else 0.0 for c in cols}
+        wide = [c for c in cols if ratio[c] >= thr]
+        if wide and continuous == "mean":
+            other = dict(zip(wide, df.agg(*[F.avg(c) for c in wide]).first()))
+        else:
+            other = medians(df, wide, approx=approx)
+        values = {c: other[c] if c in other else mode_value(df, c) for c in cols}
     else:
         raise ValueError(f"unknown strategy {strategy!r}")
     return _fill(df, values), values

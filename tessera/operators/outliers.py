@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.columns import nan_to_null, numeric_columns, require_columns
-from tessera.functions.quantiles import median, quantiles
+from tessera.functions.quantiles import medians, quantiles_of
 
 MAD_SCALE = 0.6745  # fixed value: consistency constant of the modified Z-score
 
@@ -30,33 +30,41 @@ class Bounds:
     spread: float | None = None   # std (Z) or MAD (modified Z)
 
 
-def bounds(df: DataFrame, col: str, method: str = "iqr", k: float = 1.5, threshold: float = 3.0,
-           lower_pct: float = 1.0, upper_pct: float = 99.0, approx: bool = False) -> Bounds:
-    """Detection bounds of one column.  For the Z methods ``lower/upper`` are
-    the equivalent value bounds (used by ``cap``)."""
-    if method == "iqr":
-        q1, q3 = quantiles(df, col, [0.25, 0.75], approx=approx)
-        if q1 is None:
-            return Bounds(col, method, None, None)
-        iqr = q3 - q1
-        return Bounds(col, method, q1 - k * iqr, q3 + k * iqr)
-    if method == "percentile":
-        lo, hi = quantiles(df, col, [lower_pct / 100.0, upper_pct / 100.0], approx=approx)
-        return Bounds(col, method, lo, hi)
+def bounds(df: DataFrame, col: str, method: str = "iqr", **params) -> Bounds:
+    """Detection bounds of one column (see :func:`bounds_of`)."""
+    return bounds_of(df, [col], method, **params)[col]
+
+
+def bounds_of(df: DataFrame, cols: list[str], method: str = "iqr", k: float = 1.5, threshold: float = 3.0,
+              lower_pct: float = 1.0, upper_pct: float = 99.0, approx: bool = False) -> dict[str, Bounds]:
+    """Detection bounds of several columns from the same scans.  For the Z methods
+    ``lower/upper`` are the equivalent value bounds (used by ``cap``)."""
+    out = {}
+    if method in ("iqr", "percentile"):
+        probs = [0.25, 0.75] if method == "iqr" else [lower_pct / 100.0, upper_pct / 100.0]
+        for c, (lo, hi) in quantiles_of(df, {c: probs for c in cols}, approx=approx).items():
+            more = k * (hi - lo) if method == "iqr" and lo is not None else 0.0
+            out[c] = Bounds(c, method, None, None) if lo is None else Bounds(c, method, lo - more, hi + more)
+        return out
     if method == "zscore":
-        row = df.agg(F.avg(col).alias("m"), F.stddev_samp(col).alias("s")).first()
-        m, s = row["m"], row["s"]
-        if m is None or s is None:
-            return Bounds(col, method, None, None, m, s)
-        return Bounds(col, method, m - threshold * s, m + threshold * s, m, s)
+        row = df.agg(*[x for c in cols for x in (F.avg(c), F.stddev_samp(c))]).first() if cols else []
+        for i, c in enumerate(cols):
+            m, s = row[2 * i], row[2 * i + 1]
+            known = m is not None and s is not None
+            out[c] = Bounds(c, method, m - threshold * s if known else None, m + threshold * s if known else None, m, s)
+        return out
     if method == "modified_zscore":
-        med = median(df, col, approx=approx)
-        if med is None:
-            return Bounds(col, method, None, None)
-        dev = df.select(F.abs(F.col(col) - F.lit(med)).alias("_d"))
-        mad = median(dev, "_d", approx=approx)
-        half = threshold * mad / MAD_SCALE
-        return Bounds(col, method, med - half, med + half, med, mad)
+        med = medians(df, cols, approx=approx)
+        known = [c for c in cols if med[c] is not None]
+        dev = df.select(*[F.abs(F.col(c) - F.lit(med[c])).alias(c) for c in known])
+        mad = medians(dev, known, approx=approx)
+        for c in cols:
+            if med[c] is None:
+                out[c] = Bounds(c, method, None, None)
+            else:
+                half = threshold * mad[c] / MAD_SCALE
+                out[c] = Bounds(c, method, med[c] - half, med[c] + half, med[c], mad[c])
+        return out
     raise ValueError(f"unknown method {method!r}")
 
 
@@ -89,29 +97,32 @@ def treat(df: DataFrame, columns: list[str] | None = None, method: str = "iqr",
     and per-column ``{column, lower, upper, n_outliers}`` records."""
     cols = columns if columns is not None else numeric_columns(df)
     require_columns(df, cols)
+    if treatment not in ("remove", "cap", "median"):
+        raise ValueError(f"unknown treatment {treatment!r}")
     threshold = params.get("threshold", 3.0)
-    report = []
     cur = nan_to_null(df, cols)
-    for c in cols:
-        b = bounds(cur, c, method, approx=approx, **params)
-        flag = is_outlier(c, b, threshold)
-        n = cur.agg(F.count_if(flag)).first()[0]
-        report.append({"column": c, "lower": b.lower, "upper": b.upper, "n_outliers": n})
-        if n == 0:
-            continue
-        if treatment == "remove":
-            cur = cur.where(~flag)
-        elif treatment == "cap":
-            if b.lower is None:
-                continue
-            capped = F.least(F.greatest(F.col(c), F.lit(b.lower)), F.lit(b.upper))
-            cur = cur.withColumn(c, F.when(F.col(c).isNotNull(), capped.cast("double")))   # bounds may be fractions
-        elif treatment == "median":
-            med = median(cur, c, approx=approx)
-            cur = cur.withColumn(c, F.when(flag, F.lit(med)).otherwise(F.col(c)).cast("double"))
-        else:
-            raise ValueError(f"unknown treatment {treatment!r}")
-    return cur, report
+    report = []
+    if treatment == "remove":                                 # rows removed for one column are gone for the next
+        for c in cols:
+            b = bounds(cur, c, method, approx=approx, **params)
+            flag = is_outlier(c, b, threshold)
+            n = cur.agg(F.count_if(flag)).first()[0]
+            report.append({"column": c, "lower": b.lower, "upper": b.upper, "n_outliers": n})
+            cur = cur.where(~flag) if n else cur
+        return cur, report
+    # treated values of one column do not touch the others: all columns at once
+    found = bounds_of(cur, cols, method, approx=approx, **params)
+    flags = {c: is_outlier(c, found[c], threshold) for c in cols}
+    counts = dict(zip(cols, cur.agg(*[F.count_if(flags[c]) for c in cols]).first())) if cols else {}
+    report = [{"column": c, "lower": found[c].lower, "upper": found[c].upper, "n_outliers": counts[c]} for c in cols]
+    hit = [c for c in cols if counts[c] and found[c].lower is not None]
+    if treatment == "median":
+        med = medians(cur, hit, approx=approx)
+        new = {c: F.when(flags[c], F.lit(med[c])).otherwise(F.col(c)).cast("double") for c in hit}
+    else:
+        new = {c: F.when(F.col(c).isNotNull(), F.least(F.greatest(F.col(c), F.lit(found[c].lower)), F.lit(found[c].upper))
+                         .cast("double")) for c in hit}       # bounds may be fractions
+    return cur.withColumns({c: new[c].alias(c) for c in hit}) if hit else cur, report
 
 
 def outlier_report(spark, report: list[dict]) -> DataFrame:
@@ -127,7 +138,8 @@ def outlier_counts(df: DataFrame, columns: list[str], method: str = "iqr", appro
     computed in one pass with ``count_if`` per column."""
     threshold = params.get("threshold", 3.0)
     df = nan_to_null(df, columns)
-    flags = [is_outlier(c, bounds(df, c, method, approx=approx, **params), threshold) for c in columns]
+    found = bounds_of(df, columns, method, approx=approx, **params)
+    flags = [is_outlier(c, found[c], threshold) for c in columns]
     row = df.agg(*[F.count_if(f).alias(c) for f, c in zip(flags, columns)])
     structs = [F.struct(F.lit(c).alias("column"), F.col(c).alias("n_outliers")) for c in columns]
     per = row.select(F.inline(F.array(*structs)))

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions.columns import exact_sum
-from tessera.functions.quantiles import median, quantiles
+from tessera.functions.quantiles import median, quantiles, quantiles_of
 from tessera.ml import clustering, models, prepare
 from tessera.operators import forecast, missing, outliers, smoothing, text
 from tessera.plans.prep import sample_order
@@ -145,3 +145,29 @@ def test_overlapping_phrase_later_start_wins(spark):
     ents = spark.createDataFrame([(1, "CLAIM", "a a")], "doc_id long, type string, phrase string")
     got = [r["label"] for r in text.bio_labels(toks, ents, "doc_id").orderBy("pos").collect()]
     assert got == ["B-CLAIM", "B-CLAIM", "I-CLAIM"]
+
+
+@pytest.mark.parametrize("accuracy,max_band", [(10_000, 5_000), (50, 20), (20, 1)])
+def test_quantiles_of_many_columns_at_once(spark, accuracy, max_band):
+    """Ties, nulls, NaN, constants and empty columns, however often the bands are narrowed."""
+    rng = np.random.default_rng(5)
+    n = 3000
+    cols = {"a": rng.normal(0, 1, n), "b": rng.integers(0, 7, n).astype(float), "c": np.full(n, 4.0), "d": rng.lognormal(0, 3, n),
+            "e": np.full(n, np.nan)}
+    cols["a"][::5] = np.nan
+    rows = [tuple(None if x != x and i % 2 else float(x) for x in r) for i, r in enumerate(zip(*cols.values()))]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in cols))
+    probs = {"a": [0.0, 0.01, 0.25, 0.5, 0.999, 1.0], "b": [0.5, 0.25], "c": [0.3], "d": [0.9, 0.1, 0.5], "e": [0.5]}
+    got = quantiles_of(df, probs, accuracy=accuracy, max_band=max_band)
+    assert got["e"] == [None]
+    for c in "abcd":
+        assert got[c] == pytest.approx(list(np.nanquantile(cols[c], probs[c])), rel=1e-12)
+
+
+def test_bounds_of_all_columns_equal_those_of_one(spark):
+    from tessera.operators.outliers import bounds, bounds_of
+    rng = np.random.default_rng(2)
+    df = spark.createDataFrame([(float(a), int(b), None) for a, b in zip(rng.normal(0, 1, 500), rng.integers(0, 50, 500))],
+                               "a double, b int, c double")
+    for method in ("iqr", "percentile", "zscore", "modified_zscore"):
+        assert bounds_of(df, ["a", "b", "c"], method) == {c: bounds(df, c, method) for c in "abc"}
