@@ -16,22 +16,29 @@ def column_profile(df: DataFrame, order_key: str, approx_distinct: bool = False)
     ``order_key`` rendered as a string ("nan" when null, like pandas)."""
     require_columns(df, [order_key])
     types = dict(df.dtypes)
-    aggs = []
-    for i, c in enumerate(df.columns):
-        col = F.col(c)
-        miss = col.isNull()
-        if types[c] in ("double", "float"):
-            miss = miss | F.isnan(col)
-        distinct = F.approx_count_distinct(col) if approx_distinct else F.count_distinct(col)
-        aggs += [F.count_if(miss).alias(f"m{i}"), distinct.alias(f"u{i}"),
-                 F.min_by(F.coalesce(col.cast("string"), F.lit("nan")), F.col(order_key)).alias(f"e{i}")]
-    row = df.agg(*aggs)
-    structs = [F.struct(F.lit(i).alias("position"), F.lit(c).alias("column"),
-                        F.lit(types[c]).alias("type"),
-                        F.col(f"m{i}").alias("missing"), F.col(f"u{i}").alias("unique"),
-                        F.col(f"e{i}").alias("example"))
-               for i, c in enumerate(df.columns)]
-    return row.select(F.inline(F.array(*structs)))
+    missing = lambda c: F.col(c).isNull() | F.isnan(c) if types[c] in ("double", "float") else F.col(c).isNull()
+    examples = df.agg(*[F.min_by(F.coalesce(F.col(c).cast("string"), F.lit("nan")), F.col(order_key)).alias(f"e{i}")
+                        for i, c in enumerate(df.columns)])
+    examples = examples.select(F.inline(F.array(*[
+        F.struct(F.lit(i).alias("position"), F.lit(c).alias("column"), F.lit(types[c]).alias("type"), F.col(f"e{i}").alias("example"))
+        for i, c in enumerate(df.columns)])))
+    if approx_distinct:
+        row = df.agg(*[F.count_if(missing(c)).alias(f"m{i}") for i, c in enumerate(df.columns)],
+                     *[F.approx_count_distinct(c).alias(f"u{i}") for i, c in enumerate(df.columns)])
+        counts = row.select(F.inline(F.array(*[F.struct(F.lit(i).alias("position"), F.col(f"m{i}").alias("missing"), F.col(f"u{i}").alias("unique"))
+                                               for i in range(len(df.columns))])))
+    else:
+        # one exchange of (column, 128-bit value hash), repeats summed before it; what follows is a row a column and task
+        cells = df.select(F.inline(F.array(*[
+            F.struct(F.lit(i).alias("position"), missing(c).cast("int").alias("m"),
+                     F.when(F.col(c).isNotNull(), F.xxhash64(c)).alias("h"), F.xxhash64(F.lit(i), c).alias("g"))
+            for i, c in enumerate(df.columns)])))
+        values = cells.groupBy("position", "h", "g").agg(F.sum("m").alias("m"))
+        counts = values.groupBy("position").agg(F.sum("m").alias("missing"), F.count("h").alias("unique"))
+    counts = counts.withColumnRenamed("position", "at")
+    return examples.join(counts, F.col("position") == F.col("at"), "left").select(
+        "position", "column", "type", F.coalesce("missing", F.lit(0)).cast("long").alias("missing"),
+        F.coalesce("unique", F.lit(0)).cast("long").alias("unique"), "example")
 
 
 def dataset_totals(df: DataFrame) -> DataFrame:

@@ -28,13 +28,14 @@ def clean_stock_table(df: DataFrame, date_fmt: str = "dd-MM-yyyy") -> DataFrame:
 
 def minmax_scale(df: DataFrame, series: list[str], columns: list[str],
                  suffix: str = "_scaled") -> DataFrame:
-    """``(x - min) / (max - min)`` per series; a constant column gives 0."""
+    """``(x - min) / (max - min)`` per series; a constant column gives 0, a null
+    value stays null."""
     stats = df.groupBy(*series).agg(*[F.min(c).alias(f"_lo_{c}") for c in columns],
                                     *[F.max(c).alias(f"_hi_{c}") for c in columns])
     j = df.join(broadcast_if_bounded(stats), series)
     return j.select(*df.columns, *[
-        F.coalesce(F.try_divide(F.col(c) - F.col(f"_lo_{c}"), F.col(f"_hi_{c}") - F.col(f"_lo_{c}")),
-                   F.lit(0.0)).alias(f"{c}{suffix}") for c in columns])
+        F.when(F.col(c).isNotNull(), F.coalesce(F.try_divide(F.col(c) - F.col(f"_lo_{c}"), F.col(f"_hi_{c}") - F.col(f"_lo_{c}")),
+                                                F.lit(0.0))).alias(f"{c}{suffix}") for c in columns])
 
 
 def minmax_inverse(df: DataFrame, series: list[str], stats: DataFrame, column: str,

@@ -25,6 +25,22 @@ def minmax_scale(spark, sf):
     return out.select("event_id", "user_id", F.round("value_scaled", 6).alias("value_scaled"))
 
 
+@register("minmax_scale_nulls", """
+WITH g AS (SELECT event_id, CASE WHEN event_id % 11 = 0 THEN NULL ELSE user_id END AS user_id,
+                  CASE WHEN event_id % 7 = 0 OR user_id % 13 = 0 THEN NULL WHEN user_id % 5 = 0 THEN 3.5 ELSE value END AS value FROM events),
+b AS (SELECT user_id, MIN(value) AS lo, MAX(value) AS hi FROM g GROUP BY user_id)
+SELECT g.event_id, g.user_id,
+       CASE WHEN g.value IS NULL THEN NULL WHEN b.hi = b.lo THEN 0 ELSE ROUND((g.value - b.lo) / (b.hi - b.lo), 6) END AS value_scaled
+FROM g LEFT JOIN b ON g.user_id = b.user_id WHERE g.user_id IS NOT NULL""")
+def minmax_scale_nulls(spark, sf):
+    """Scaling with null values (stay null), constant series (0) and null series (dropped)."""
+    user, at = F.col("user_id"), F.col("event_id")
+    value = F.when((at % 7 != 0) & (user % 13 != 0), F.when(user % 5 == 0, F.lit(3.5)).otherwise(F.col("value")))
+    e = load_table(spark, sf, "events").select("event_id", value.alias("value"), F.when(at % 11 != 0, user).alias("user_id"))
+    out = ser.minmax_scale(e, ["user_id"], ["value"])
+    return out.select("event_id", "user_id", F.round("value_scaled", 6).alias("value_scaled"))
+
+
 @register("business_days", """
 WITH l AS (SELECT user_id, CAST(MAX(ts) AS DATE) AS last_day FROM events GROUP BY user_id)
 SELECT user_id, last_day,
