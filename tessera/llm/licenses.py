@@ -1,9 +1,12 @@
 """License scan by conditional compression.
 
-Lines and paragraphs that mention licensing are candidate blocks.  Each block
-is compressed alone and once with every template as a zstandard raw
+Paragraphs, lines and sentences that mention licensing are candidate blocks; one
+longer than twice the longest template is read in overlapping windows of that
+size, so what prose stands around a notice, and how much, does not matter.  Each
+block is compressed alone and once with every template as a zstandard raw
 dictionary; templates are ranked by the bytes they save, as a share of what the
-block takes alone.  The best few are confirmed by their exact wording: the
+block takes alone.  Every template that saves bytes and whose words the block
+holds is confirmed by its exact wording: the
 block's words are aligned with the template's, and the differences (words
 missing, words added inside) decide whether the notice is that license, exact
 or reworded.
@@ -16,6 +19,7 @@ replaced by the caller's own ``{(license, form): wording}``.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 from functools import reduce
@@ -122,6 +126,21 @@ def blocks(text: str) -> Iterator[tuple[int, str]]:
             at += len(word_list(par))
 
 
+def windows(block: str, words: int) -> Iterator[tuple[int, str]]:
+    """``(words before it, window)``: the whole block if it has at most twice
+    ``words`` words, else overlapping windows of that size that mention licensing,
+    so that anything of up to ``words`` words lies whole in one of them."""
+    place = [m.span() for m in _WORD.finditer(block)]
+    if len(place) <= 2 * words:
+        yield 0, block
+        return
+    for at in range(0, len(place) - words, words):
+        last = at + 2 * words >= len(place)
+        part = block[place[at][0] if at else 0:len(block) if last else place[at + 2 * words - 1][1]]
+        if mentions(part):
+            yield at, part
+
+
 def mentions(text: str) -> bool:
     low = text.lower()
     return any(m in low for m in MENTIONS)
@@ -154,6 +173,8 @@ class Scanner:
         self.with_template = [z.ZstdCompressor(level=level, dict_data=z.ZstdCompressionDict(
             t.lower().encode(), dict_type=z.DICT_TYPE_RAWCONTENT)) for t in texts]
         self.words = [word_list(t) for t in texts]
+        self.bags = [Counter(w) for w in self.words]
+        self.longest = max(map(len, self.words), default=1)
 
     def rank(self, block: str) -> list[tuple[float, int]]:
         """``(share of bytes saved, template)``, best first."""
@@ -179,15 +200,18 @@ class Scanner:
         span = found[-1].b + found[-1].size - found[0].b
         return 2 * hits / (len(want) + span), len(want) - hits, span - hits, start + found[0].b
 
-    def scan(self, block: str, least: float, tries: int = 8):
+    def scan(self, block: str, least: float):
         """The best confirmed template: ``(template, saved, score, missing, added, first word)``."""
         words = word_list(block)
         if not words:
             return None
-        best = None
-        for saved, k in self.rank(block)[:tries]:
+        best, bag = None, Counter(words)
+        for saved, k in self.rank(block):
             if saved <= 0:
                 break
+            # a score of 2 h / (n + span) with h words found, span >= h, needs h >= least n / (2 - least)
+            if (self.bags[-k] & bag).total() < least / (2 - least) * len(self.words[-k]) - 1e-9:
+                continue
             score, missing, added, first = self.wording(words, -k)
             value = len(self.words[-k]) - 2 * missing - added  # words that agree less those that differ
             if score >= least and (best is None or value > best[0]):
@@ -228,8 +252,8 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float
         for batch in batches:
             rows = []
             for i, text in enumerate(batch.column("text").to_pylist()):
-                hits = [(at + h[0], at + h[1], *h[2:]) for at, block in blocks(text)
-                        for h in scanner.scan_all(block, least)]
+                hits = [(at + before + h[0], at + before + h[1], *h[2:]) for at, block in blocks(text)
+                        for before, part in windows(block, scanner.longest) for h in scanner.scan_all(part, least)]
                 hits = best_places(hits)
                 if hits:
                     rows += [(i, line, *h[3:]) for line, h in zip(lines_of(text, [h[0] for h in hits]), hits)]

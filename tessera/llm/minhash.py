@@ -26,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.components import components
@@ -88,7 +88,8 @@ def _set_ids(flat: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """``(id, n, sid, halves)``: set size, set hash, half keys (empty set: none)."""
+    """``(id, digest, n, sid, halves)``: digest of the text, set size, set hash, half
+    keys (empty set: none)."""
     kind = docs.schema[key].dataType.simpleString()
     width = 2 * COLLECTION
 
@@ -100,12 +101,12 @@ def sketches(docs: DataFrame, key: str, text: str) -> DataFrame:
                 ends = np.r_[0, np.cumsum((size > 0) * width)].astype(np.int32)
                 halves = half_keys(flat, at) if len(flat) else np.zeros((0, width), np.uint64)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("id").slice(i, j - i), pa.array(size), pa.array(_set_ids(flat, at)),
+                    [batch.column("id").slice(i, j - i), batch.column("digest").slice(i, j - i), pa.array(size), pa.array(_set_ids(flat, at)),
                      pa.ListArray.from_arrays(pa.array(ends), pa.array(halves.ravel().view(np.int64)))],
-                    names=["id", "n", "sid", "halves"])
+                    names=["id", "digest", "n", "sid", "halves"])
 
-    return (docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
-            .mapInArrow(run, f"id {kind}, n long, sid long, halves array<long>"))
+    return (docs.select(F.col(key).alias("id"), F.col(text).alias("text"), text_digest(F.col(text)).alias("digest"))
+            .mapInArrow(run, f"id {kind}, digest string, n long, sid long, halves array<long>"))
 
 
 def tables(classes: DataFrame) -> DataFrame:
@@ -188,7 +189,7 @@ def proposals(slots: DataFrame, percent: int) -> DataFrame:
 
 def sets(docs: DataFrame, wanted: DataFrame, key: str, text: str) -> DataFrame:
     """``(sid, items)``: the sorted set (8 bytes an item) of the classes whose
-    representative documents are ``wanted (id)``."""
+    representative documents are ``wanted (id, digest)``; the id may be null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -198,8 +199,10 @@ def sets(docs: DataFrame, wanted: DataFrame, key: str, text: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(_set_ids(flat, at)), pa.array(items, pa.binary())],
                                                  names=["sid", "items"])
 
-    return (docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
-            .join(wanted, "id", "left_semi").select("text").mapInArrow(run, "sid long, items binary")
+    asked = wanted.select(F.col("id").alias("id_"), F.col("digest").alias("digest_"))
+    return (docs.select(F.col(key).alias("id"), F.col(text).alias("text"), text_digest(F.col(text)).alias("digest"))
+            .join(asked, (F.col("digest") == F.col("digest_")) & F.col("id").eqNullSafe(F.col("id_")), "left_semi")
+            .select("text").mapInArrow(run, "sid long, items binary")
             .dropDuplicates(["sid"]))
 
 
@@ -287,16 +290,22 @@ def unresolved(hot: DataFrame, labels: DataFrame, items: DataFrame, reps: DataFr
             .applyInPandas(lambda frame: bucket_links(frame, percent), "a long, b long"))
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 80) -> DataFrame:
-    """One row per document: ``(key, n_shingles, component_id, kept)``."""
+def text_digest(text: Column) -> Column:
+    """128-bit digest that tells rows of one id apart."""
+    return F.md5(text)
+
+
+def component_rows(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 80) -> DataFrame:
+    """One row per document: ``(id, digest, n, comp)``, ``comp`` naming its group (null
+    for an empty set)."""
     rows = materialize(sketches(docs, key, text), "minhash-sketches")
-    classes = rows.where("n > 0").groupBy("sid").agg(F.min("id").alias("id"), F.first("n").alias("n"),
-                                                     F.first("halves").alias("halves"))
+    classes = rows.where("n > 0").groupBy("sid").agg(F.min(F.struct("id", "digest")).alias("first"), F.first("n").alias("n"),
+                                                     F.first("halves").alias("halves")).select("sid", "first.*", "n", "halves")
     found = materialize(proposals(tables(classes), percent), "minhash-proposals")
     pairs = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a != b").distinct()
     nodes = found.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
     reps = materialize(classes.join(nodes, "sid", "left_semi"), "minhash-classes")
-    items = materialize(sets(docs, reps.select("id"), key, text), "minhash-sets")
+    items = materialize(sets(docs, reps.select("id", "digest"), key, text), "minhash-sets")
     links = materialize(confirm(pairs, items, percent), "minhash-links")
     labels = components(links)
     hot = found.where("slot != 0")                           # self pairs too: a class alone in its size band is a member
@@ -304,8 +313,14 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
         more = materialize(unresolved(hot, labels, items, reps.select("sid", "n", "halves"), percent), "minhash-more")
         if not more.isEmpty():
             labels = components(labels.select(F.col("node").alias("a"), F.col("comp").alias("b")).union(more))
-    named = (rows.select("id", "n", "sid").join(labels.withColumnRenamed("node", "sid"), "sid", "left")
-             .select("id", "n", F.when(F.col("n") > 0, F.coalesce("comp", "sid")).alias("comp")))
+    return (rows.select("id", "digest", "n", "sid").join(labels.withColumnRenamed("node", "sid"), "sid", "left")
+            .select("id", "digest", "n", F.when(F.col("n") > 0, F.coalesce("comp", "sid")).alias("comp")))
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 80) -> DataFrame:
+    """One row per document: ``(key, n_shingles, component_id, kept)``.  A row without
+    an id takes part like any other, and is never the one kept."""
+    named = component_rows(docs, key, text, percent)
     first = named.where("comp is not null").groupBy("comp").agg(F.min("id").alias("component_id"))
     got = named.join(first, "comp", "left").select(
         F.col("id").alias(key), F.col("n").alias("n_shingles"),

@@ -249,3 +249,14 @@ def test_kept_hash_matches_query(spark):
     for (i, _), want in zip(docs, brute_bytes([t for _, t in docs], 100)):
         r = got[i]
         assert (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) == (*want[:3], hashlib.sha256(want[3]).hexdigest())
+
+
+def test_minhash_links_through_rows_without_an_id(spark):
+    """A is like B and C, B is not like C: one group, whether A has an id or not."""
+    from tessera.llm.minhash import near_duplicates
+    words = [f"w{i}" for i in range(120)]
+    a, b, c = " ".join(words), " ".join(words[10:]), " ".join(words[:-10])
+    for own in (1, None):
+        docs = spark.createDataFrame([(own, a), (2, b), (3, c)], "doc_id long, text string")
+        got = {r["doc_id"]: r["component_id"] for r in near_duplicates(docs, percent=85).collect()}
+        assert got == {own: own or 2, 2: own or 2, 3: own or 2}

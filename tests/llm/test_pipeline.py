@@ -45,3 +45,33 @@ def test_nulls_and_clashing_columns(spark):
 
 def test_run(spark):
     assert P.run(spark, SF).count() > 0
+
+
+def _docs(spark, rows):
+    return spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+
+
+def test_near_dedup_by_row(spark):
+    """Rows without an id, repeated rows and different texts under one id."""
+    words = [f"word{i}" for i in range(60)]
+    a, b = " ".join(words), " ".join(words[:-1])
+    other, third = " ".join(reversed(words)), " ".join(words[::2])
+    rows = [(None, a), (None, a), (4, b), (4, b), (5, a), (5, other), (None, third), (None, third), (9, ""), (None, None)]
+    got = sorted(((r["doc_id"], r["text"]) for r in P.near_dedup(spark, _docs(spark, rows), SF).collect()), key=str)
+    assert got == sorted([(4, b), (5, other), (None, third), (9, ""), (None, None)], key=str)
+
+
+def test_benchmark_text_goes_whatever_its_id(spark):
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").orderBy("item_id").first()["text"]
+    clean = " ".join(f"clean{i}" for i in range(50))
+    rows = [(None, item), (1, "before " + item + " after"), (1, clean), (None, clean), (3, None)]
+    got = sorted(((r["doc_id"], r["text"]) for r in P.benchmark_free(spark, _docs(spark, rows), SF).collect()), key=str)
+    assert got == sorted([(1, clean), (None, clean), (3, None)], key=str)
+
+
+def test_last_stage_decodes(spark):
+    import hashlib
+    rows = [(1, "The end of  it."), (2, ""), (None, "é漢😀")]
+    got = {r["doc_id"]: r for r in P.tokens(spark, _docs(spark, rows), SF).collect()}
+    assert got[2]["decoded_sha256"] == hashlib.sha256(b"").hexdigest()
+    assert all(r["n_tokens"] == len(r["ids"]) and len(r["decoded_sha256"]) == 64 for r in got.values())

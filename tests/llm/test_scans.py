@@ -45,6 +45,35 @@ def test_every_notice_of_a_text_is_found(spark):
                    7: [(0, *m), (1, *m)]}
 
 
+def test_notices_are_found_whatever_the_length_of_the_text(spark):
+    """The longer templates, wrapped at 60 columns, without blank lines, in prose of
+    8 kB to 600 kB and in one single line."""
+    import textwrap
+    rnd = random.Random(4)
+    vocab = ["".join(rnd.choices("abcdefghilmnoprstu", k=rnd.randint(2, 9))) for _ in range(400)]
+    prose = lambda k: " ".join(rnd.choices(vocab, k=k))
+    names = [n for n, t in TEMPLATES.items() if len(t) > 150]
+    rows = []
+    for i, size in enumerate((8_000, 60_000, 600_000)):
+        parts = [prose(size // 6 // (len(names) + 1)) + ". " + TEMPLATES[n] + " " for n in names] + [prose(50)]
+        rows.append((2 * i, textwrap.fill("".join(parts), 60)))
+        rows.append((2 * i + 1, "".join(parts)))
+    got = {}
+    for r in scan(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got.setdefault(r["doc_id"], []).append((r["license"], r["form"]))
+    assert all(sorted(got[i]) == sorted(names) for i, _ in rows)
+
+
+def test_windows_hold_every_short_part():
+    from tessera.llm.licenses import windows, word_list
+    words = [f"license{i}" for i in range(57)]
+    for n in (3, 7, 14, 15, 21, 57):
+        text = " ".join(words[:n])
+        got = [(at, word_list(w)) for at, w in windows(text, 7)]
+        assert all(w == words[at:at + len(w)] and len(w) <= 14 for at, w in got)
+        assert all(any(at <= s and s + 7 <= at + len(w) for at, w in got) for s in range(max(0, n - 6)))
+
+
 def smith_waterman(a, b):
     h, best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)], 0
     for i in range(1, len(a) + 1):
