@@ -5,7 +5,8 @@ predecessor kept and returns a DataFrame with the columns of documents (the
 last one: ids).  ``run`` writes every stage's result as Parquet into the shared
 checkpoint folder and reads it again as the next stage's input.
 
-Documents without an id pass the stages that decide by id.
+Stages decide by row: rows without an id, and rows that share one, are judged by
+their texts.
 """
 
 from __future__ import annotations
@@ -38,22 +39,34 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five-word shingles, similarity 0.8 or
-    more) the document of smallest id stays."""
-    found = minhash.near_duplicates(docs, percent=80)
-    gone = found.where("not kept and doc_id is not null").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """Of each group of near copies (five-word shingles, similarity 0.8 or more)
+    one row stays: that of smallest id (null last), of one id that of smallest
+    text digest, of equal rows any one."""
+    found = minhash.component_rows(docs, percent=80)
+    best = found.where("comp is not null").groupBy("comp").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "digest")).alias("r"))
+    stay = best.select(F.col("r.id").alias("id__"), F.col("r.digest").alias("digest__"))
+    stay = stay.union(found.where("comp is null and digest is not null").select("id", "digest")).distinct()
+    own = docs.withColumn("own__", minhash.text_digest(F.col("text")))
+    kept = own.join(stay, (F.col("own__") == F.col("digest__")) & F.col("doc_id").eqNullSafe(F.col("id__")), "left_semi")
+    again = found.groupBy("id", "digest").count().where("count > 1").select(F.col("id").alias("id__"), F.col("digest").alias("digest__"))
+    if not again.isEmpty():                                   # repeated rows: one of each stays
+        same = (F.col("own__") == F.col("digest__")) & F.col("doc_id").eqNullSafe(F.col("id__"))
+        kept = kept.join(again, same, "left_anti").unionByName(kept.join(again, same, "left_semi").dropDuplicates(["doc_id", "own__"]))
+    return kept.select(docs.columns).unionByName(docs.where("text is null"))
 
 
 def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item, edited or not, go."""
-    found = decontaminate.find_items(docs, load_table(spark, sf_dir, "benchmark"))
-    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    """Texts that hold a benchmark item, edited or not, go, whatever their id."""
+    own = docs.withColumn("own__", minhash.text_digest(F.col("text")))
+    found = decontaminate.find_items(own, load_table(spark, sf_dir, "benchmark"), key="own__", item_key="item_id")
+    return own.join(found.select("own__").distinct(), "own__", "left_anti").select(docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of every text, end id included: ``doc_id, lang, source, n_tokens, ids``."""
-    return sentencepiece_bpe.encode(docs, tokenizer_path(), keep=("doc_id", "lang", "source"))
+    """Ids of every text, end id included, and the digest of what they decode to:
+    ``doc_id, lang, source, n_tokens, ids, decoded_sha256``."""
+    got = sentencepiece_bpe.encode(docs, tokenizer_path(), keep=("doc_id", "lang", "source"), decoded=True)
+    return got.select("doc_id", "lang", "source", "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 STAGES = [
