@@ -25,6 +25,8 @@ cross pieces; texts without words give nothing; repeated rows count each time.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest
 
-from tessera.llm.data import discard, materialize
+from tessera.llm.data import discard, ensure_checkpoint_dir, materialize
 from tessera.llm.flat import mix, text_bytes
 from tessera.llm.vocab import byte_class, encode, lists, packed, unpacked
 
@@ -44,6 +46,7 @@ MOST_SLOTS = 1 << 26
 BUCKET_WORDS = 1 << 19
 ADD_BYTES = 8 << 20
 ROW_KEYS = 1 << 13
+NAME_CHUNKS = 16
 #: Bytes that end a piece, and bytes that part words.
 BREAKS = byte_class(b".,;:!?\x0a\x0b\x0c\x0d")
 SOLID = ~(BREAKS | byte_class(b" \t"))
@@ -242,13 +245,14 @@ def _runs(hi: np.ndarray, lo: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order[fresh], np.diff(np.r_[fresh, len(order)])
 
 
-def _names(batches: Iterator[pa.RecordBatch], table: np.ndarray, longest: int) -> Iterator[pa.RecordBatch]:
-    """The words of the active phrases: ``(hi, lo, lang, phrase)``, once a chunk."""
+def _names(batches: Iterator[pa.RecordBatch], table: np.ndarray, wanted: np.ndarray, longest: int) -> Iterator[pa.RecordBatch]:
+    """The words of the phrases whose slots are ``wanted``: ``(hi, lo, lang, phrase)``,
+    once a chunk."""
     for batch in batches:
         for r in range(batch.num_rows):
             code, words = unpacked(batch.column("codes"), r, np.int32), batch.column("words")[r].values
             for k, pos, key, _ in _phrases(batch, r, table, longest):
-                some = np.flatnonzero(_active_from(table, key))
+                some = np.flatnonzero(_active_from(wanted, key))
                 if not len(some):
                     continue
                 some = some[_runs(key[0][some], key[1][some])[0]]
@@ -259,6 +263,29 @@ def _names(batches: Iterator[pa.RecordBatch], table: np.ndarray, longest: int) -
                      pa.array([batch.column("lang")[r].as_py()] * len(some), pa.string()), phrase], names=["hi", "lo", "lang", "phrase"])
 
 
+def _named(counts: DataFrame, chunks: DataFrame, table: np.ndarray, longest: int, bits: int) -> DataFrame:
+    """``counts`` with ``lang`` and ``phrase``.  Few chunks hold most phrases, so growing
+    groups of chunks are read, each for the phrases that still lack their words."""
+    share = F.pmod(F.xxhash64("shard", "lang", "n", "codes"), F.lit(1 << 32)) / float(1 << 32)
+    low, high, todo, parts = 0.0, min(1.0, NAME_CHUNKS / max(1, chunks.count())), counts, []
+    while low < 1.0 and not todo.isEmpty():
+        slots = F.explode(F.array(F.shiftrightunsigned("hi", 64 - bits), F.shiftrightunsigned("lo", 32 - bits)))
+        wanted = np.zeros(len(table), np.uint8)
+        wanted[todo.select(slots.alias("slot")).distinct().toArrow()["slot"].to_numpy()] = 1
+        group = chunks.where((share >= low) & (share < high)).select("lang", "words", "hi", "lo", "codes")
+
+        def names(batches):
+            return _names(batches, table, wanted, longest)
+
+        found = group.mapInArrow(names, "hi long, lo long, lang string, phrase string")
+        found = found.groupBy("hi", "lo").agg(F.min("lang").alias("lang"), F.min("phrase").alias("phrase"))
+        got = materialize(todo.join(found, ["hi", "lo"], "left"), "phrase-names")
+        parts.append(got.where("phrase is not null"))
+        todo = got.where("phrase is null").select(counts.columns)
+        low, high = high, min(1.0, 2 * high)
+    return reduce(DataFrame.unionByName, parts) if parts else counts.select("*", F.lit("").alias("lang"), F.lit("").alias("phrase"))
+
+
 def _unpack(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
     """One row for each frequent phrase of packed counts."""
     for batch in batches:
@@ -270,6 +297,14 @@ def _unpack(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Record
                 names=["hi", "lo", "k", "n"])
 
 
+def _chunk_table(chunks: DataFrame) -> DataFrame:
+    """The chunks as a table with few rows in a row group: a reader holds one
+    chunk at a time, not all those of a file."""
+    path = f"{ensure_checkpoint_dir(chunks.sparkSession).rstrip('/')}/tessera-phrase-chunks/{uuid4().hex}"
+    chunks.write.option("parquet.block.size", CHUNK_BYTES).option("parquet.page.size.row.check.min", 1).parquet(path)
+    return chunks.sparkSession.read.parquet(path)
+
+
 def frequent_phrases(chunks: DataFrame, shards: int, least: int = 100, longest: int = LONGEST) -> DataFrame:
     """``(lang, phrase, k, n)``: all phrases of 1 to ``longest`` words that occur
     ``least`` times or more, with their counts, from ``encoded`` chunks."""
@@ -306,11 +341,8 @@ def frequent_phrases(chunks: DataFrame, shards: int, least: int = 100, longest:
         known.destroy()
         spark._jvm.System.gc()                                # lets Spark delete the shuffle files of finished steps
         state = kept.select("bucket", "hi", "lo", "n", "tag").where("bucket >= 0")
-    names = chunks.select("lang", "words", "hi", "lo", "codes").mapInArrow(
-        lambda batches: _names(batches, table, longest), "hi long, lo long, lang string, phrase string")
-    names = names.groupBy("hi", "lo").agg(F.min("lang").alias("lang"), F.min("phrase").alias("phrase"))
-    counts = state.mapInArrow(lambda batches: _unpack(batches, least), "hi long, lo long, k int, n long")
-    freq = materialize(counts.join(names, ["hi", "lo"]).select("lang", "phrase", "k", "n"), "phrase-frequencies")
+    counts = materialize(state.mapInArrow(lambda batches: _unpack(batches, least), "hi long, lo long, k int, n long"), "phrase-frequent")
+    freq = materialize(_named(counts, chunks, table, longest, bits).select("lang", "phrase", "k", "n"), "phrase-frequencies")
     discard(state)
     return freq
 
@@ -321,7 +353,7 @@ def collocations(docs: DataFrame, least: int = 100, most: int = 2000, shards: in
     phrases of 2 to 5 words.  A phrase is scored by the cut where its two
     parts come together least beyond chance, and dropped if a longer frequent
     phrase holds it in all its places."""
-    chunks = materialize(encoded(docs, shards, text, lang), "phrase-chunks")
+    chunks = _chunk_table(encoded(docs, shards, text, lang))
     total = materialize(chunks.groupBy("lang").agg(F.sum("n").alias("total")), "phrase-totals")
     freq = frequent_phrases(chunks, shards, least)
     discard(chunks)

@@ -129,6 +129,7 @@ def test_collocations_are_exact(spark, monkeypatch, shards, chunk):
     monkeypatch.setattr(col, "BUCKET_WORDS", max(1, chunk >> 10))
     monkeypatch.setattr(col, "ADD_BYTES", min(chunk, 8 << 20))
     monkeypatch.setattr(col, "ROW_KEYS", min(chunk, 1 << 15))
+    monkeypatch.setattr(col, "NAME_CHUNKS", 2)
     docs = phrase_docs(11)
     df = spark.createDataFrame([(t, lang, 1, "x") for t, lang in docs], "text string, lang string, n int, phrase string").repartition(3)
     got = col.collocations(df, least=8, most=30, shards=shards).collect()
