@@ -183,10 +183,3 @@ def impute_chained(df: DataFrame, columns: list[str] | None = None, model: str =
         if change < tol * scale:
             break
     return cur.drop(*flags.values())
-
-
-def cast_like(df: DataFrame, like: DataFrame) -> DataFrame:
-    types = {f.name: f.dataType for f in like.schema.fields}
-    return df.select(*[F.col(c).cast(types[c]).alias(c) if c in types else F.col(c)
-                       for c in df.columns])
-

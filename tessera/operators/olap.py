@@ -186,8 +186,3 @@ def olap_all_levels(fact: DataFrame, hierarchy: list[str], measures: list[str],
         ok = ok & ~(active & F.col(h).isNull())
     return (grouped.where((F.col("_gid") != (1 << n) - 1) & ok)
             .select(level.alias("level"), *hierarchy, *measures))
-
-
-def cast_measures_double(df: DataFrame, measures: list[str]) -> DataFrame:
-    return df.select(*[F.col(c).cast(T.DoubleType()).alias(c) if c in measures else F.col(c)
-                       for c in df.columns])

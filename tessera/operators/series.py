@@ -26,13 +26,17 @@ def clean_stock_table(df: DataFrame, date_fmt: str = "dd-MM-yyyy") -> DataFrame:
     return out.dropna(subset=["Date", *STOCK_NUMERIC]).orderBy("Date")
 
 
+def minmax_stats(df: DataFrame, series: list[str], columns: list[str]) -> DataFrame:
+    """``_lo_<col>``, ``_hi_<col>`` of every column per series."""
+    return df.groupBy(*series).agg(*[F.min(c).alias(f"_lo_{c}") for c in columns],
+                                   *[F.max(c).alias(f"_hi_{c}") for c in columns])
+
+
 def minmax_scale(df: DataFrame, series: list[str], columns: list[str],
                  suffix: str = "_scaled") -> DataFrame:
     """``(x - min) / (max - min)`` per series; a constant column gives 0, a null
     value stays null."""
-    stats = df.groupBy(*series).agg(*[F.min(c).alias(f"_lo_{c}") for c in columns],
-                                    *[F.max(c).alias(f"_hi_{c}") for c in columns])
-    j = df.join(broadcast_if_bounded(stats), series)
+    j = df.join(broadcast_if_bounded(minmax_stats(df, series, columns)), series)
     return j.select(*df.columns, *[
         F.when(F.col(c).isNotNull(), F.coalesce(F.try_divide(F.col(c) - F.col(f"_lo_{c}"), F.col(f"_hi_{c}") - F.col(f"_lo_{c}")),
                                                 F.lit(0.0))).alias(f"{c}{suffix}") for c in columns])
@@ -40,10 +44,13 @@ def minmax_scale(df: DataFrame, series: list[str], columns: list[str],
 
 def minmax_inverse(df: DataFrame, series: list[str], stats: DataFrame, column: str,
                    scaled: str) -> DataFrame:
-    """Inverse scaling of ``scaled`` with the series' ``_lo_/_hi_`` of ``column``."""
+    """``<scaled>_inv``: a scaled value, or array of values, back in the unit of
+    ``column`` (``stats`` from :func:`minmax_stats`; a constant series gives its value)."""
     j = df.join(stats, series)
     lo, hi = F.col(f"_lo_{column}"), F.col(f"_hi_{column}")
-    return j.select(*df.columns, (F.col(scaled) * (hi - lo) + lo).alias(f"{scaled}_inv"))
+    back = lambda x: x * (hi - lo) + lo
+    value = F.transform(scaled, back) if dict(df.dtypes)[scaled].startswith("array") else back(F.col(scaled))
+    return j.select(*df.columns, value.alias(f"{scaled}_inv"))
 
 
 def ohlc(df: DataFrame, series: list[str], ts: str, value: str, period: str = "day") -> DataFrame:
@@ -67,12 +74,3 @@ def eligible_series(df: DataFrame, series: list[str], columns: list[str], min_ro
     if lags is not None:
         ok = ok & ((F.col("n_rows") - lags) >= min_samples) & (F.col("n_rows") >= lags + horizon)
     return counts.select(*series, "n_rows", ok.alias("eligible"))
-
-
-def chrono_split(samples: DataFrame, series: list[str], position: str, n_col: str,
-                 train_fraction: float = 0.8) -> DataFrame:
-    """Chronological split: the first ``floor(fraction * n)`` samples of a
-    series are train.  ``n_col`` holds the series' sample count."""
-    return samples.withColumn(
-        "split", F.when(F.col(position) <= F.floor(F.col(n_col) * F.lit(train_fraction)), "train")
-        .otherwise("test"))

@@ -83,3 +83,15 @@ def forecast_recursive(spark, sf):
     days = load_table(spark, sf, "events").groupBy("user_id").agg(F.to_date(F.max("ts")).alias("last_day"))
     return fc.forecast_dates(out.join(days, "user_id"), "last_day", HORIZON).select(
         "user_id", "forecast", "dates")
+
+
+@register("forecast_values")
+def forecast_values(spark, sf):
+    """Recursive 5-step forecasts in the unit of the series (scaling inverted), of
+    the users with enough complete rows only."""
+    scaled = forecast_recursive(spark, sf)
+    e = load_table(spark, sf, "events")
+    ok = ser.eligible_series(e, ["user_id"], ["value"], 150, LAGS, HORIZON).where("eligible").select("user_id")
+    stats = ser.minmax_stats(e, ["user_id"], ["value"])
+    got = ser.minmax_inverse(scaled.join(ok, "user_id", "left_semi"), ["user_id"], stats, "value", "forecast")
+    return got.select("user_id", F.col("forecast_inv").alias("forecast"), "dates")
