@@ -143,8 +143,9 @@ def fit_predict(train: DataFrame, test: DataFrame, features: list[str], label: s
         if model == "SVM Regressor":
             tr, te, feats = _kernel_map(train, test, features, p.get("kernel", "rbf"), p.get("gamma"))
             c = p.get("C", 1.0)
+            # 100 iterations, the default, can stop far from the optimum
             est = R.LinearRegression(loss="huber", regParam=1.0 / (c * n), elasticNetParam=0.0,
-                                     standardization=False)
+                                     standardization=False, maxIter=1000, tol=1e-9)
             tr, te = _assemble(tr, feats), _assemble(te, feats)
             return est.setLabelCol(label).fit(tr).transform(te)
         if model == "Linear Regression":
