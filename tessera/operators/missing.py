@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.columns import nan_to_null, numeric_columns, require_columns
 from tessera.functions.quantiles import medians
+from tessera.operators.chained import impute_linear
 from tessera.session import cut_lineage
 
 
@@ -136,16 +137,20 @@ def impute_chained(df: DataFrame, columns: list[str] | None = None, model: str =
     """Chained-equation imputation among the numeric columns that have nulls.
 
     Start from mean fill; each round, for each column in ascending order of
-    null count, fit a regressor (``linear`` least squares or ``tree``) on the
-    rows where the column was observed, using the current values of the other
-    columns, and replace the originally-missing cells with predictions.  Stops
-    after ``max_rounds`` or when the largest change of a round falls under
-    ``tol * max|observed value|``.  Model fits are distributed (normal
-    equations / tree statistics are tree-aggregated); lineage is cut each
-    round with a reliable checkpoint."""
+    null count, fit a regressor on the rows where the column was observed, using
+    the current values of the other columns, and replace the originally-missing
+    cells with predictions.  Stops after ``max_rounds`` or when the largest change
+    of a round falls under ``tol * max|observed value|``.
+
+    ``linear`` (least squares) and ``bayes`` (Bayesian ridge) run on moments
+    (:func:`tessera.operators.chained.impute_linear`); ``tree`` fits distributed
+    regression trees, cutting lineage each round with a reliable checkpoint."""
+    if model != "tree":
+        return impute_linear(df, columns, model, max_rounds, tol)
     from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import DecisionTreeRegressor, LinearRegression
+    from pyspark.ml.regression import DecisionTreeRegressor
 
+    df = nan_to_null(df, columns)
     counts = null_counts(df)
     cols = columns if columns is not None else [c for c in numeric_columns(df) if counts[c] > 0]
     require_columns(df, cols)
@@ -166,12 +171,7 @@ def impute_chained(df: DataFrame, columns: list[str] | None = None, model: str =
         for c in cols:
             others = [o for o in cols if o != c]
             asm = VectorAssembler(inputCols=others, outputCol="__f")
-            if model == "tree":
-                est = DecisionTreeRegressor(featuresCol="__f", labelCol=c, seed=seed,
-                                            predictionCol="__p")
-            else:
-                est = LinearRegression(featuresCol="__f", labelCol=c, solver="normal",
-                                       regParam=0.0, predictionCol="__p")
+            est = DecisionTreeRegressor(featuresCol="__f", labelCol=c, seed=seed, predictionCol="__p")
             fitted = est.fit(asm.transform(cur.where(~F.col(flags[c]))))
             scored = fitted.transform(asm.transform(cur))
             cur = scored.select(*[F.when(F.col(flags[c]), F.col("__p")).otherwise(F.col(x)).alias(x)

@@ -189,9 +189,17 @@ def na_regression_converged(spark, sf):
     return _r(df, ["value", "k"])
 
 
+@register("na_bayes")
+def na_bayes(spark, sf):
+    """Chained Bayesian ridge imputation of every numeric column with nulls, 10 rounds at most;
+    ``minute`` and ``log_value`` take part as complete columns."""
+    df = missing.impute_chained(events_features(spark, sf), ["value", "k", "minute", "log_value"], "bayes", max_rounds=10)
+    return _r(df, ["value", "k"])
+
+
 @register("na_tree")
 def na_tree(spark, sf):
-    df = missing.impute_chained(events_features(spark, sf), ["value", "k"], "tree", max_rounds=3)
+    df = missing.impute_chained(events_features(spark, sf), ["value", "k"], "tree", max_rounds=10)
     return _r(df, ["value", "k"])
 
 
