@@ -16,7 +16,7 @@ from tessera.plans.events import shopping_events
 from tessera.plans.olap import CUBE_DIMS, MEASURES, _cubes_sql
 from tessera.plans.registry import register
 from tessera.sources.tables import load_table
-from tessera.streaming import clustream, hoeffding
+from tessera.streaming import clustream, hoeffding, snapshot
 from tessera.streaming.sources import run_available_now, scratch_path, table_stream
 
 
@@ -162,3 +162,16 @@ def stream_cube_refresh(spark, sf):
                       .option("checkpointLocation", scratch_path(spark, "cube-ckpt")))
     return olap.merge_cubes(spark.read.parquet(export).drop("batch"), CUBE_DIMS, MEASURES, money_scale=2)
 
+
+@register("stream_recent_events", """
+SELECT event_id, user_id, event_type, value, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k
+FROM events ORDER BY ts DESC, event_id DESC LIMIT 100""")
+def stream_recent_events(spark, sf):
+    """Rolling snapshot of the event stream: after every micro-batch the last 100 events."""
+    src = table_stream(spark, sf, "events", load_table(spark, sf, "events").schema, max_files_per_trigger=1)
+    rows = src.select("ts", "event_id", "user_id", "event_type", "value", F.get_json_object("props", "$.k").cast("int").alias("k"))
+    last = snapshot.rolling_snapshot(rows, scratch_path(spark, "recent-out"), scratch_path(spark, "recent-ckpt"),
+                                     [F.desc("ts"), F.desc("event_id")], 100)
+    if last is None:                                          # no file, no batch
+        last = load_table(spark, sf, "events").limit(0).withColumn("k", F.lit(None).cast("int"))
+    return last.select("event_id", "user_id", "event_type", "value", "k")
