@@ -15,7 +15,6 @@ def _order():
     return [F.desc("ts"), F.desc("id")]
 
 
-
 def _batch(spark, rows):
     return spark.createDataFrame(rows, SCHEMA)
 
