@@ -133,13 +133,16 @@ def drop_repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text"
     own = [c for c in docs.columns if c not in made]
     got = docs.select(*own, F.xxhash64(text).alias("lines__own"))
     got = got.join(gone, [F.col(key).eqNullSafe(F.col("lines__doc")), F.col("lines__own") == F.col("lines__part")], "left")
-    kept = F.filter(_lines(F.col(text)),
-                    lambda x, i: ~F.exists("lines__gone", lambda r: (i >= r["start"]) & (i < r["end"])))
+    # removed positions as one set, then one look-up a kept line: linear in lines, whatever the number of runs
+    got = got.withColumn("lines__own", _lines(F.col(text)))
+    removed = F.flatten(F.transform("lines__gone", lambda r: F.sequence(r["start"], r["end"] - 1)))
+    left = F.array_except(F.sequence(F.lit(0), F.size("lines__own") - 1), removed)
+    kept = F.transform(left, lambda i: F.get("lines__own", i))
     n_removed = F.aggregate("lines__gone", F.lit(0), lambda n, r: n + r["end"] - r["start"])
     untouched = F.col("lines__gone").isNull()
     return got.select(
         *[F.when(untouched, F.col(text)).otherwise(F.concat_ws("\n", kept)).alias(text) if c == text
           else F.col(c) for c in own],
-        F.when(F.col(text).isNull(), 0).otherwise(F.size(_lines(F.col(text)))).cast("long").alias(made[0]),
+        F.when(F.col(text).isNull(), 0).otherwise(F.size("lines__own")).cast("long").alias(made[0]),
         F.coalesce(n_removed, F.lit(0)).cast("long").alias(made[1]),
         F.when(untouched, 0).otherwise(F.size("lines__gone")).cast("long").alias(made[2]))

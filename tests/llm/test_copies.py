@@ -260,3 +260,16 @@ def test_minhash_links_through_rows_without_an_id(spark):
         docs = spark.createDataFrame([(own, a), (2, b), (3, c)], "doc_id long, text string")
         got = {r["doc_id"]: r["component_id"] for r in near_duplicates(docs, percent=85).collect()}
         assert got == {own: own or 2, 2: own or 2, 3: own or 2}
+
+
+def test_many_runs_in_one_long_text(spark):
+    """Thousands of removed runs in one text: what is left is right, in order."""
+    n = 12_000
+    first = "\n".join(f"line {i} of the first text" for i in range(n))
+    other = "\n".join(f"own {i}" if i % 4 == 3 else f"line {i} of the first text" for i in range(n))
+    docs = spark.createDataFrame([(1, first), (2, other), (3, first), (4, None), (5, "")], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in drop_repeated_lines(docs).collect()}
+    assert got[1]["text"] == first and got[3]["text"] == "" and got[4]["text"] is None and got[5]["text"] == ""
+    assert got[2]["text"] == "\n".join(f"own {i}" for i in range(3, n, 4))
+    assert (got[2]["n_lines"], got[2]["n_removed"], got[2]["n_runs"]) == (n, n * 3 // 4, n // 4)
+    assert (got[3]["n_removed"], got[3]["n_runs"]) == (n, 1)
