@@ -30,6 +30,7 @@ from tessera.llm.flat import chunks
 
 PAIRS = TRIPLES = 1 << 16
 WIDTH = PAIRS + TRIPLES
+BYTES = 1 << 20       # text worked through at once: its grams and weights take about a hundred times as much
 SCALE = 20.0
 UNKNOWN = "und"
 
@@ -116,7 +117,7 @@ def document_frequency(texts: DataFrame, text: str = "text") -> tuple[np.ndarray
         count, total = np.zeros(WIDTH, np.int64), 0
         seen = np.empty(WIDTH, bool)
         for batch in batches:
-            for i, j, raw, off in chunks(batch, "text"):
+            for i, j, raw, off in chunks(batch, "text", BYTES):
                 feats, at, _ = grams(raw, off)
                 total += j - i
                 for r in range(j - i):
@@ -140,7 +141,7 @@ def _vectors(sample: DataFrame) -> list[tuple[str, int, np.ndarray, np.ndarray]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j, raw, off in chunks(batch, "text"):
+            for i, j, raw, off in chunks(batch, "text", BYTES):
                 feats, at, _ = grams(raw, off)
                 made = [np.unique(feats[at[r]:at[r + 1]], return_counts=True) for r in range(j - i)]
                 yield pa.RecordBatch.from_arrays(
@@ -246,7 +247,7 @@ def predict(docs: DataFrame, model: LanguageModel | None, text: str = "text", ke
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j, raw, off in chunks(batch, column):
+            for i, j, raw, off in chunks(batch, column, BYTES):
                 best, p, letters = model.scores(raw, off)
                 none = letters == 0
                 best[none], p[none] = len(labels) - 1, 0.0
