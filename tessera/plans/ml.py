@@ -15,6 +15,7 @@ from tessera.operators import events as ev
 from tessera.plans.events import SHOP_CODES, SHOP_SQL, shopping_events
 from tessera.plans.prep import EF_SQL, events_features
 from tessera.plans.registry import register
+from tessera.session import materialize
 from tessera.sources.tables import load_table
 
 SHOP_FEATURES = ["session_duration", "user_total_purchases", "event_code", "category_code"]
@@ -242,14 +243,16 @@ def metrics_long(spark, sf):
 
 # ------------------------------------------------------------------ model comparison (no oracle)
 def _reference_flow(spark, sf, problem):
-    """Standardise (population std) -> PCA(2) -> split, as the comparison does."""
+    """Standardise (population std) -> PCA(2) -> split, as the comparison does.
+
+    Input and projection are stored once: a fit reads its rows many times."""
     if problem == "classification":
         d, feats, label, key = shop_data(spark, sf), SHOP_FEATURES, "purchase", ["event_id"]
     else:
         d, feats, label, key = line_data(spark, sf), LINE_FEATURES, "l_extendedprice", \
             ["l_orderkey", "l_linenumber"]
-    z = prepare.standardize(d, feats)
-    p = prepare.pca(z, feats, 2)
+    z = prepare.standardize(materialize(d, "model-input"), feats)
+    p = materialize(prepare.pca(z, feats, 2), "model-points")
     return p.where("split = 'train'"), p.where("split = 'test'"), ["pc1", "pc2"], label
 
 

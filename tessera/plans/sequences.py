@@ -37,12 +37,13 @@ def spade_vertical(spark, sf):
     return sequences.vertical_by_row(s, "session", ["ts", "event_id"], "cell")
 
 
-def _gsp(spark, sf):
-    return sequences.mine_sequences(gsp_vertical(spark, sf), GSP_SUPPORT)
+def _gsp(spark, sf, elements=None):
+    return sequences.mine_sequences(gsp_vertical(spark, sf), GSP_SUPPORT, elements)
 
 
-def _spade(spark, sf):
-    return sequences.mine_sequences(spade_vertical(spark, sf), SPADE_SUPPORT)
+def _spade(spark, sf, elements=None):
+    """``elements``: longer patterns hold more items than a query of one length lists."""
+    return sequences.mine_sequences(spade_vertical(spark, sf), SPADE_SUPPORT, elements)
 
 
 # ------------------------------------------------------------------ SQL side
@@ -128,17 +129,17 @@ def seq_transactions(spark, sf):
 
 @register("gsp_l1", _GSP_SQL + "SELECT * FROM freq WHERE elements = 1")
 def gsp_l1(spark, sf):
-    return _table(_gsp(spark, sf), "elements = 1")
+    return _table(_gsp(spark, sf, 1), "elements = 1")
 
 
 @register("gsp_l2", _GSP_SQL + "SELECT * FROM freq WHERE elements = 2")
 def gsp_l2(spark, sf):
-    return _table(_gsp(spark, sf), "elements = 2")
+    return _table(_gsp(spark, sf, 2), "elements = 2")
 
 
 @register("gsp_l3", _GSP_SQL + "SELECT * FROM freq WHERE elements = 3")
 def gsp_l3(spark, sf):
-    return _table(_gsp(spark, sf), "elements = 3")
+    return _table(_gsp(spark, sf, 3), "elements = 3")
 
 
 @register("gsp_patterns", _GSP_SQL + "SELECT * FROM freq")
@@ -148,17 +149,17 @@ def gsp_patterns(spark, sf):
 
 @register("spade_l1", _SPADE_SQL + "SELECT * FROM freq WHERE length = 1")
 def spade_l1(spark, sf):
-    return _table(_spade(spark, sf), "length = 1")
+    return _table(_spade(spark, sf, 1), "length = 1")
 
 
 @register("spade_l2", _SPADE_SQL + "SELECT * FROM freq WHERE length = 2")
 def spade_l2(spark, sf):
-    return _table(_spade(spark, sf), "length = 2")
+    return _table(_spade(spark, sf, 2), "length = 2")
 
 
 @register("spade_l3", _SPADE_SQL + "SELECT * FROM freq WHERE length = 3")
 def spade_l3(spark, sf):
-    return _table(_spade(spark, sf), "length = 3")
+    return _table(_spade(spark, sf, 3), "length = 3")
 
 
 @register("spade_patterns", _SPADE_SQL + "SELECT * FROM freq")
