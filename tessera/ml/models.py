@@ -23,10 +23,10 @@ import random
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.ml.forest import forest
 from tessera.session import cut_lineage
 
 
-
 def _depth(max_depth: int) -> int:
     """Spark's trees go to depth 30; a deeper request is refused, not cut."""
     if max_depth > 30:
@@ -160,9 +160,11 @@ def fit_predict(train: DataFrame, test: DataFrame, features: list[str], label: s
         elif model == "Decision Tree Regressor":
             est = R.DecisionTreeRegressor(maxDepth=_depth(p.get("max_depth", 30)), seed=42)
         elif model == "Random Forest":
-            est = R.RandomForestRegressor(numTrees=p.get("n_estimators", 100),
-                                          maxDepth=_depth(p.get("max_depth") or 30),
-                                          featureSubsetStrategy="all", seed=42)
+            trees, depth = p.get("n_estimators", 100), _depth(p.get("max_depth") or 30)
+            out = forest(train, test, features, label, problem, trees, depth, "all")
+            if out is not None:
+                return out
+            est = R.RandomForestRegressor(numTrees=trees, maxDepth=depth, featureSubsetStrategy="all", seed=42)
         else:
             raise ValueError(f"unknown regression model {model!r}")
     elif problem == "classification":
@@ -180,9 +182,11 @@ def fit_predict(train: DataFrame, test: DataFrame, features: list[str], label: s
         elif model == "Decision Tree Classifier":
             est = C.DecisionTreeClassifier(maxDepth=_depth(p.get("max_depth", 30)), seed=42)
         elif model == "Random Forest":
-            est = C.RandomForestClassifier(numTrees=p.get("n_estimators", 100),
-                                           maxDepth=_depth(p.get("max_depth") or 30),
-                                           featureSubsetStrategy="sqrt", seed=42)
+            trees, depth = p.get("n_estimators", 100), _depth(p.get("max_depth") or 30)
+            out = forest(train, test, features, label, problem, trees, depth, "sqrt")
+            if out is not None:
+                return out
+            est = C.RandomForestClassifier(numTrees=trees, maxDepth=depth, featureSubsetStrategy="sqrt", seed=42)
         elif model == "Naive Bayes":
             est = C.NaiveBayes(modelType="gaussian")
         else:
