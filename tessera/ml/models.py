@@ -20,9 +20,11 @@ from __future__ import annotations
 import math
 import random
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.ml import huber
 from tessera.ml.forest import forest
 from tessera.session import cut_lineage
 
@@ -40,21 +42,35 @@ def _assemble(df: DataFrame, features: list[str], out: str = "features") -> Data
 
 
 # ------------------------------------------------------------------ kernel feature maps
+def fourier_weights(n_features: int, gamma: float, dim: int = 100, seed: int = 42) -> tuple[list[list[float]], list[float]]:
+    """w ~ N(0, 2 gamma) and b ~ U(0, 2 pi) of the random Fourier features."""
+    rng = random.Random(seed)
+    scale = math.sqrt(2.0 * gamma)
+    w, b = [], []
+    for _ in range(dim):
+        w.append([rng.gauss(0.0, 1.0) * scale for _ in range(n_features)])
+        b.append(rng.uniform(0.0, 2.0 * math.pi))
+    return w, b
+
+
 def fourier_features(features: list[str], gamma: float, dim: int = 100, seed: int = 42) -> list[Column]:
     """Random Fourier features approximating exp(-gamma ||x - y||^2):
     sqrt(2/D) cos(w.x + b), w ~ N(0, 2 gamma), b ~ U(0, 2 pi) (literal
     coefficients, so the map is a plain Column expression)."""
-    rng = random.Random(seed)
-    scale = math.sqrt(2.0 * gamma)
     cols = []
-    for i in range(dim):
-        w = [rng.gauss(0.0, 1.0) * scale for _ in features]
-        b = rng.uniform(0.0, 2.0 * math.pi)
+    for i, (w, b) in enumerate(zip(*fourier_weights(len(features), gamma, dim, seed))):
         dot = sum((F.col(f) * F.lit(wj) for f, wj in zip(features, w)), F.lit(b))
         cols.append((F.lit(math.sqrt(2.0 / dim)) * F.cos(dot)).alias(f"_rff{i}"))
     return cols
 
 
+def _scale_gamma(train: DataFrame, features: list[str]) -> float:
+    """'scale': 1 / (n_features * var(X))"""
+    v = train.select(F.explode(F.array(*[F.col(f).cast("double") for f in features])).alias("v")) \
+        .agg(F.var_pop("v")).first()[0] or 1.0
+    return 1.0 / (len(features) * v)
+
+
 def _kernel_map(train: DataFrame, test: DataFrame, features: list[str], kernel: str,
                 gamma: float | None, degree: int = 3):
     """Apply the feature map; returns (train, test, mapped feature names)."""
@@ -66,10 +82,8 @@ def _kernel_map(train: DataFrame, test: DataFrame, features: list[str], kernel:
         te = _assemble(test, features, "_raw")
         pe = PolynomialExpansion(degree=degree, inputCol="_raw", outputCol="_poly")
         return pe.transform(tr).drop("_raw"), pe.transform(te).drop("_raw"), ["_poly"]
-    if gamma is None:  # 'scale': 1 / (n_features * var(X))
-        v = train.select(F.explode(F.array(*[F.col(f).cast("double") for f in features])).alias("v")) \
-            .agg(F.var_pop("v")).first()[0] or 1.0
-        gamma = 1.0 / (len(features) * v)
+    if gamma is None:
+        gamma = _scale_gamma(train, features)
     cols = fourier_features(features, gamma)
     return (train.select("*", *cols), test.select("*", *cols), [f"_rff{i}" for i in range(len(cols))])
 
@@ -141,8 +155,13 @@ def fit_predict(train: DataFrame, test: DataFrame, features: list[str], label: s
             return adaboost_r2(train, test, features, label, p.get("n_estimators", 50),
                                p.get("learning_rate", 1.0))
         if model == "SVM Regressor":
-            tr, te, feats = _kernel_map(train, test, features, p.get("kernel", "rbf"), p.get("gamma"))
             c = p.get("C", 1.0)
+            if p.get("kernel", "rbf") == "rbf":
+                gamma = p.get("gamma")
+                w, b = map(np.array, fourier_weights(len(features), _scale_gamma(train, features) if gamma is None else gamma))
+                theta = huber.fit(train, n, features, label, w, b, 1.0 / (c * n))
+                return huber.predict(test, features, theta, w, b)
+            tr, te, feats = _kernel_map(train, test, features, p.get("kernel", "rbf"), p.get("gamma"))
             # 100 iterations, the default, can stop far from the optimum
             est = R.LinearRegression(loss="huber", regParam=1.0 / (c * n), elasticNetParam=0.0,
                                      standardization=False, maxIter=1000, tol=1e-9)
