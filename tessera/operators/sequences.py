@@ -14,7 +14,8 @@ Engine (shared by GSP and SPADE):
    ``(E, sid)`` keeping ``eid > end``; the new state is ``min(eid)`` and the
    support the number of sequences with a state.  The join is keyed by
    (element, sequence), so work is linear in occurrences x candidate
-   patterns; event pairs inside a sequence are never enumerated.
+   patterns; event pairs inside a sequence are never enumerated.  Elements and
+   patterns are numbers there; their items are kept in the small candidate tables.
 Every level is checkpointed (reliable) to cut lineage.
 """
 
@@ -72,15 +73,16 @@ def transactions(vertical: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------------ engine
-def frequent_elements(vertical: DataFrame, min_support: float) -> tuple[itemsets.Mined, DataFrame]:
-    """Frequent itemsets inside single events (support = distinct sequences)
-    and their occurrences ``(elem, sid, eid)``."""
+def frequent_elements(vertical: DataFrame, min_support: float) -> tuple[itemsets.Mined, DataFrame, DataFrame]:
+    """Frequent itemsets inside single events (support = distinct sequences),
+    their numbers ``(elem, e)`` and their occurrences ``(e, sid, eid)``."""
     tx = vertical.select(F.struct("sid", "eid").alias("basket"), "item", F.col("sid").alias("unit"))
     mined = itemsets.mine(tx, min_support=min_support)
-    elems = mined.frequent.select("items")
-    occ = itemsets.containing_baskets(tx, elems).select(
-        F.col("items").alias("elem"), F.col("basket.sid").alias("sid"), F.col("basket.eid").alias("eid"))
-    return mined, cut_lineage(occ)
+    codes = cut_lineage(mined.frequent.select(F.col("items").alias("elem"), F.monotonically_increasing_id().alias("e")))
+    occ = (itemsets.containing_baskets(tx, mined.frequent.select("items")).withColumnRenamed("items", "elem")
+           .join(broadcast_if_bounded(codes, CANDIDATE_BROADCAST_ROWS), "elem")
+           .select("e", F.col("basket.sid").alias("sid"), F.col("basket.eid").alias("eid")))
+    return mined, codes, cut_lineage(occ)
 
 
 def _gsp_candidates(freq: DataFrame, k: int) -> DataFrame:
@@ -115,51 +117,44 @@ def mine_sequences(vertical: DataFrame, min_support: float,
         e = spark.createDataFrame([], schema)
         return SequenceResult(e, e, 0)
     vertical = cut_lineage(vertical)
-    mined, occ = frequent_elements(vertical, min_support)
+    mined, codes, occ = frequent_elements(vertical, min_support)
     sup = F.col("support_count") / F.lit(n)
 
     level1 = mined.frequent.select(F.lit(1).alias("level"), F.array("items").alias("pattern"),
                                    "support_count", sup.alias("support"), F.lit(True).alias("frequent"))
     levels = [cut_lineage(level1)]
-    state = cut_lineage(occ.groupBy("elem", "sid").agg(F.min("eid").alias("end"))
-                        .select(F.array("elem").alias("pattern"), "sid", "end"))
-    freq = levels[0].select("pattern")
+    # what is joined and grouped at size carries numbers of elements (e) and patterns (p); ``path``: a pattern's element numbers
+    freq = codes.select(F.col("e").alias("p"), F.array("e").alias("path"), F.array("elem").alias("pattern"))
+    state = cut_lineage(occ.groupBy(F.col("e").alias("p"), "sid").agg(F.min("eid").alias("end")))
     k = 1
     while (max_elements is None or k < max_elements) and not freq.isEmpty():
         k += 1
-        if k == 2:                                            # only frequent pairs need a state
-            pairs = cut_lineage(_element_pairs(occ).withColumn("support", sup))
-            cands = pairs.where(F.col("support") >= F.lit(min_support)).select("prefix", "elem")
+        found = _element_pairs(occ.withColumnRenamed("e", "elem")) if k == 2 else \
+            _gsp_candidates(freq.select(F.col("path").alias("pattern")), k)
+        cands = cut_lineage(
+            found.withColumnRenamed("elem", "e").join(freq.withColumnRenamed("path", "prefix"), "prefix").join(codes, "e")
+            .select(F.monotonically_increasing_id().alias("q"), "p", "e", F.concat("prefix", F.array("e")).alias("path"),
+                    F.concat("pattern", F.array("elem")).alias("pattern"), *(["support_count"] if k == 2 else [])))
+        if k == 2:
+            allc = cands.select("*", sup.alias("support"), (sup >= F.lit(min_support)).alias("frequent"))
+            grow = allc.where("frequent")                     # only frequent pairs need a state
         else:
-            cands = cut_lineage(_gsp_candidates(freq, k))
-        if cands.isEmpty():
-            if k == 2:
-                levels.append(pairs.select(F.lit(k).alias("level"), F.concat("prefix", F.array("elem")).alias("pattern"),
-                                           "support_count", "support", F.lit(False).alias("frequent")))
+            grow = cands
+        if k > 2 and grow.isEmpty():
             break
-        grown = (state.withColumnRenamed("pattern", "prefix")
-                 .join(broadcast_if_bounded(cands, CANDIDATE_BROADCAST_ROWS), "prefix")
-                 .join(occ.withColumnRenamed("eid", "e"), ["elem", "sid"])
-                 .where(F.col("e") > F.col("end"))
-                 .groupBy("prefix", "elem", "sid").agg(F.min("e").alias("end")))
-        new_state = cut_lineage(grown.select(
-            F.concat("prefix", F.array("elem")).alias("pattern"), "sid", "end"))
-        if k == 2:
-            allc = pairs.select(F.lit(k).alias("level"), F.concat("prefix", F.array("elem")).alias("pattern"), "support_count", "support",
-                                (F.col("support") >= F.lit(min_support)).alias("frequent"))
-            levels.append(allc)
-            freq, state = allc.where("frequent").select("pattern"), new_state
-            continue
-        counts = new_state.groupBy("pattern").agg(F.count(F.lit(1)).alias("support_count"))
-        allc = (cands.select(F.concat("prefix", F.array("elem")).alias("pattern"))
-                .join(counts, "pattern", "left")
-                .select(F.lit(k).alias("level"), "pattern",
-                        F.coalesce("support_count", F.lit(0)).cast("long").alias("support_count")))
-        allc = cut_lineage(allc.select("*", sup.alias("support"),
-                                       (sup >= F.lit(min_support)).alias("frequent")))
-        levels.append(allc)
-        freq = allc.where("frequent").select("pattern")
-        state = cut_lineage(new_state.join(freq, "pattern", "left_semi"))
+        if k > 2 or (k != max_elements and not grow.isEmpty()):
+            grown = (state.join(broadcast_if_bounded(grow.select("p", "e", "q"), CANDIDATE_BROADCAST_ROWS), "p")
+                     .join(occ.withColumnRenamed("eid", "at"), ["e", "sid"])
+                     .where(F.col("at") > F.col("end"))
+                     .groupBy("e", "sid", "q").agg(F.min("at").alias("end")))
+            # rows of patterns that turn out infrequent stay: no candidate has them as prefix
+            state = cut_lineage(grown.select(F.col("q").alias("p"), "sid", "end"))
+        if k > 2:
+            counts = state.groupBy(F.col("p").alias("q")).agg(F.count(F.lit(1)).alias("support_count"))
+            counted = cands.join(counts, "q", "left").withColumn("support_count", F.coalesce("support_count", F.lit(0)).cast("long"))
+            allc = cut_lineage(counted.select("*", sup.alias("support"), (sup >= F.lit(min_support)).alias("frequent")))
+        levels.append(allc.select(F.lit(k).alias("level"), "pattern", "support_count", "support", "frequent"))
+        freq = allc.where("frequent").select(F.col("q").alias("p"), "path", "pattern")
     out = levels[0]
     for lv in levels[1:]:
         out = out.unionByName(lv)

@@ -209,3 +209,14 @@ def test_element_pairs_are_counted_from_occurrences(spark):
         for p in {(xs[i], xs[j]) for i in range(len(xs)) for j in range(i + 1, len(xs))}:
             want[p] = want.get(p, 0) + 1
     assert got == want
+
+
+def test_sequence_levels_join_on_numbers(spark):
+    """Occurrences and states carry numbers of elements; their items stay in the small tables."""
+    v = spark.createDataFrame([("s", i, x) for i, x in enumerate("abab")] + [("t", 1, "a"), ("t", 1, "b"), ("t", 2, "a")],
+                              "sid string, eid long, item string")
+    _, codes, occ = sequences.frequent_elements(v, 0.5)
+    assert dict(occ.dtypes) == {"e": "bigint", "sid": "string", "eid": "bigint"}
+    back = {(tuple(r["elem"]), r["sid"], r["eid"]) for r in occ.join(codes, "e").collect()}
+    assert back == {(("a",), "s", 0), (("b",), "s", 1), (("a",), "s", 2), (("b",), "s", 3), (("a",), "t", 1), (("b",), "t", 1),
+                    (("a", "b"), "t", 1), (("a",), "t", 2)}
