@@ -9,7 +9,7 @@ Parameter mappings to the usual single-machine objectives:
 * LogisticRegression(C): ``regParam = 1 / (C * n)``, no standardisation.
 * Kernel SVMs are re-aimed: an explicit feature map (random Fourier features
   for ``rbf``, degree-3 polynomial expansion for ``poly``, identity for
-  ``linear``) followed by a linear model (Huber regression / LinearSVC,
+  ``linear``) followed by a linear model (Huber regression / hinge loss,
   one-vs-rest beyond two classes).  This approximates the kernel machine.
 * AdaBoost.R2 (linear loss): boosting rounds of depth-3 weighted trees
   (instance weights instead of weighted resampling), weighted-median combine.
@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.ml import huber
+from tessera.ml import hinge, huber
 from tessera.ml.forest import forest
 from tessera.session import cut_lineage
 
@@ -188,8 +188,13 @@ def fit_predict(train: DataFrame, test: DataFrame, features: list[str], label: s
             raise ValueError(f"unknown regression model {model!r}")
     elif problem == "classification":
         if model == "SVM Classifier":
-            tr, te, feats = _kernel_map(train, test, features, p.get("kernel", "rbf"), p.get("gamma"))
             c = p.get("C", 1.0)
+            if p.get("kernel", "rbf") == "rbf":
+                gamma = p.get("gamma")
+                w, b = map(np.array, fourier_weights(len(features), _scale_gamma(train, features) if gamma is None else gamma))
+                theta = hinge.fit(train, n, features, label, w, b, 1.0 / (c * n))
+                return hinge.predict(test, features, theta, w, b)
+            tr, te, feats = _kernel_map(train, test, features, p.get("kernel", "rbf"), p.get("gamma"))
             svc = C.LinearSVC(regParam=1.0 / (c * n), standardization=False, maxIter=200)
             k = train.select(label).distinct().count()
             est = C.OneVsRest(classifier=svc) if k > 2 else svc
